@@ -40,7 +40,10 @@ def joined(spans: str):
 
 def digest(found: DataFrame, id_col: str, kinds: Sequence[str]) -> DataFrame:
     """Counts of the base spans by kind, the SHA-256 of the base spans and all spans as text."""
-    counts = [F.size(F.filter("base", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{k}") for k in kinds]
+    def count(kind: str):
+        return F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    counts = [count(k) for k in kinds]
     return found.select(id_col, *counts, F.sha2(joined("base"), 256).alias("base_sha256"), joined("found").alias("spans"))
 
 
