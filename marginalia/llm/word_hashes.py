@@ -14,8 +14,8 @@ import numpy as np
 
 #: Bytes of text that are hashed at once; a longer text is cut at white space.
 SLICE_BYTES = 1 << 20
-_SPACE = np.zeros(256, bool)
-_SPACE[[9, 10, 11, 12, 13, 32]] = True
+SPACE = np.zeros(256, bool)
+SPACE[[9, 10, 11, 12, 13, 32]] = True
 _places = np.zeros(0, np.uint64)
 
 
@@ -53,7 +53,7 @@ class Words:
     texts: int
 
 
-def _slices(data: Sequence[bytes]) -> Iterator[tuple[bytes, np.ndarray, int]]:
+def slices(data: Sequence[bytes]) -> Iterator[tuple[bytes, np.ndarray, int]]:
     """Joined pieces of about SLICE_BYTES, each with the ends of its texts and the index of its first text."""
     held: list[bytes] = []
     size, first = 0, 0
@@ -63,7 +63,7 @@ def _slices(data: Sequence[bytes]) -> Iterator[tuple[bytes, np.ndarray, int]]:
             held, size, first = [], 0, i
         while len(raw) > SLICE_BYTES:
             cut = SLICE_BYTES
-            while cut < len(raw) and not _SPACE[raw[cut]]:
+            while cut < len(raw) and not SPACE[raw[cut]]:
                 cut += 1
             yield raw[:cut], np.array([cut + 1]), i
             raw = raw[cut:]
@@ -75,40 +75,51 @@ def _slices(data: Sequence[bytes]) -> Iterator[tuple[bytes, np.ndarray, int]]:
         yield b" ".join(held), np.cumsum([len(x) + 1 for x in held]), first
 
 
+@dataclass
+class Runs:
+    """Maximal runs of marked bytes: where they start and stop, and their hashes."""
+
+    starts: np.ndarray
+    stops: np.ndarray
+    hashes: np.ndarray
+    prefixes: np.ndarray | None
+
+
+def hash_runs(raw: np.ndarray, marked: np.ndarray, prefix: int = 0) -> Runs:
+    """The runs of marked bytes of raw. prefix: also the hashes of their first bytes, so many."""
+    edge = np.flatnonzero(np.diff(marked.astype(np.int8), prepend=0, append=0))
+    starts, stops = edge[::2], edge[1::2]
+    none = np.zeros(0, np.uint64)
+    if not len(starts):
+        return Runs(starts, stops, none, none if prefix else None)
+    size = stops - starts
+    at = np.flatnonzero(marked)
+    first = np.concatenate([[0], np.cumsum(size)[:-1]])
+    place = np.arange(len(at)) - np.repeat(first, size)
+    with np.errstate(over="ignore"):
+        value = _place_numbers(int(size.max()))[place] * (raw[at].astype(np.uint64) + np.uint64(1))
+        count = size.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+        hashes = mix64(np.add.reduceat(value, first) + count)
+        prefixes = mix64(np.add.reduceat(np.where(place < prefix, value, np.uint64(0)), first)) if prefix else None
+    return Runs(starts, stops, hashes, prefixes)
+
+
 def words_of(texts: Sequence[str | None], lower: bool = False, chars: bool = False) -> Words:
     """All words of the texts in order. lower: A-Z become a-z first. Null counts as empty."""
     data = [t.encode("utf-8", "surrogatepass") if t else b"" for t in texts]
     if lower:
         data = [x.lower() for x in data]
-    hashes, owner, lengths = [], [], []
-    with np.errstate(over="ignore"):
-        for joined, ends, first in _slices(data):
-            raw = np.frombuffer(joined, np.uint8)
-            word = ~_SPACE[raw]
-            edge = np.flatnonzero(np.diff(word.astype(np.int8), prepend=0, append=0))
-            starts, stops = edge[::2], edge[1::2]
-            if not len(starts):
-                continue
-            size = stops - starts
-            place = np.arange(len(raw)) - np.repeat(starts, np.diff(np.append(starts, len(raw))))[: len(raw)] if starts[0] == 0 else None
-            if place is None:
-                place = np.arange(len(raw)) - np.concatenate([np.zeros(starts[0], np.int64), np.repeat(starts, np.diff(np.append(starts, len(raw))))])
-            np.minimum(place, size.max(), out=place)
-            value = _place_numbers(int(size.max()) + 1)[np.maximum(place, 0)]
-            value *= raw.astype(np.uint64) + np.uint64(1)
-            value[~word] = 0
-            hashes.append(mix64(np.add.reduceat(value, starts) + size.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)))
-            owner.append(first + np.searchsorted(ends, starts, side="right"))
-            if chars:
-                points = (word & ((raw & 0xC0) != 0x80)).astype(np.int64)
-                lengths.append(np.add.reduceat(points, starts))
-    empty = np.zeros(0, np.int64)
-    return Words(
-        np.concatenate(hashes) if hashes else np.zeros(0, np.uint64),
-        np.concatenate(owner) if owner else empty,
-        (np.concatenate(lengths) if lengths else empty) if chars else None,
-        len(texts),
-    )
+    hashes, owner, lengths = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for joined, ends, first in slices(data):
+        raw = np.frombuffer(joined, np.uint8)
+        word = ~SPACE[raw]
+        runs = hash_runs(raw, word)
+        hashes.append(runs.hashes)
+        owner.append(first + np.searchsorted(ends, runs.starts, side="right"))
+        if chars and len(runs.starts):
+            points = np.concatenate([[0], np.cumsum((raw & 0xC0) != 0x80)])
+            lengths.append(points[runs.stops] - points[runs.starts])
+    return Words(np.concatenate(hashes), np.concatenate(owner), np.concatenate(lengths) if chars else None, len(texts))
 
 
 def windows(hashes: np.ndarray, n: int) -> np.ndarray:
