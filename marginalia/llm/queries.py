@@ -59,6 +59,8 @@ QUERIES = {
 
 
 def _sql_case(column: str, weights: dict[str, int]) -> str:
+    if not weights:
+        return "1"
     return f"CASE {column} " + " ".join(f"WHEN '{k}' THEN {w}" for k, w in weights.items()) + " ELSE 1 END"
 
 
