@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marginalia.llm import decontaminate, mixing, pii, repetition, secret_scan, token_files
+from marginalia.llm import decontaminate, mixing, ngram_join, pii, repetition, secret_scan, token_files
 from marginalia.sources.tables import table
 
 #: Weights of the production mix: domains and languages by name, sources alike.
@@ -36,6 +36,10 @@ def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_selection(table(spark, sf_dir, "documents"), mixing.source_domain(F.col("source")), PRODUCTION_MIX)
 
 
+def op4_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.ngram_components(table(spark, sf_dir, "documents"))
+
+
 def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.secret_digest(table(spark, sf_dir, "documents"))
 
@@ -52,6 +56,7 @@ QUERIES = {
     "op1_token_files": op1_token_files,
     "op2_pii": op2_pii,
     "op3_mixing": op3_mixing,
+    "op4_ngram_join": op4_ngram_join,
     "op6_secrets": op6_secrets,
     "op9_decontamination": op9_decontamination,
     "op10_repetition": op10_repetition,
