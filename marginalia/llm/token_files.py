@@ -114,13 +114,19 @@ def decode_segment(data: bytes) -> np.ndarray:
     return (table + low[:, None]).reshape(-1)[:n]
 
 
+#: ASCII signs that are neither letters nor digits.
+_SIGNS = bytes(c for c in range(33, 127) if not chr(c).isalnum())
+
+
 class WordCache(dict):
-    """Ids of a text by way of its pieces between spaces and line ends, which no token of these tokenizers spans.
+    """Ids of a text by way of its pieces between white space, which no token of these tokenizers spans.
 
-    Each piece is encoded once and kept as bytes; the cache is emptied when it holds `most` pieces.
+    For tokenizers that fold case and split letters from signs. A piece is encoded once, a stem of letters and
+    the signs after it apart, and kept as bytes; new stems go through the tokenizer as one text, cut again at
+    the tokens that end a word. The cache is emptied when it holds `most` pieces.
     """
 
-    def __init__(self, path: str, most: int = 400_000) -> None:
+    def __init__(self, path: str, most: int = 600_000) -> None:
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -128,16 +134,51 @@ class WordCache(dict):
 
         super().__init__()
         self.tokenizer, self.most = Tokenizer.from_file(path), most
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends_word = np.zeros(max(vocabulary.values(), default=0) + 1, bool)
+        self.ends_word[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
+
+    def _learn(self, pieces: list[bytes]) -> None:
+        """One call for each piece: for whatever isn't a stem of letters."""
+        for a in range(0, len(pieces), 4096):
+            part = pieces[a : a + 4096]
+            for piece, e in zip(part, self.tokenizer.encode_batch_fast([p.decode() for p in part], add_special_tokens=False), strict=True):
+                self[piece] = np.array(e.ids, "<u4").tobytes()
+
+    def _learn_stems(self, stems: list[bytes]) -> None:
+        for a in range(0, len(stems), 1000):
+            part = stems[a : a + 1000]
+            ids = np.array(self.tokenizer.encode_batch_fast([b" ".join(part).decode()], add_special_tokens=False)[0].ids, "<u4")
+            stops = np.flatnonzero(self.ends_word[ids]) + 1
+            if len(stops) != len(part) or stops[-1] != len(ids):
+                self._learn(part)  # a letter that becomes more than letters
+                continue
+            raw, stops = ids.tobytes(), (4 * stops).tolist()
+            self.update(zip(part, (raw[i:j] for i, j in zip([0, *stops], stops, strict=False)), strict=True))
 
     def encode(self, texts: list[str | None], end_id: int) -> list[np.ndarray]:
-        split = [t.replace("\n", " ").split(" ") if t else [] for t in texts]
+        split = [t.encode("utf-8", "replace").lower().split() if t else [] for t in texts]
         if len(self) > self.most:
             self.clear()
-        new = list({p for pieces in split for p in pieces}.difference(self))
-        for a in range(0, len(new), 4096):
-            part = new[a : a + 4096]
-            for piece, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                self[piece] = np.array(e.ids, "<u4").tobytes()
+        new = {p for pieces in split for p in pieces}.difference(self)
+        cut: list[tuple[bytes, bytes, bytes]] = []
+        stems, others = set(), set()
+        for p in new:
+            stem = p.rstrip(_SIGNS)
+            if stem and stem.decode().isalpha():
+                if stem not in self:
+                    stems.add(stem)
+                if len(stem) < len(p):
+                    tail = p[len(stem) :]
+                    if tail not in self:
+                        others.add(tail)
+                    cut.append((p, stem, tail))
+            else:
+                others.add(p)
+        self._learn_stems(list(stems))
+        self._learn(list(others))
+        for p, stem, tail in cut:
+            self[p] = self[stem] + self[tail]
         end, get = np.array([end_id], "<u4").tobytes(), self.__getitem__
         return [np.frombuffer(b"".join(map(get, pieces)) + end, "<u4") for pieces in split]
 
