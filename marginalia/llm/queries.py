@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marginalia.llm import decontaminate, mixing, ngram_join, pii, repetition, secret_scan, token_files
+from marginalia.llm import decontaminate, html_extract, mixing, ngram_join, pii, repetition, secret_scan, token_files, toxicity, url_templates
 from marginalia.sources.tables import table
 
 #: Weights of the production mix: domains and languages by name, sources alike.
@@ -18,6 +18,15 @@ PRODUCTION_MIX = mixing.Mix(
 END_ID = 1
 
 
+# The rules of the URL query.
+URL_RULES = (
+    url_templates.Rule("net", "/", "block"),
+    url_templates.Rule("example.net", "/en/", "allow"),
+    url_templates.Rule("example.com", "/de/", "block"),
+    url_templates.Rule("org", "/fr/", "allow"),
+)
+
+
 def tokenizer_path() -> str:
     import public_tokenizers
 
@@ -40,10 +49,22 @@ def op4_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.ngram_components(table(spark, sf_dir, "documents"))
 
 
+def op5_url_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_templates.judge_urls(table(spark, sf_dir, "pages"), URL_RULES)
+
+
 def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.secret_digest(table(spark, sf_dir, "documents"))
 
 
+def op7_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract_pages(table(spark, sf_dir, "pages"))
+
+
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.find_contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -57,7 +78,10 @@ QUERIES = {
     "op2_pii": op2_pii,
     "op3_mixing": op3_mixing,
     "op4_ngram_join": op4_ngram_join,
+    "op5_url_templates": op5_url_templates,
     "op6_secrets": op6_secrets,
+    "op7_html_extract": op7_html_extract,
+    "op8_toxicity": op8_toxicity,
     "op9_decontamination": op9_decontamination,
     "op10_repetition": op10_repetition,
 }

@@ -1,10 +1,10 @@
 """Toxic passages as maximal-scoring segments of token log-odds.
 
 Training counts in how many toxic and clean labelled texts each word and each four-byte word beginning
-occurs. A word's log-odds has a Dirichlet prior whose mean is that of its beginning, which has the corpus's own
-rate as its prior; a standard error is taken off, so that rare words say little. A word that was never seen has what
-its beginning alone supports, most often nothing. From each token's log-odds a drift is taken, and one linear scan
-finds all maximal-scoring segments of a text (Ruzzo and Tompa).
+occurs; toxic texts that repeat a word between the same neighbours, as copies do, count once. A token's log-odds
+has a Dirichlet prior: the corpus's own rate, and up to `beginning_weight` texts of other words that begin
+alike. Standard errors are taken off, so that rare words say little. From each token's log-odds a drift is
+taken, and one linear scan finds all maximal-scoring segments of a text (Ruzzo and Tompa).
 
 Scores of the best segment in clean labelled texts that were not counted follow an extreme-value law with the
 text's length; its two parameters turn a segment's score into a p-value. A segment below `alpha` is a passage.
@@ -43,9 +43,10 @@ class ToxicityRules:
     counted_share: float = 0.75
     drift: float = 0.6
     alpha: float = 0.01
-    word_prior: float = 2.0
-    beginning_prior: float = 8.0
-    min_beginning: int = 20
+    prior: float = 2.0
+    beginning_weight: float = 8.0
+    beginning_share: float = 0.3
+    errors: float = 1.25
 
 
 @dataclass
@@ -73,14 +74,30 @@ def tokens_of(texts: Sequence[str | None]) -> Tokens:
     return Tokens(*(np.concatenate(x) for x in zip(*parts, strict=True)))
 
 
+@dataclass
+class Counts:
+    """Sorted hashes, each with the toxic and clean texts that have it."""
+
+    keys: np.ndarray
+    toxic: np.ndarray
+    clean: np.ndarray
+
+    def of(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        if not len(self.keys):
+            return np.zeros(len(keys)), np.zeros(len(keys))
+        at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+        hit = self.keys[at] == keys
+        return np.where(hit, self.toxic[at], 0.0), np.where(hit, self.clean[at], 0.0)
+
+
 @dataclass
 class Model:
-    """Sorted hashes with log-odds of words and beginnings; extreme-value parameters; logistic coefficients."""
+    """Counts of words and beginnings, texts of each kind; extreme-value parameters; logistic coefficients."""
 
-    words: np.ndarray
-    word_scores: np.ndarray
-    beginnings: np.ndarray
-    beginning_scores: np.ndarray
+    words: Counts
+    beginnings: Counts
+    n_toxic: int
+    n_clean: int
     rules: ToxicityRules
     lam: float = 1.0
     log_k: float = 0.0
@@ -88,8 +105,17 @@ class Model:
     slope: float = 0.0
 
     def token_scores(self, t: Tokens) -> np.ndarray:
-        out = _lookup(t.beginnings, self.beginnings, self.beginning_scores, np.zeros(len(t.words)))
-        return _lookup(t.words, self.words, self.word_scores, out) - self.rules.drift
+        return self.log_odds(t.words, t.beginnings) - self.rules.drift
+
+    def log_odds(self, words: np.ndarray, beginnings: np.ndarray) -> np.ndarray:
+        r = self.rules
+        rate, balance = self.n_toxic / (self.n_toxic + self.n_clean), math.log(self.n_toxic / self.n_clean)
+        (t, n), (bt, bn) = self.words.of(words), self.beginnings.of(beginnings)
+        bt, bn = np.maximum(bt - t, 0), np.maximum(bn - n, 0)
+        share = np.minimum(r.beginning_share, r.beginning_weight / np.maximum(bt + bn, 1))
+        a, b = t + share * bt + r.prior * rate, n + share * bn + r.prior * (1 - rate)
+        value = np.log(a / b) - balance
+        return np.sign(value) * np.maximum(np.abs(value) - r.errors * np.sqrt(1 / a + 1 / b), 0)
 
     def log_p(self, score: np.ndarray | float, length: np.ndarray | int) -> np.ndarray:
         """log10 of the probability that a clean text of that length has a segment of that score."""
@@ -97,13 +123,6 @@ class Model:
         return np.log10(np.maximum(-np.expm1(-expected), 1e-60))
 
 
-def _lookup(keys: np.ndarray, table: np.ndarray, values: np.ndarray, default: np.ndarray) -> np.ndarray:
-    if not len(table):
-        return default
-    at = np.minimum(np.searchsorted(table, keys), len(table) - 1)
-    return np.where(table[at] == keys, values[at], default)
-
-
 def maximal_segments(scores: np.ndarray) -> list[tuple[int, int, float]]:
     """All maximal-scoring segments as (first, end, score), in order; linear in the number of positive scores."""
     positive = np.flatnonzero(scores > 0)
@@ -185,6 +204,29 @@ def _count_batch(kind: int, keys: np.ndarray, toxic: np.ndarray, clean: np.ndarr
     return pa.RecordBatch.from_arrays(columns, names=["kind", "key", "toxic", "clean"])
 
 
+def _contexts(rows: DataFrame, kind: np.ndarray, keys: np.ndarray) -> DataFrame:
+    """Of toxic texts: in how many different pairs of neighbours each of these words and beginnings stands."""
+    known = rows.sparkSession.sparkContext.broadcast([np.sort(keys[kind == k]) for k in (0, 1)])
+
+    def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = batch.column(0).to_pylist()
+            for a, b in bounded(texts):
+                t = tokens_of(texts[a:b])
+                before, after = np.zeros_like(t.words), np.zeros_like(t.words)
+                same = t.owner[1:] == t.owner[:-1]
+                before[1:][same], after[:-1][same] = t.words[:-1][same], t.words[1:][same]
+                with np.errstate(over="ignore"):
+                    place = before * np.uint64(0x9E3779B97F4A7C15) + after * np.uint64(0xD6E8FEB86659FD93)
+                for k, x in ((0, t.words), (1, t.beginnings)):
+                    at = np.flatnonzero(np.isin(x, known.value[k]))
+                    if len(at):
+                        found = np.unique(np.column_stack([x[at], place[at]]), axis=0).view(np.int64)
+                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(found), k, np.int8)), pa.array(found[:, 0]), pa.array(found[:, 1])], names=["kind", "key", "place"])
+
+    return rows.select("text").mapInArrow(places, "kind tinyint, key bigint, place bigint").distinct().groupBy("kind", "key").agg(F.count(F.lit(1)).alias("places"))
+
+
 def fit(docs: DataFrame, labels: DataFrame, rules: ToxicityRules = ToxicityRules()) -> Model:
     """docs: doc_id, text. labels: doc_id, toxic (0, 1; others are left out). The caller decides which labels may be seen."""
     labels = labels.select("doc_id", F.col("toxic").cast("int").alias("toxic")).where("toxic in (0, 1)").dropDuplicates(["doc_id"])
@@ -194,35 +236,30 @@ def fit(docs: DataFrame, labels: DataFrame, rules: ToxicityRules = ToxicityRules
     # At most about max_train rows of two numbers.
     rows = docs.select("doc_id", "text").where(F.col("text").isNotNull()).join(F.broadcast(drawn), "doc_id").withColumn("counted", counted)
     counts = _counts(rows.where("counted"))
+    # At most max_features rows of numbers; those that toxic texts have come first.
     top = counts.orderBy((F.col("kind") != 2).asc(), F.col("toxic").desc(), F.col("clean").desc(), "kind", "key").limit(rules.max_features).toArrow()
     kind, key, toxic, clean = (top.column(c).to_numpy() for c in ("kind", "key", "toxic", "clean"))
-    empty = Model(np.zeros(0, np.uint64), np.zeros(0), np.zeros(0, np.uint64), np.zeros(0), rules, intercept=-math.inf)
+    key, toxic = key.view(np.uint64), toxic.astype(float)
     n_toxic, n_clean = (int(x[kind == 2].sum()) for x in (toxic, clean))
+    none = Counts(np.zeros(0, np.uint64), np.zeros(0), np.zeros(0))
     if not n_toxic or not n_clean:
-        return empty
-    model = _log_odds(kind, key.view(np.uint64), toxic, clean, n_toxic, n_clean, rules)
-    return _calibrate(model, rows.where("NOT counted"), n_toxic / (n_toxic + n_clean))
-
-
-def _log_odds(kind: np.ndarray, key: np.ndarray, toxic: np.ndarray, clean: np.ndarray, n_toxic: int, n_clean: int, rules: ToxicityRules) -> Model:
-    rate, balance = n_toxic / (n_toxic + n_clean), math.log(n_toxic / n_clean)
-
-    def lower(t: np.ndarray, n: np.ndarray, prior: np.ndarray | float, mean: np.ndarray | float) -> np.ndarray:
-        a, b = t + prior * mean, n + prior * (1 - mean)
-        value = np.log(a / b) - balance
-        return np.sign(value) * np.maximum(np.abs(value) - np.sqrt(1 / a + 1 / b), 0)
-
-    def table(k: int) -> tuple[np.ndarray, ...]:
-        rows = np.flatnonzero(kind == k)
-        rows = rows[np.argsort(key[rows])]
-        return key[rows], toxic[rows].astype(float), clean[rows].astype(float)
-
-    words, wt, wn = table(0)
-    heads, ht, hn = table(1)
-    head_scores = np.where(ht + hn >= rules.min_beginning, np.maximum(lower(ht, hn, rules.beginning_prior, rate), 0), 0.0)
-    # A word's own beginning is not kept with its hash: the prior mean of all words is the corpus's rate.
-    word_scores = lower(wt, wn, rules.word_prior, rate)
-    return Model(words, word_scores, heads, head_scores, rules)
+        return Model(none, none, 1, 1, rules, intercept=-math.inf)
+    leaning = (kind != 2) & (toxic > 1) & (toxic * n_clean > clean * n_toxic)
+    places = _contexts(rows.where("counted AND toxic = 1"), kind[leaning], key[leaning]).toArrow()
+    for k in (0, 1):
+        which = places.column("kind").to_numpy() == k
+        keys = places.column("key").to_numpy()[which].view(np.uint64)
+        order = np.argsort(keys)
+        seen = Counts(keys[order], places.column("places").to_numpy()[which][order].astype(float), np.zeros(which.sum()))
+        mine = leaning & (kind == k)
+        toxic[mine] = np.minimum(toxic[mine], seen.of(key[mine])[0])
+
+    def table(k: int) -> Counts:
+        rows_ = np.flatnonzero(kind == k)
+        rows_ = rows_[np.argsort(key[rows_])]
+        return Counts(key[rows_], toxic[rows_], clean[rows_].astype(float))
+
+    return _calibrate(Model(table(0), table(1), n_toxic, n_clean, rules), rows.where("NOT counted"), n_toxic / (n_toxic + n_clean))
 
 
 def _calibrate(model: Model, rows: DataFrame, rate: float) -> Model:
