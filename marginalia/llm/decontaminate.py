@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marginalia.llm.word_hashes import SPACE, bounded, hash_runs, mix64, slices, windows
+from marginalia.llm.word_hashes import SPACE, hash_runs, mix64, parts, slices, windows
 
 BLOCK_CHARS = 16_000_000
 NUM, NAME, UNIT = (np.uint64(x) for x in (0x6E756D, 0x6E616D65, 0x756E6974))
@@ -71,7 +71,7 @@ def _within(x: np.ndarray, table: np.ndarray) -> np.ndarray:
 
 
 def canonical(texts: Sequence[str | None]) -> Template:
-    parts: list[tuple[np.ndarray, ...]] = [(np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.int8), np.zeros(0, np.int64))]
+    pieces: list[tuple[np.ndarray, ...]] = [(np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.int8), np.zeros(0, np.int64))]
     for joined, ends, first in slices([t.encode("utf-8", "surrogatepass") if t else b"" for t in texts]):
         raw = np.frombuffer(joined, np.uint8)
         token, digit = _TOKEN[raw], _DIGIT[raw]
@@ -94,8 +94,8 @@ def canonical(texts: Sequence[str | None]) -> Template:
         unit[:1] = False
         slot = np.select([number, name, unit], [1, 2, 3], 0).astype(np.int8)
         shape = np.select([number, name, unit], [NUM, NAME, UNIT], runs.hashes)
-        parts.append((shape, runs.hashes, slot, owner))
-    return Template(*(np.concatenate(x) for x in zip(*parts, strict=True)))
+        pieces.append((shape, runs.hashes, slot, owner))
+    return Template(*(np.concatenate(x) for x in zip(*pieces, strict=True)))
 
 
 @dataclass
@@ -198,10 +198,9 @@ def find_contamination(
         def scan(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             index = shared.value
             for batch in batches:
-                texts = batch.column(1).to_pylist()
-                for a, b in bounded(texts):
-                    hits = matches(texts[a:b], index, rules)
-                    ids = batch.column(0).slice(a, b - a).to_pylist()
+                for part, texts in parts(batch, 1):
+                    hits = matches(texts, index, rules)
+                    ids = part.column(0).to_pylist()
                     rows = [(ids[d], index.ids[i], n, int(index.sizes[i]), c, s) for d, i, n, c, s in hits]
                     columns = list(zip(*rows, strict=True)) if rows else [[] for _ in range(6)]
                     kinds = [pa.int64()] * 5 + [pa.float64()]
@@ -222,12 +221,10 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "te
 
         def clean(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                texts = batch.column(at).to_pylist()
-                keep = np.ones(len(texts), bool)
-                for a, b in bounded(texts):
-                    for d, *_ in matches(texts[a:b], shared.value, rules):
-                        keep[a + d] = False
-                yield batch.filter(pa.array(keep))
+                for part, texts in parts(batch, at):
+                    keep = np.ones(len(texts), bool)
+                    keep[[d for d, *_ in matches(texts, shared.value, rules)]] = False
+                    yield part.filter(pa.array(keep))
 
         out = out.mapInArrow(clean, out.schema)
     return out.toDF(*columns)

@@ -30,13 +30,13 @@ from pyspark.sql import functions as F
 from marginalia.llm import partition_signatures as ps
 from marginalia.llm.components import components
 from marginalia.llm.partition_signatures import Similarity
-from marginalia.llm.word_hashes import bounded
+from marginalia.llm.word_hashes import parts
 from marginalia.workspace import written
 
 #: Classes that may meet by one signature.
 FREQUENT = 32
 #: Signatures that a task packs before it hands them on, and that a bucket should hold.
-PACKED, BUCKET = 1 << 20, 1 << 21
+PACKED, BUCKET = 1 << 19, 1 << 20
 #: Ids up to which a set of documents is picked by a broadcast; beyond, by a shuffle.
 MAX_BROADCAST_IDS = 1_000_000
 #: Classes of one block of a family.
@@ -50,16 +50,15 @@ def shingle_classes(docs: DataFrame, sim: Similarity) -> DataFrame:
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column(1).to_pylist()
-            for a, b in bounded(texts):
+            for part, texts in parts(batch, 1):
                 rows: list[tuple] = []
-                for s in ps.shingle_sets(texts[a:b], sim):
+                for s in ps.shingle_sets(texts, sim):
                     found = ps.schemes(len(s), sim)
                     filled = [ps.filled_segments(s, band, sim) for band, _ in found]
                     rows.append((len(s), *ps.identity(s), [band for band, _ in found], filled, [h + 1 for _, h in found]))
                 kinds = [pa.int64()] * 3 + [pa.list_(pa.int32())] * 3
                 columns = [pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), *columns], names=["doc_id", "n", "k1", "k2", "bands", "filled", "needed"])
+                yield pa.RecordBatch.from_arrays([part.column(0), *columns], names=["doc_id", "n", "k1", "k2", "bands", "filled", "needed"])
 
     return docs.mapInArrow(measure, _SETS)
 
@@ -118,9 +117,8 @@ def packed_signatures(docs: DataFrame, sim: Similarity, buckets: int, neighbours
                 yield pa.RecordBatch.from_arrays([pa.array([row[0]], pa.int32()), *(pa.array([x], pa.binary()) for x in row[1:])], names=["bucket", "sigs", "ids", "bands", "marks", "hot"])
 
         for batch in batches:
-            texts = batch.column(0).to_pylist()
-            for a, b in bounded(texts, 1 << 21):
-                for s in ps.shingle_sets(texts[a:b], sim):
+            for _, texts in parts(batch, 0):
+                for s in ps.shingle_sets(texts, sim):
                     key = ps.identity(s)
                     if not len(s) or key in seen:
                         continue
@@ -152,13 +150,13 @@ def _meet(table: pa.Table) -> pa.Table:
     members = np.repeat(common, sizes)
     if members.any():
         hot.append(_counted(ids[members], bands[members]))
-    parts = [np.zeros((0, 3), np.int64)]
+    met = [np.zeros((0, 3), np.int64)]
     for n in np.unique(sizes[~common & (sizes > 1)]).tolist():
         first = starts[~common & (sizes == n)]
         groups = ids[first[:, None] + np.arange(n)]
         i, j = np.triu_indices(n, 1)
-        parts.append(np.column_stack([groups[:, i].ravel(), groups[:, j].ravel(), np.repeat(bands[first].astype(np.int64), len(i))]))
-    pairs = np.concatenate(parts)
+        met.append(np.column_stack([groups[:, i].ravel(), groups[:, j].ravel(), np.repeat(bands[first].astype(np.int64), len(i))]))
+    pairs = np.concatenate(met)
     pairs, n = np.unique(pairs, axis=0, return_counts=True) if len(pairs) else (pairs, np.zeros(0, np.int64))
     hots = np.concatenate(hot)
     kinds = np.concatenate([np.zeros(len(pairs), np.int8), np.ones(len(hots), np.int8)])
@@ -188,10 +186,9 @@ def _set_table(docs: DataFrame, sim: Similarity) -> DataFrame:
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column(1).to_pylist()
-            for a, b in bounded(texts):
-                sets = ps.shingle_sets(texts[a:b], sim)
-                columns = [batch.column(0).slice(a, b - a), pa.array([len(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())]
+            for part, texts in parts(batch, 1):
+                sets = ps.shingle_sets(texts, sim)
+                columns = [part.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())]
                 yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n", "elements"])
 
     return docs.mapInArrow(pack, "doc_id bigint, n bigint, elements binary")
@@ -413,10 +410,9 @@ def _neighbour_units(docs: DataFrame, sim: Similarity) -> DataFrame:
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column(1).to_pylist()
-            for a, b in bounded(texts):
+            for part, texts in parts(batch, 1):
                 rows = []
-                for doc_id, s in zip(batch.column(0).slice(a, b - a).to_pylist(), ps.shingle_sets(texts[a:b], sim), strict=True):
+                for doc_id, s in zip(part.column(0).to_pylist(), ps.shingle_sets(texts, sim), strict=True):
                     k1 = ps.identity(s)[0]
                     rows += [(doc_id, k1, band, ps.sign(s, band, sim, neighbours=True).units, h + 1) for band, h in ps.schemes(len(s), sim)]
                 kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64()]

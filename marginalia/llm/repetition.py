@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marginalia.llm.word_hashes import bounded, windows, words_of
+from marginalia.llm.word_hashes import parts, windows, words_of
 
 _BLANK = " \t\n\r\x0b\x0c"
 _SYMBOLS = "#*$%&|<>"
@@ -105,10 +105,9 @@ def repetition_quality(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column(1).to_pylist()
-            for a, b in bounded(texts):
-                m = _measure(texts[a:b], rules)
-                columns = [batch.column(0).slice(a, b - a), *(pa.array(m[c]) for c in [*longs, *flags])]
+            for part, texts in parts(batch, 1):
+                m = _measure(texts, rules)
+                columns = [part.column(0), *(pa.array(m[c]) for c in [*longs, *flags])]
                 yield pa.RecordBatch.from_arrays(columns, names=[id_col, *longs, *flags])
 
     kind = source.schema[0].dataType.simpleString()
@@ -123,8 +122,7 @@ def keep_by_repetition(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
     def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column(at).to_pylist()
-            flags = [f for a, b in bounded(texts) for f in _measure(texts[a:b], rules)["kept"].tolist()]
-            yield batch.filter(pa.array(flags, pa.bool_()))
+            for part, texts in parts(batch, at):
+                yield part.filter(pa.array(_measure(texts, rules)["kept"]))
 
     return positional.mapInArrow(kept, positional.schema).toDF(*columns)

@@ -123,10 +123,11 @@ class WordCache(dict):
 
     For tokenizers that fold case and split letters from signs. A piece is encoded once, a stem of letters and
     the signs after it apart, and kept as bytes; new stems go through the tokenizer as one text, cut again at
-    the tokens that end a word. The cache is emptied when it holds `most` pieces.
+    the tokens that end a word. Beyond `most` pieces the cache starts anew and takes over from the one before what
+    is asked for again, so that it holds twice that many at most and keeps the frequent ones.
     """
 
-    def __init__(self, path: str, most: int = 600_000) -> None:
+    def __init__(self, path: str, most: int = 200_000) -> None:
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -134,10 +135,15 @@ class WordCache(dict):
 
         super().__init__()
         self.tokenizer, self.most = Tokenizer.from_file(path), most
+        self.before: dict[bytes, bytes] = {}
         vocabulary = self.tokenizer.get_vocab()
         self.ends_word = np.zeros(max(vocabulary.values(), default=0) + 1, bool)
         self.ends_word[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
 
+    def __missing__(self, piece: bytes) -> bytes:
+        value = self[piece] = self.before[piece]
+        return value
+
     def _learn(self, pieces: list[bytes]) -> None:
         """One call for each piece: for whatever isn't a stem of letters."""
         for a in range(0, len(pieces), 4096):
@@ -159,18 +165,19 @@ class WordCache(dict):
     def encode(self, texts: list[str | None], end_id: int) -> list[np.ndarray]:
         split = [t.encode("utf-8", "replace").lower().split() if t else [] for t in texts]
         if len(self) > self.most:
+            self.before = dict(self)
             self.clear()
-        new = {p for pieces in split for p in pieces}.difference(self)
+        new = set().union(*split).difference(self).difference(self.before)
         cut: list[tuple[bytes, bytes, bytes]] = []
         stems, others = set(), set()
         for p in new:
             stem = p.rstrip(_SIGNS)
             if stem and stem.decode().isalpha():
-                if stem not in self:
+                if stem not in self and stem not in self.before:
                     stems.add(stem)
                 if len(stem) < len(p):
                     tail = p[len(stem) :]
-                    if tail not in self:
+                    if tail not in self and tail not in self.before:
                         others.add(tail)
                     cut.append((p, stem, tail))
             else:

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from marginalia.llm.word_hashes import bounded, hash_runs, slices
+from marginalia.llm.word_hashes import hash_runs, parts, slices
 
 _TOKEN = np.zeros(256, bool)
 _TOKEN[48:58] = _TOKEN[65:91] = _TOKEN[97:123] = _TOKEN[128:] = True
@@ -59,7 +59,7 @@ class Tokens:
 
 
 def tokens_of(texts: Sequence[str | None]) -> Tokens:
-    parts: list[tuple[np.ndarray, ...]] = [(np.zeros(0, np.uint64), np.zeros(0, np.uint64), *(np.zeros(0, np.int64) for _ in range(3)))]
+    pieces: list[tuple[np.ndarray, ...]] = [(np.zeros(0, np.uint64), np.zeros(0, np.uint64), *(np.zeros(0, np.int64) for _ in range(3)))]
     base: dict[int, int] = {}
     for joined, ends, first in slices([t.encode("utf-8", "replace") if t else b"" for t in texts]):
         raw = np.frombuffer(joined, np.uint8)
@@ -68,10 +68,10 @@ def tokens_of(texts: Sequence[str | None]) -> Tokens:
         owner = first + np.searchsorted(ends, runs.starts, side="right")
         offset = points[np.minimum(np.concatenate([[0], ends[:-1]]), len(raw))]
         shift = offset[owner - first] - base.get(first, 0) * (owner == first)
-        parts.append((runs.hashes, runs.prefixes, owner, points[runs.starts] - shift, points[runs.stops] - shift))
+        pieces.append((runs.hashes, runs.prefixes, owner, points[runs.starts] - shift, points[runs.stops] - shift))
         if len(ends) == 1:  # a long text comes in several slices
             base[first] = base.get(first, 0) + int(points[-1])
-    return Tokens(*(np.concatenate(x) for x in zip(*parts, strict=True)))
+    return Tokens(*(np.concatenate(x) for x in zip(*pieces, strict=True)))
 
 
 @dataclass
@@ -175,11 +175,13 @@ def _counts(rows: DataFrame) -> DataFrame:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for batch in batches:
-            texts, toxic = batch.column(0).to_pylist(), np.array(batch.column(1).to_pylist(), np.int64)
-            for a, b in bounded(texts):
-                fresh = np.array([hash(t) not in seen for t in texts[a:b]], bool)
-                seen.update(hash(t) for t in texts[a:b])
-                t = tokens_of(texts[a:b])
+            for part, texts in parts(batch, 0):
+                toxic = np.array(part.column(1).to_pylist(), np.int64)
+                fresh = np.ones(len(texts), bool)
+                for i, h in enumerate(map(hash, texts)):
+                    fresh[i] = h not in seen
+                    seen.add(h)
+                t = tokens_of(texts)
                 for kind, keys in ((0, t.words), (1, t.beginnings)):
                     order = np.lexsort((keys, t.owner))
                     k, o = keys[order], t.owner[order]
@@ -187,16 +189,16 @@ def _counts(rows: DataFrame) -> DataFrame:
                     new[1:] = (k[1:] != k[:-1]) | (o[1:] != o[:-1])
                     new &= fresh[o]
                     keys_, which = np.unique(k[new], return_inverse=True)
-                    bad = np.bincount(which, weights=toxic[a:b][o[new]], minlength=len(keys_)).astype(np.int64)
+                    bad = np.bincount(which, weights=toxic[o[new]], minlength=len(keys_)).astype(np.int64)
                     every = np.bincount(which, minlength=len(keys_))
                     yield _count_batch(kind, keys_.view(np.int64), bad, every - bad)
-                bad = int(toxic[a:b][fresh].sum())
+                bad = int(toxic[fresh].sum())
                 yield _count_batch(2, np.zeros(1, np.int64), np.array([bad]), np.array([int(fresh.sum()) - bad]))
             if len(seen) > 1_000_000:
                 seen.clear()
 
-    parts = rows.select("text", "toxic").mapInArrow(count, "kind tinyint, key bigint, toxic bigint, clean bigint")
-    return parts.groupBy("kind", "key").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
+    counted = rows.select("text", "toxic").mapInArrow(count, "kind tinyint, key bigint, toxic bigint, clean bigint")
+    return counted.groupBy("kind", "key").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
 
 
 def _count_batch(kind: int, keys: np.ndarray, toxic: np.ndarray, clean: np.ndarray) -> pa.RecordBatch:
@@ -210,9 +212,8 @@ def _contexts(rows: DataFrame, kind: np.ndarray, keys: np.ndarray) -> DataFrame:
 
     def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column(0).to_pylist()
-            for a, b in bounded(texts):
-                t = tokens_of(texts[a:b])
+            for _, texts in parts(batch, 0):
+                t = tokens_of(texts)
                 before, after = np.zeros_like(t.words), np.zeros_like(t.words)
                 same = t.owner[1:] == t.owner[:-1]
                 before[1:][same], after[:-1][same] = t.words[:-1][same], t.words[1:][same]
@@ -267,10 +268,9 @@ def _calibrate(model: Model, rows: DataFrame, rate: float) -> Model:
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column(0).to_pylist()
-            for a, b in bounded(texts):
-                found = list(_per_text(texts[a:b], shared.value))
-                columns = [batch.column(1).slice(a, b - a), pa.array([n for n, _ in found], pa.int64()), pa.array([[x[2] for x in s] for _, s in found], pa.list_(pa.float64()))]
+            for part, texts in parts(batch, 0):
+                found = list(_per_text(texts, shared.value))
+                columns = [part.column(1), pa.array([n for n, _ in found], pa.int64()), pa.array([[x[2] for x in s] for _, s in found], pa.list_(pa.float64()))]
                 yield pa.RecordBatch.from_arrays(columns, names=["toxic", "n", "scores"])
 
     got = rows.select("text", "toxic").mapInArrow(measure, "toxic int, n bigint, scores array<double>").toArrow().to_pydict()
@@ -317,15 +317,14 @@ def score_documents(docs: DataFrame, model: Model, id_col: str = "doc_id", text_
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         for batch in batches:
-            texts = batch.column(1).to_pylist()
-            for a, b in bounded(texts):
+            for part, texts in parts(batch, 1):
                 scores, passages = [], []
-                for n, found in _per_text(texts[a:b], m):
+                for n, found in _per_text(texts, m):
                     x = m.intercept + m.slope * evidence(n, found, m) if m.intercept > -math.inf else -math.inf
                     scores.append(1 / (1 + math.exp(-x)) if x > -700 else 0.0)
                     sure = -m.log_p(np.array([s for *_, s in found]), n) >= -math.log10(m.rules.alpha) if found else []
                     passages.append([{"start": i, "end": j, "score": s} for (i, j, s), ok in zip(found, sure, strict=True) if ok])
-                columns = [batch.column(0).slice(a, b - a), pa.array(scores, pa.float64()), pa.array([int(s >= threshold) for s in scores], pa.int32()), pa.array(passages, kind)]
+                columns = [part.column(0), pa.array(scores, pa.float64()), pa.array([int(s >= threshold) for s in scores], pa.int32()), pa.array(passages, kind)]
                 yield pa.RecordBatch.from_arrays(columns, names=[id_col, "score", "predicted", "passages"])
 
     return source.mapInArrow(scan, f"`{id_col}` {source.schema[0].dataType.simpleString()}, score double, predicted int, passages {PASSAGES}")

@@ -11,6 +11,7 @@ from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 
 #: Bytes of text that are hashed at once; a longer text is cut at white space.
 SLICE_BYTES = 1 << 20
@@ -134,6 +135,15 @@ def windows(hashes: np.ndarray, n: int) -> np.ndarray:
     return mix64(out)
 
 
+def parts(batch: pa.RecordBatch, column: int, rows: int = 500) -> Iterator[tuple[pa.RecordBatch, list[str | None]]]:
+    """A batch in parts of at most so many rows and about 4 million characters, each with its texts as strings."""
+    for at in range(0, batch.num_rows, rows):
+        piece = batch.slice(at, rows)
+        texts = piece.column(column).to_pylist()
+        for a, b in bounded(texts):
+            yield piece.slice(a, b - a), texts[a:b]
+
+
 def bounded(texts: Sequence[str | None], most: int = 4 * SLICE_BYTES) -> Iterator[tuple[int, int]]:
     """Ranges of texts that hold about `most` characters together; a longer text stands alone."""
     start = size = 0
