@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from marginalia.jobs import citations, texts
+from marginalia.jobs import citations, records, texts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
-for _module in (citations, texts):
+for _module in (citations, texts, records):
     QUERIES |= _module.QUERIES
     ORACLE_SQL |= _module.ORACLE_SQL
