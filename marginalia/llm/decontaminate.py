@@ -2,7 +2,8 @@
 
 Numbers, names and units of a text become typed placeholders, so that a question with other figures or
 other people keeps its template. Hashed windows of `window` template tokens of the benchmark meet those of
-every document; for each document and item that share windows the slots are then checked: one value of
+every document, and so do windows in which only numbers and units were replaced, for texts that are written in
+other case; for each document and item that share windows the slots are then checked: one value of
 the item must always have become the same value of the document. A document is contaminated by an item
 if it has at least `coverage` of the item's windows with consistent slots.
 
@@ -48,7 +49,7 @@ class TemplateRules:
 
 @dataclass
 class Template:
-    """Tokens of several texts: template hash, hash of the token itself, placeholder type (0: a literal) and owner."""
+    """Tokens of several texts: template hash, hash of the token itself, placeholder type (0: a literal), and owner."""
 
     shape: np.ndarray
     value: np.ndarray
@@ -123,8 +124,8 @@ def index_benchmark(ids: list[int], texts: Sequence[str | None], rules: Template
             continue
         if n < rules.window:
             short[n].append(k)
-        h, at = _specific_windows(t, n, rules.min_literals if n == rules.window else min(n, rules.min_literals))
-        sizes.append(len(h))
+        h, at, _ = _specific_windows(t, n, rules.min_literals if n == rules.window else min(n, rules.min_literals))
+        sizes.append(len(np.unique(at)))
         hashes.append(h)
         item.append(np.full(len(h), k))
         place.append(at)
@@ -133,37 +134,44 @@ def index_benchmark(ids: list[int], texts: Sequence[str | None], rules: Template
     return Benchmark(ids, h[order], np.concatenate(item)[order], np.concatenate(place)[order], np.array(sizes), templates, dict(short))
 
 
-def _specific_windows(t: Template, n: int, literals: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes and places of the windows of n tokens inside one text that hold enough literal tokens."""
-    h = windows(t.shape, n)
-    if not len(h):
-        return h, np.zeros(0, np.int64)
-    held = np.concatenate([[0], np.cumsum(t.slot == 0)])
-    good = (t.owner[: len(h)] == t.owner[n - 1 :]) & (held[n:] - held[:-n] >= literals)
-    at = np.flatnonzero(good)
-    with np.errstate(over="ignore"):
-        return mix64(h[at] + np.uint64(n)), at
+def _specific_windows(t: Template, n: int, literals: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes and places of the windows of n tokens inside one text that hold enough literal tokens, and whether names were replaced."""
+    hashes, places, named = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [np.zeros(0, bool)]
+    is_name = t.slot == 2
+    for names in (True, False):
+        shape, slot = (t.shape, t.slot) if names else (np.where(is_name, t.value, t.shape), np.where(is_name, 0, t.slot))
+        h = windows(shape, n)
+        if not len(h):
+            continue
+        held = np.concatenate([[0], np.cumsum(slot == 0)])
+        good = (t.owner[: len(h)] == t.owner[n - 1 :]) & (held[n:] - held[:-n] >= literals)
+        at = np.flatnonzero(good)
+        with np.errstate(over="ignore"):
+            hashes.append(mix64(h[at] + np.uint64(2 * n + names)))
+        places.append(at)
+        named.append(np.full(len(at), names))
+    return np.concatenate(hashes), np.concatenate(places), np.concatenate(named)
 
 
 def matches(texts: Sequence[str | None], bench: Benchmark, rules: TemplateRules) -> list[tuple[int, int, int, int, float]]:
     """(index of the text, index of the item, windows of the item found, values changed, consistent share) of the contaminated."""
     t = canonical(texts)
-    found: dict[tuple[int, int], list[tuple[int, int, int]]] = defaultdict(list)
+    found: dict[tuple[int, int], list[tuple[int, int, int, bool]]] = defaultdict(list)
     for n in sorted({rules.window, *bench.short}):
-        h, at = _specific_windows(t, n, rules.min_literals if n == rules.window else min(n, rules.min_literals))
+        h, at, named = _specific_windows(t, n, rules.min_literals if n == rules.window else min(n, rules.min_literals))
         hit = np.flatnonzero(_within(h, bench.hashes))
         low, high = np.searchsorted(bench.hashes, h[hit], "left"), np.searchsorted(bench.hashes, h[hit], "right")
         for i, a, b in zip(hit.tolist(), low.tolist(), high.tolist(), strict=True):
             p = int(at[i])
             for k in range(a, b):
-                found[int(t.owner[p]), int(bench.item[k])].append((p, int(bench.place[k]), n))
+                found[int(t.owner[p]), int(bench.item[k])].append((p, int(bench.place[k]), n, bool(named[i])))
     out = []
     for (doc, item), hits in found.items():
-        covered = len({q for _, q, _ in hits})
+        covered = len({q for _, q, _, _ in hits})
         if covered < rules.coverage * bench.sizes[item]:
             continue
         value, slot = bench.templates[item]
-        pairs = {(p + j, q + j) for p, q, n in hits for j in range(n) if slot[q + j]}
+        pairs = {(p + j, q + j) for p, q, n, names in hits for j in range(n) if slot[q + j] and (names or slot[q + j] != 2)}
         became: dict[tuple[int, int], Counter] = defaultdict(Counter)
         for p, q in pairs:
             became[int(slot[q]), int(value[q])][int(t.value[p])] += 1

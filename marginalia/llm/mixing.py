@@ -67,7 +67,7 @@ def _weight(level: str, name: Column, mix: Mix) -> Column:
 
 def _deal(nodes: DataFrame, parent: list[str], name: str) -> DataFrame:
     """nodes: parent..., name, weight, cap, given (the parent's budget). Adds `budget`: the weighted filling of the children."""
-    by_need = W.partitionBy(*parent).orderBy((F.col("cap").cast("double") / F.col("weight").cast("double")).asc_nulls_last(), name)
+    by_need = W.partitionBy(*parent).orderBy(F.try_divide(F.col("cap").cast("double"), F.col("weight").cast("double")).asc_nulls_last(), name)
     group = W.partitionBy(*parent)
     wide = lambda c: c.cast("decimal(18,0)")
     before = F.coalesce(F.sum("cap").over(by_need.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
@@ -78,7 +78,7 @@ def _deal(nodes: DataFrame, parent: list[str], name: str) -> DataFrame:
     filled = wide(F.coalesce(F.sum(F.when(F.col("_full"), F.col("cap"))).over(group), F.lit(0)))
     open_weight = wide(F.coalesce(F.sum(F.when(~F.col("_full"), F.col("weight"))).over(group), F.lit(0)))
     shared = marked.withColumn("_filled", filled).withColumn("_open", open_weight)
-    part = F.floor(F.col("weight") * wide(F.col("given") - F.col("_filled")) / F.col("_open"))
+    part = F.floor(F.try_divide(F.col("weight") * wide(F.col("given") - F.col("_filled")), F.col("_open")))
     budget = F.when(F.col("_full"), F.col("cap")).when(F.col("_open") > 0, part).otherwise(0)
     return shared.withColumn("budget", wide(budget)).drop("_before", "_rest", "_full", "_filled", "_open")
 
@@ -97,7 +97,7 @@ def leaf_budgets(leaves: DataFrame, mix: Mix) -> DataFrame:
         keys = [*keys, name]
         given = dealt.select(*keys, F.col("budget").alias("given"))
     out = leaves.join(given.withColumnRenamed("given", "budget"), keys)
-    whole = F.when(F.col("tokens") > 0, F.floor(F.col("budget") / F.col("tokens"))).otherwise(0).cast("long")
+    whole = F.when(F.col("tokens") > 0, F.floor(F.try_divide(F.col("budget"), F.col("tokens")))).otherwise(0).cast("long")
     out = out.withColumn("budget", F.col("budget").cast("long")).withColumn("whole", whole)
     return out.withColumn("partial", F.col("budget") - F.col("whole") * F.col("tokens"))
 

@@ -99,9 +99,9 @@ def _merged(templates: DataFrame, rules: TemplateRules) -> DataFrame:
         # Siblings of one node: at most max_branches and '*', so a window never holds more.
         group = W.partitionBy("host", "parent")
         n, b = F.sum("n").over(group), F.sum("b").over(group)
-        p = b / n
-        spread = F.sqrt(p * (1 - p) / F.col("n"))
-        same = (F.col("n") > 0) & (F.abs(F.col("b") / F.col("n") - p) <= rules.merge_z * spread)
+        p = F.try_divide(b, n)
+        spread = F.sqrt(F.try_divide(p * (1 - p), F.col("n")))
+        same = (F.col("n") > 0) & (F.abs(F.try_divide(F.col("b"), F.col("n")) - p) <= rules.merge_z * spread)
         name = F.when(F.coalesce(same, F.lit(False)), "~").otherwise(F.col("own"))
         nodes = nodes.select("host", "parent", "own", name.alias("name"))
         joined = out.withColumn("parent", parent).withColumn("own", own).join(nodes, ["host", "parent", "own"], "left")
