@@ -116,3 +116,33 @@ def html_escape(value: Column) -> Column:
 def closing_stop(value: Column) -> Column:
     """A full stop at the end unless . ! or ? stands there."""
     return F.when(value.rlike(r"[.!?]$"), value).otherwise(F.concat(value, F.lit(".")))
+
+
+def redact_ids(value: Column) -> Column:
+    """Identifiers of 32 hex digits in groups keep their first eight."""
+    return F.regexp_replace(value, r"(?i)\b([0-9a-f]{8})-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}\b", "$1…")
+
+
+def year_in(value: Column) -> Column:
+    return F.nullif(F.regexp_extract(value, r"\b([0-9]{4})\b", 1), F.lit(""))
+
+
+def surname(name: Column) -> Column:
+    """Before the comma, else the last word."""
+    trimmed = F.trim(name)
+    return F.when(trimmed.contains(","), F.trim(F.substring_index(trimmed, ",", 1))).otherwise(F.substring_index(trimmed, " ", -1))
+
+
+def title_and_year(title: Column, year: Column) -> tuple[Column, Column]:
+    """A year at the end of a title is its year, unless one is given."""
+    found = F.regexp_extract(title, r"^(.*\S)\s+([0-9]{4})$", 2)
+    use = F.coalesce(year, F.lit("")) == ""
+    return F.when(use & (found != ""), F.regexp_extract(title, r"^(.*\S)\s+([0-9]{4})$", 1)).otherwise(title), F.when(use, F.nullif(found, F.lit(""))).otherwise(year)
+
+
+def case_name(name: Column) -> Column:
+    """Quotes and asterisks unwrapped, stops of company terms dropped, vs as v, a bracketed number in square brackets."""
+    out = F.regexp_replace(F.trim(name), "^[*\"'‘“]+|[*\"'’”]+$", "")
+    out = F.regexp_replace(out, r"\b(Pty|Ltd|Co|Inc|Corp|Dr|Mr|Mrs|No)\.", "$1")
+    out = F.regexp_replace(out, r"\s+(?:vs?\.?|V)\s+", " v ")
+    return F.regexp_replace(out, r"\(No ([0-9]+)\)$", "[No $1]")
