@@ -84,15 +84,19 @@ _DIGIT_WORDS = {
 _SPELLED = {w: str(d) for words in _DIGIT_WORDS.values() for d, w in enumerate(words.split())} | {"oh": "0"}
 _NUMBER_WORD = "|".join(sorted(_SPELLED, key=len, reverse=True))
 _SEPARATOR = r"(?:[\x20\t]*[,;/-]?[\x20\t]*)"
-_SPELLED_RUN = re.compile(rf"(?i)(?<![^\W_])(?:(?:plus\b[\x20]*|\+[\x20]*)?(?:{_NUMBER_WORD}|[0-9]+)(?:[\x20\t]*(?:[,;/.-]|\b(?:dot|point|punkt|punto)\b)?[\x20\t]*(?:{_NUMBER_WORD}|[0-9]+)(?![^\W_]))+)")
-_SPELLED_HINT = re.compile(rf"(?i)\b(?:{_NUMBER_WORD})\b[\x20\t,;/.-]*(?:\b(?:dot|point|punkt|punto)\b[\x20\t]*)?\b(?:{_NUMBER_WORD})\b")
-_PIECE = re.compile(rf"(?i){_NUMBER_WORD}|[0-9]+|\b(?:dot|point|punkt|punto)\b|plus|\+|[,;/.\-]|[\x20\t]+")
+_SPELLED_RUN = re.compile(rf"(?i)(?<![^\W_])(?:(?:plus\b[\x20]*|\+[\x20]*)?(?:{_NUMBER_WORD}|[0-9]+)(?:[\x20\t]*(?:[,;/.()-]|\b(?:dot|point|punkt|punto)\b)?[\x20\t]*(?:{_NUMBER_WORD}|[0-9]+)(?![^\W_]))+)")
+_SPELLED_HINT = re.compile(rf"(?i)\b(?:{_NUMBER_WORD})\b[\x20\t,;/.()-]*(?:\b(?:dot|point|punkt|punto)\b[\x20\t]*)?\b(?:{_NUMBER_WORD})\b")
+_PIECE = re.compile(rf"(?i){_NUMBER_WORD}|[0-9]+|\b(?:dot|point|punkt|punto)\b|plus|\+|[,;/.()\-]|[\x20\t]+")
 _AT_SIGN = r"(?:\x20*[\[({<]\x20*(?:at|@|arroba|arobase)\x20*[\])}>]\x20*|\x20+(?:AT|at|arroba|arobase)\x20+|\x20*@\x20*)"
 _DOT_SIGN = r"(?:\x20*[\[({<]\x20*(?:dot|\.|punkt|punto|point)\x20*[\])}>]\x20*|\x20+(?:DOT|dot|punkt|punto)\x20+|\.)"
 _DISGUISED = re.compile(rf"(?<![A-Za-z0-9._%+-])[A-Za-z0-9_%+-]+(?:{_DOT_SIGN}[A-Za-z0-9_%+-]+)*?(?P<at>{_AT_SIGN})[A-Za-z0-9-]+(?:{_DOT_SIGN}[A-Za-z0-9-]+)+")
 _AT = re.compile(_AT_SIGN)
 _DOT = re.compile(_DOT_SIGN)
-_AT_HINT = re.compile(r"(?i)[\[({<]\x20*(?:at|@|arroba|arobase|dot|punkt|punto|\.)\x20*[\])}>]|\x20(?:dot|punkt|punto)\x20|\x20@|@\x20")
+_AT_HINT = re.compile(r"(?i)[\[({<]\x20*(?:at|@|arroba|arobase|dot|punkt|punto|\.)\x20*[\])}>]|\x20(?:dot|punkt|punto)\x20|\x20@|@\x20|\x20at\x20+[a-z0-9-]+\.[a-z]")
+#: Letters that stand for digits between digits.
+_DIGIT_LOOKALIKES = re.compile(r"(?<=[0-9])[OoIl]+(?=[0-9])")
+#: A name that no word of running text before a bare "at" looks like.
+_NAMED = re.compile(r"(?=.*[A-Za-z])[A-Za-z0-9]+(?:[0-9]|[._+-][A-Za-z0-9])[A-Za-z0-9._+-]*")
 _IP_DOTS = re.compile(rf"[0-9]{{1,3}}(?:(?:\x20*[\[({{<]\x20*(?:dot|\.|punkt|punto|point)\x20*[\])}}>]\x20*|\x20+(?:DOT|dot|punkt|punto)\x20+|\.)[0-9]{{1,3}}){{3}}")
 
 
@@ -132,6 +136,11 @@ def fold_homoglyphs(m: Mapped) -> Mapped:
     return m.rewritten(edits) if edits else m
 
 
+def fold_digit_letters(m: Mapped) -> Mapped:
+    edits = [(i, i + 1, "0" if m.text[i] in "Oo" else "1") for x in _DIGIT_LOOKALIKES.finditer(m.text) for i in range(*x.span())]
+    return m.rewritten(edits) if edits else m
+
+
 def spell_digits(m: Mapped) -> Mapped:
     """Runs with two or more written digits become digits; written dots in them become dots."""
     edits = []
@@ -157,7 +166,9 @@ def write_signs(m: Mapped) -> Mapped:
             if pattern is _DISGUISED:
                 at = x.span("at")
                 bare_at = re.fullmatch(r"\x20+\w+\x20+", x.group("at"))
-                if bare_at and not any(re.search(r"\w", m.text[s[0] : s[1]]) for s in signs if s[0] > at[1] - 1):
+                written_dot = any(re.search(r"\w", m.text[s[0] : s[1]]) for s in signs if s[0] > at[1] - 1)
+                named = _NAMED.fullmatch(m.text, a, at[0]) and re.search(r"\.[A-Za-z]{2,}$", m.text[at[1] : b])
+                if bare_at and not written_dot and not named:
                     continue  # "at example.com" in running text
                 signs = [s for s in signs if s[1] <= at[0] or s[0] >= at[1]] + [(*at, "@")]
             edits += [s for s in signs if m.text[s[0] : s[1]] != s[2]]
@@ -179,6 +190,7 @@ def identifiers_in(text: str) -> tuple[list[Span], list[Span]]:
     m = Mapped(text)
     for step in _disguises(text):
         m = step(m)
+    m = fold_digit_letters(m)
     if _SPELLED_HINT.search(m.text):
         m = spell_digits(m)
     if _AT_HINT.search(m.text):

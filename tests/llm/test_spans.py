@@ -47,6 +47,13 @@ def test_disguises_map_back_to_source():
     assert shown("vier eins eins eins, eins eins eins eins, eins eins eins eins, eins eins eins eins") == [("card", "vier eins eins eins, eins eins eins eins, eins eins eins eins, eins eins eins eins")]
 
 
+def test_more_disguises():
+    assert shown("call +1 (six five two) five five five-four five four four now") == [("phone", "+1 (six five two) five five five-four five four four")]
+    assert shown("card 41l1 1111 1111 11I1") == [("card", "41l1 1111 1111 11I1")]
+    assert shown("ask the.72 at mail3.example.com about it") == [("email", "the.72 at mail3.example.com")]
+    assert shown("ask jane_doe(at)mail(dot)example(dot)com") == [("email", "jane_doe(at)mail(dot)example(dot)com")]
+
+
 def test_plain_prose_is_left_alone():
     for text in ("be at the door and dot the i", "one two three go", "meet me at example.com", "un deux trois", "5 at 6", "a+b=c"):
         assert identifiers_in(text) == ([], [])
