@@ -7,10 +7,12 @@
    variable segment there. Pages are first counted by host and shape; the tree is built from these counts, level by
    level (each level a written table), by sums and joins that no host's pages have to meet in one task for.
 3. Siblings whose share of bad labelled pages does not differ from that of all siblings together (z below
-   `merge_z`) become one branch, deepest level first.
-4. A template is rejected when its purity, bad labelled pages over labelled pages, smoothed by a Beta prior of
-   `prior_bad` and `prior_good`, reaches `reject`. The labels are the rules' own verdicts, unless the caller
-   gives a label column (1 bad, 0 good, null unknown).
+   `merge_z`) become one branch, deepest level first; siblings without labelled pages join it.
+4. A template is rejected when its purity, bad labelled pages over labelled pages, reaches `reject`. It is smoothed
+   down the tree: the host's by a Beta prior of `prior_bad` and `prior_good`, each node's and at last the branch's own
+   by a prior of the same weight centred on its parent. So a template without labelled pages has the purity of the
+   nearest node that has some. The labels are the rules' own verdicts, unless the caller gives a label column (1 bad,
+   0 good, null unknown).
 
 Null URLs and URLs without "://" have empty host and path, fit no rule, and form one template of host ''.
 Repeated URLs are judged alike. Ties of rules (equal length) go to block.
@@ -101,7 +103,7 @@ def _merged(templates: DataFrame, rules: TemplateRules) -> DataFrame:
         n, b = F.sum("n").over(group), F.sum("b").over(group)
         p = F.try_divide(b, n)
         spread = F.sqrt(F.try_divide(p * (1 - p), F.col("n")))
-        same = (F.col("n") > 0) & (F.abs(F.try_divide(F.col("b"), F.col("n")) - p) <= rules.merge_z * spread)
+        same = ((F.col("n") == 0) & (n > 0)) | (F.abs(F.try_divide(F.col("b"), F.col("n")) - p) <= rules.merge_z * spread)
         name = F.when(F.coalesce(same, F.lit(False)), "~").otherwise(F.col("own"))
         nodes = nodes.select("host", "parent", "own", name.alias("name"))
         joined = out.withColumn("parent", parent).withColumn("own", own).join(nodes, ["host", "parent", "own"], "left")
@@ -111,6 +113,22 @@ def _merged(templates: DataFrame, rules: TemplateRules) -> DataFrame:
     return out
 
 
+def _smoothed(merged: DataFrame, rules: TemplateRules) -> DataFrame:
+    """merged: host, branch, labelled, bad. The purity of each host's branches, smoothed from the host down."""
+    weight = rules.prior_bad + rules.prior_good
+    centred = lambda parent: (F.col("b") + weight * parent) / (F.col("n") + weight)
+    counts = (F.sum("labelled").alias("n"), F.sum("bad").alias("b"))
+    own = merged.groupBy("host", "branch").agg(*counts)
+    host = merged.groupBy("host").agg(*counts).select("host", centred(F.lit(rules.prior_bad / weight)).alias("purity"))
+    out = own.select("host", "branch").join(host, "host")
+    for level in range(1, DEPTH + 1):
+        node = F.slice("branch", 1, level + 1)
+        inner = merged.where(F.size("branch") > level + 1).groupBy("host", node.alias("node")).agg(*counts)
+        joined = out.withColumn("node", F.when(F.size("branch") > level + 1, node)).join(inner, ["host", "node"], "left")
+        out = joined.select("host", "branch", F.coalesce(centred(F.col("purity")), "purity").alias("purity"))
+    return out.join(own, ["host", "branch"]).select("host", "branch", centred(F.col("purity")).alias("purity"))
+
+
 def judge_urls(pages: DataFrame, rules: Sequence[Rule], id_col: str = "page_id", url_col: str = "url", label_col: str | None = None, options: TemplateRules = TemplateRules()) -> DataFrame:
     """One row per page: id, host, path, rule, verdict, and the template with its smoothed purity."""
     label = F.col(label_col).cast("int") if label_col else F.lit(None).cast("int")
@@ -123,8 +141,7 @@ def judge_urls(pages: DataFrame, rules: Sequence[Rule], id_col: str = "page_id",
     tree = _generalised(shapes, options)
     templates = tree.groupBy("host", "template").agg(F.sum("labelled").alias("labelled"), F.sum("bad").alias("bad"))
     merged = _merged(templates, options)
-    purity = (F.sum("bad") + options.prior_bad) / (F.sum("labelled") + options.prior_bad + options.prior_good)
-    judged = merged.groupBy("host", "branch").agg(purity.alias("purity"))
+    judged = _smoothed(merged, options)
     by_template = merged.select("host", "template", "branch").join(judged, ["host", "branch"]).select("host", "template", "purity")
     by_shape = tree.select("host", "shape", "template").join(by_template, ["host", "template"])
     out = ruled.join(by_shape, ["host", "shape"], "left")

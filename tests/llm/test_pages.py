@@ -2,7 +2,7 @@ import re
 
 from marginalia.llm.html_extract import extract_pages, main_text
 from marginalia.llm.queries import URL_RULES
-from marginalia.llm.url_templates import judge_urls
+from marginalia.llm.url_templates import Rule, judge_urls
 
 LONG = "The cat sat on the mat and it was a very good day for all of the people who were there with the cat, as they said to us in the morning when we came by. The weather was fine and it is not to be forgotten."
 
@@ -68,3 +68,18 @@ def test_templates_learn_from_labels(spark):
     got = {r.page_id: r for r in judge_urls(df, [], label_col="bad").collect()}
     assert {got[i].verdict for i in range(80)} == {"block"} and {got[100 + i].verdict for i in range(80)} == {"allow"}
     assert got[0].template == "/spam/*" and got[400].template == "/*/x" and got[400].verdict == "block"
+
+
+def test_method_blocks_pages_without_a_rule(spark):
+    urls = [f"http://{host}.io/{top}/{i}" for host in ("bad", "good") for top in ("de", "en") for i in range(20)] + ["http://bad.io", "http://other.io/en/1"]
+    urls += [f"http://both.io/{top}/{i}" for top in ("spam", "spam2", "news", "en") for i in range(20)]
+    df = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    rules = [Rule("bad.io", "/de/", "block"), Rule("good.io", "/de/", "allow"), Rule("both.io", "/spam", "block"), Rule("both.io", "/news/", "allow")]
+    got = {urls[r.page_id]: r for r in judge_urls(df, rules).collect()}
+    root = (20 + 1) / (20 + 3)
+    assert abs(got["http://bad.io"].purity - root) < 1e-12 and got["http://bad.io"].verdict == "block"
+    node = (20 + 3 * root) / 23  # unlabelled /en/ is in one node with /de/
+    assert got["http://bad.io/en/1"].rule is None and abs(got["http://bad.io/en/1"].purity - node) < 1e-12
+    assert {got[u].verdict for u in urls if u.startswith("http://bad.io/")} == {"block"}
+    assert {got[u].verdict for u in urls if "good.io" in u or "other.io" in u} == {"allow"}
+    assert got["http://both.io/en/1"].verdict == "block" and abs(got["http://other.io/en/1"].purity - 1 / 3) < 1e-12
