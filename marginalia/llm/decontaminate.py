@@ -5,7 +5,8 @@ other people keeps its template. Hashed windows of `window` template tokens of t
 every document, and so do windows in which only numbers and units were replaced, for texts that are written in
 other case; for each document and item that share windows the slots are then checked: one value of
 the item must always have become the same value of the document. A document is contaminated by an item
-if it has at least `coverage` of the item's windows with consistent slots.
+if it has at least `coverage` of the item's windows with consistent slots: all that it has of the item together, or
+one occurrence (a document may hold the item several times with other values each), or the verbatim windows alone.
 
 The documents are read once, without a shuffle; the benchmark, a stated query set, is dealt with in blocks of
 at most BLOCK_CHARS characters, each broadcast as sorted hashes. Items without tokens are never found; items
@@ -153,10 +154,14 @@ def _specific_windows(t: Template, n: int, literals: int) -> tuple[np.ndarray, n
     return np.concatenate(hashes), np.concatenate(places), np.concatenate(named)
 
 
+#: Place in the document and in the item, tokens of the window, and whether names were replaced.
+Hit = tuple[int, int, int, bool]
+
+
 def matches(texts: Sequence[str | None], bench: Benchmark, rules: TemplateRules) -> list[tuple[int, int, int, int, float]]:
     """(index of the text, index of the item, windows of the item found, values changed, consistent share) of the contaminated."""
     t = canonical(texts)
-    found: dict[tuple[int, int], list[tuple[int, int, int, bool]]] = defaultdict(list)
+    found: dict[tuple[int, int], list[Hit]] = defaultdict(list)
     for n in sorted({rules.window, *bench.short}):
         h, at, named = _specific_windows(t, n, rules.min_literals if n == rules.window else min(n, rules.min_literals))
         hit = np.flatnonzero(_within(h, bench.hashes))
@@ -167,19 +172,59 @@ def matches(texts: Sequence[str | None], bench: Benchmark, rules: TemplateRules)
                 found[int(t.owner[p]), int(bench.item[k])].append((p, int(bench.place[k]), n, bool(named[i])))
     out = []
     for (doc, item), hits in found.items():
-        covered = len({q for _, q, _, _ in hits})
+        if (verdict := _judged(hits, t, bench, item, rules)) is not None:
+            out.append((doc, item, *verdict))
+    return sorted(out)
+
+
+def _judged(hits: list[Hit], t: Template, bench: Benchmark, item: int, rules: TemplateRules) -> tuple[int, int, float] | None:
+    """Windows found, values changed and consistent share: of all hits if these contaminate, else of the largest part that does."""
+    value, slot = bench.templates[item]
+
+    def weighed(some: list[Hit]) -> tuple[int, int, float] | None:
+        covered = len({q for _, q, _, _ in some})
         if covered < rules.coverage * bench.sizes[item]:
-            continue
-        value, slot = bench.templates[item]
-        pairs = {(p + j, q + j) for p, q, n, names in hits for j in range(n) if slot[q + j] and (names or slot[q + j] != 2)}
+            return None
+        pairs = {(p + j, q + j) for p, q, n, names in some for j in range(n) if slot[q + j] and (names or slot[q + j] != 2)}
         became: dict[tuple[int, int], Counter] = defaultdict(Counter)
         for p, q in pairs:
             became[int(slot[q]), int(value[q])][int(t.value[p])] += 1
         same = sum(max(c.values()) for c in became.values())
         share = same / len(pairs) if pairs else 1.0
-        if share >= rules.consistent:
-            out.append((doc, item, covered, sum(k[1] not in c for k, c in became.items()), share))
-    return sorted(out)
+        return (covered, sum(k[1] not in c for k, c in became.items()), share) if share >= rules.consistent else None
+
+    if (whole := weighed(hits)) is not None:
+        return whole
+    if len({q for _, q, _, _ in hits}) < rules.coverage * bench.sizes[item]:
+        return None
+    verbatim = [h for h in hits if (t.value[h[0] : h[0] + h[2]] == value[h[1] : h[1] + h[2]]).all()]
+    passed = [x for some in (*_occurrences(hits), verbatim) if (x := weighed(some)) is not None]
+    return max(passed, key=lambda x: (x[0], x[2]), default=None)
+
+
+def _occurrences(hits: list[Hit]) -> list[list[Hit]]:
+    """Hits by place of the item in the document, by places so near that a few words were put in or left out, and by such groups that follow one another as in the item."""
+    by_place: dict[int, list[Hit]] = defaultdict(list)
+    for h in hits:
+        by_place[h[0] - h[1]].append(h)
+    near: list[list[Hit]] = []
+    last = None
+    for d in sorted(by_place):
+        if last is not None and d - last <= hits[0][2] // 2:
+            near[-1] += by_place[d]
+        else:
+            near.append(list(by_place[d]))
+        last = d
+    chains: list[list] = []  # last place in the item, hits
+    for group in sorted(near, key=min):
+        first, stop = min(q for _, q, _, _ in group), max(q for _, q, _, _ in group)
+        open_ = [c for c in chains[-8:] if c[0] < first]
+        if open_:
+            best = max(open_, key=lambda c: c[0])
+            best[0], best[1] = stop, best[1] + group
+        else:
+            chains.append([stop, list(group)])
+    return [*by_place.values(), *near, *(c[1] for c in chains)]
 
 
 def benchmark_blocks(benchmark: DataFrame, id_col: str, text_col: str, rules: TemplateRules) -> Iterator[Benchmark]:

@@ -45,3 +45,13 @@ def test_blocks_of_the_benchmark(spark, docs, monkeypatch):
     df = docs([(10 + i, ITEM.replace("apples", f"fruit{chr(97 + i)}")) for i in range(8)])
     assert sorted((r.doc_id, r.item_id) for r in find_contamination(df, bench).collect() if r.windows_found == r.item_windows) == [(10 + i, i) for i in range(8)]
     assert drop_contaminated(df, bench).count() == 0
+
+
+def test_several_occurrences_in_one_document():
+    others = [ITEM.replace("Alice", a).replace("3", b).replace("5", c).replace("Paris", d) for a, b, c, d in (("Bob", "7", "9", "Rome"), ("Carol", "8", "4", "Oslo"), ("Dora", "6", "2", "Bonn"))]
+    assert found(ITEM + " Then " + others[0])[0][3] == 0
+    assert found("First " + " Then ".join(others))[0][3] > 0
+    apart = ITEM.replace(" and bought", " so one reads it here in this long remark of many words and bought")
+    assert found(others[0] + " Then " + apart) and found(" Then ".join(o.replace("does", "does the good old") for o in others))
+    mixed = [o.replace("does " + n, "does Eve") for o, n in zip(others, ("Bob", "Carol", "Dora"), strict=True)]
+    assert found(" Then ".join(mixed), rules=TemplateRules(consistent=1.0)) == []
