@@ -9,8 +9,10 @@ if it has at least `coverage` of the item's windows with consistent slots: all t
 one occurrence (a document may hold the item several times with other values each), or the verbatim windows alone.
 
 The documents are read once, without a shuffle; the benchmark, a stated query set, is dealt with in blocks of
-at most BLOCK_CHARS characters, each broadcast as sorted hashes. Items without tokens are never found; items
-shorter than a window count as one window. Null and empty texts are clean. Repeated items and repeated
+at most BLOCK_CHARS characters, each broadcast as sorted hashes. Windows with fewer than `min_literals` literals
+(arithmetic, tables) say too little as templates; they are compared as they stand, numbers included, and count
+towards the coverage of all windows of the item, so that any verbatim copy is found. Items without tokens are never
+found; items shorter than a window count as one window, so an item of one token is found wherever that token stands. Null and empty texts are clean. Repeated items and repeated
 documents are judged each on its own.
 """
 
@@ -25,8 +27,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marginalia.llm.word_hashes import SPACE, hash_runs, mix64, parts, slices, windows
+from marginalia.llm.word_hashes import SPACE, hash_runs, mix64, parts, random_odd, slices, windows
 
+#: Kinds of windows: names replaced, names kept, every token kept.
+KEPT, NAMED, EXACT = range(3)
 BLOCK_CHARS = 16_000_000
 NUM, NAME, UNIT = (np.uint64(x) for x in (0x6E756D, 0x6E616D65, 0x756E6974))
 # Units of measure and money that may follow a number.
@@ -92,7 +96,7 @@ def canonical(texts: Sequence[str | None]) -> Template:
         capital = _UPPER[head] | ((head == 0xC3) & (second >= 0x80) & (second <= 0x9E))
         name = capital & ~opening & ~number
         unit = ~number & ~name & _within(runs.hashes, _UNIT_HASHES)
-        unit[1:] &= number[:-1]
+        unit[1:] &= number[:-1] & ~opening[1:]
         unit[:1] = False
         slot = np.select([number, name, unit], [1, 2, 3], 0).astype(np.int8)
         shape = np.select([number, name, unit], [NUM, NAME, UNIT], runs.hashes)
@@ -102,19 +106,20 @@ def canonical(texts: Sequence[str | None]) -> Template:
 
 @dataclass
 class Benchmark:
-    """Sorted window hashes with the item and place of each, and the templates of the items."""
+    """Sorted window hashes with the item and place of each; per item the windows that are templates, all windows, and its tokens."""
 
     ids: list[int]
     hashes: np.ndarray
     item: np.ndarray
     place: np.ndarray
     sizes: np.ndarray
+    totals: np.ndarray
     templates: list[tuple[np.ndarray, np.ndarray]]
     short: dict[int, list[int]]
 
 
 def index_benchmark(ids: list[int], texts: Sequence[str | None], rules: TemplateRules) -> Benchmark:
-    hashes, item, place, templates, sizes = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [], []
+    hashes, item, place, templates, sizes, totals = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [], [], []
     short: dict[int, list[int]] = defaultdict(list)
     for k, text in enumerate(texts):
         t = canonical([text])
@@ -122,40 +127,55 @@ def index_benchmark(ids: list[int], texts: Sequence[str | None], rules: Template
         templates.append((t.value, t.slot))
         if not n:
             sizes.append(0)
+            totals.append(0)
             continue
         if n < rules.window:
             short[n].append(k)
-        h, at, _ = _specific_windows(t, n, rules.min_literals if n == rules.window else min(n, rules.min_literals))
-        sizes.append(len(np.unique(at)))
+        h, at, kind = _specific_windows(t, n, rules.min_literals if n == rules.window else min(n, rules.min_literals))
+        sizes.append(len(np.unique(at[kind != EXACT])))
+        totals.append(len(np.unique(at)))
         hashes.append(h)
         item.append(np.full(len(h), k))
         place.append(at)
     h = np.concatenate(hashes)
     order = np.argsort(h, kind="stable")
-    return Benchmark(ids, h[order], np.concatenate(item)[order], np.concatenate(place)[order], np.array(sizes), templates, dict(short))
+    return Benchmark(ids, h[order], np.concatenate(item)[order], np.concatenate(place)[order], np.array(sizes), np.array(totals), templates, dict(short))
 
 
 def _specific_windows(t: Template, n: int, literals: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hashes and places of the windows of n tokens inside one text that hold enough literal tokens, and whether names were replaced."""
-    hashes, places, named = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [np.zeros(0, bool)]
+    """Hashes, places and kinds of the windows of n tokens inside one text: templates that hold enough literal tokens, the others as they stand."""
+    hashes, places, kinds = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int8)]
+    count = len(t.shape) - n + 1
+    if count <= 0:
+        return hashes[0], places[0], kinds[0]
+    inside = t.owner[:count] == t.owner[n - 1 :]
     is_name = t.slot == 2
-    for names in (True, False):
-        shape, slot = (t.shape, t.slot) if names else (np.where(is_name, t.value, t.shape), np.where(is_name, 0, t.slot))
-        h = windows(shape, n)
-        if not len(h):
-            continue
+    for kind in (NAMED, KEPT):
+        shape, slot = (t.shape, t.slot) if kind == NAMED else (np.where(is_name, t.value, t.shape), np.where(is_name, 0, t.slot))
         held = np.concatenate([[0], np.cumsum(slot == 0)])
-        good = (t.owner[: len(h)] == t.owner[n - 1 :]) & (held[n:] - held[:-n] >= literals)
-        at = np.flatnonzero(good)
+        at = np.flatnonzero(inside & (held[n:] - held[:-n] >= literals))
         with np.errstate(over="ignore"):
-            hashes.append(mix64(h[at] + np.uint64(2 * n + names)))
+            hashes.append(mix64(windows(shape, n)[at] + np.uint64(2 * n + (kind == NAMED))))
         places.append(at)
-        named.append(np.full(len(at), names))
-    return np.concatenate(hashes), np.concatenate(places), np.concatenate(named)
-
-
-#: Place in the document and in the item, tokens of the window, and whether names were replaced.
-Hit = tuple[int, int, int, bool]
+        kinds.append(np.full(len(at), kind, np.int8))
+    number = t.slot == 1
+    unit = ~number & _within(t.value, _UNIT_HASHES)  # in any case of letters, so that the choice of windows does not hang on it
+    unit[1:] &= number[:-1] & (t.owner[1:] == t.owner[:-1])
+    unit[:1] = False
+    held = np.concatenate([[0], np.cumsum(~number & ~unit)])
+    at = np.flatnonzero(inside & (held[n:] - held[:-n] < literals))
+    out = np.zeros(len(at), np.uint64)
+    with np.errstate(over="ignore"):
+        for j, r in enumerate(random_odd(n, stream=n)):
+            out += t.value[at + j] * r
+        hashes.append(mix64(mix64(out) + np.uint64(1 << 40)))
+    places.append(at)
+    kinds.append(np.full(len(at), EXACT, np.int8))
+    return np.concatenate(hashes), np.concatenate(places), np.concatenate(kinds)
+
+
+#: Place in the document and in the item, tokens of the window, and its kind.
+Hit = tuple[int, int, int, int]
 
 
 def matches(texts: Sequence[str | None], bench: Benchmark, rules: TemplateRules) -> list[tuple[int, int, int, int, float]]:
@@ -163,13 +183,13 @@ def matches(texts: Sequence[str | None], bench: Benchmark, rules: TemplateRules)
     t = canonical(texts)
     found: dict[tuple[int, int], list[Hit]] = defaultdict(list)
     for n in sorted({rules.window, *bench.short}):
-        h, at, named = _specific_windows(t, n, rules.min_literals if n == rules.window else min(n, rules.min_literals))
+        h, at, kind = _specific_windows(t, n, rules.min_literals if n == rules.window else min(n, rules.min_literals))
         hit = np.flatnonzero(_within(h, bench.hashes))
         low, high = np.searchsorted(bench.hashes, h[hit], "left"), np.searchsorted(bench.hashes, h[hit], "right")
         for i, a, b in zip(hit.tolist(), low.tolist(), high.tolist(), strict=True):
             p = int(at[i])
             for k in range(a, b):
-                found[int(t.owner[p]), int(bench.item[k])].append((p, int(bench.place[k]), n, bool(named[i])))
+                found[int(t.owner[p]), int(bench.item[k])].append((p, int(bench.place[k]), n, int(kind[i])))
     out = []
     for (doc, item), hits in found.items():
         if (verdict := _judged(hits, t, bench, item, rules)) is not None:
@@ -181,11 +201,16 @@ def _judged(hits: list[Hit], t: Template, bench: Benchmark, item: int, rules: Te
     """Windows found, values changed and consistent share: of all hits if these contaminate, else of the largest part that does."""
     value, slot = bench.templates[item]
 
+    def enough(some: list[Hit]) -> bool:
+        """Of the windows that are templates, or of all windows."""
+        templates = len({q for _, q, _, kind in some if kind != EXACT})
+        return 0 < templates >= rules.coverage * bench.sizes[item] or len({q for _, q, _, _ in some}) >= rules.coverage * bench.totals[item]
+
     def weighed(some: list[Hit]) -> tuple[int, int, float] | None:
-        covered = len({q for _, q, _, _ in some})
-        if covered < rules.coverage * bench.sizes[item]:
+        if not enough(some):
             return None
-        pairs = {(p + j, q + j) for p, q, n, names in some for j in range(n) if slot[q + j] and (names or slot[q + j] != 2)}
+        covered = len({q for _, q, _, _ in some})
+        pairs = {(p + j, q + j) for p, q, n, kind in some for j in range(n) if slot[q + j] and (kind == NAMED or slot[q + j] != 2)}
         became: dict[tuple[int, int], Counter] = defaultdict(Counter)
         for p, q in pairs:
             became[int(slot[q]), int(value[q])][int(t.value[p])] += 1
@@ -195,7 +220,7 @@ def _judged(hits: list[Hit], t: Template, bench: Benchmark, item: int, rules: Te
 
     if (whole := weighed(hits)) is not None:
         return whole
-    if len({q for _, q, _, _ in hits}) < rules.coverage * bench.sizes[item]:
+    if not enough(hits):
         return None
     verbatim = [h for h in hits if (t.value[h[0] : h[0] + h[2]] == value[h[1] : h[1] + h[2]]).all()]
     passed = [x for some in (*_occurrences(hits), verbatim) if (x := weighed(some)) is not None]
@@ -254,7 +279,7 @@ def find_contamination(
                 for part, texts in parts(batch, 1):
                     hits = matches(texts, index, rules)
                     ids = part.column(0).to_pylist()
-                    rows = [(ids[d], index.ids[i], n, int(index.sizes[i]), c, s) for d, i, n, c, s in hits]
+                    rows = [(ids[d], index.ids[i], n, int(index.totals[i]), c, s) for d, i, n, c, s in hits]
                     columns = list(zip(*rows, strict=True)) if rows else [[] for _ in range(6)]
                     kinds = [pa.int64()] * 5 + [pa.float64()]
                     names = [id_col, item_col, "windows_found", "item_windows", "values_changed", "consistent"]

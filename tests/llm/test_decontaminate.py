@@ -55,3 +55,13 @@ def test_several_occurrences_in_one_document():
     assert found(others[0] + " Then " + apart) and found(" Then ".join(o.replace("does", "does the good old") for o in others))
     mixed = [o.replace("does " + n, "does Eve") for o, n in zip(others, ("Bob", "Carol", "Dora"), strict=True)]
     assert found(" Then ".join(mixed), rules=TemplateRules(consistent=1.0)) == []
+
+
+def test_items_of_numbers():
+    for item in ("What is 12 x 7?", "Solve 3x + 5 = 20", "1 2 4 8 16 32 64 128 256 512", "12 km 7 kg 9 ft", "Add 17 25 33 41 and 58 62 79 84 90 11", "42"):
+        assert found("so 5 " + item, item) and found(item.upper() + " 7", item) and found(item, item)[0][3] == 0
+    assert found("What is 13 x 7?", "What is 12 x 7?") == [] and found("1 2 4 8 16 32 65 128 256 512", "1 2 4 8 16 32 64 128 256 512") == []
+    mixed = ITEM + " " + " ".join(str(k) for k in range(100, 160))
+    assert found(ITEM.replace("Alice", "Bob"), mixed) and found(" ".join(str(k) for k in range(100, 160)), mixed)
+    bench = index_benchmark([0], ["In what year was it?"], RULES)
+    assert [m[0] for m in matches(["there were 5", "In what year was it?", "there were 5. In what year was it?"], bench, RULES)] == [1, 2]
