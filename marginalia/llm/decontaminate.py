@@ -7,6 +7,8 @@ other case; for each document and item that share windows the slots are then che
 the item must always have become the same value of the document. A document is contaminated by an item
 if it has at least `coverage` of the item's windows with consistent slots: all that it has of the item together, or
 one occurrence (a document may hold the item several times with other values each), or the verbatim windows alone.
+However long the item, `run` of its words in a row with consistent slots also contaminate. How common such a run is in
+the documents isn't counted: a stock phrase of that length that an item holds counts as a quote of the item.
 
 The documents are read once, without a shuffle; the benchmark, a stated query set, is dealt with in blocks of
 at most BLOCK_CHARS characters, each broadcast as sorted hashes. Windows with fewer than `min_literals` literals
@@ -50,6 +52,7 @@ class TemplateRules:
     min_literals: int = 4
     coverage: float = 0.4
     consistent: float = 0.8
+    run: int = 13
 
 
 @dataclass
@@ -207,8 +210,6 @@ def _judged(hits: list[Hit], t: Template, bench: Benchmark, item: int, rules: Te
         return 0 < templates >= rules.coverage * bench.sizes[item] or len({q for _, q, _, _ in some}) >= rules.coverage * bench.totals[item]
 
     def weighed(some: list[Hit]) -> tuple[int, int, float] | None:
-        if not enough(some):
-            return None
         covered = len({q for _, q, _, _ in some})
         pairs = {(p + j, q + j) for p, q, n, kind in some for j in range(n) if slot[q + j] and (kind == NAMED or slot[q + j] != 2)}
         became: dict[tuple[int, int], Counter] = defaultdict(Counter)
@@ -218,12 +219,14 @@ def _judged(hits: list[Hit], t: Template, bench: Benchmark, item: int, rules: Te
         share = same / len(pairs) if pairs else 1.0
         return (covered, sum(k[1] not in c for k, c in became.items()), share) if share >= rules.consistent else None
 
-    if (whole := weighed(hits)) is not None:
-        return whole
-    if not enough(hits):
+    whole = enough(hits)
+    if whole and (verdict := weighed(hits)) is not None:
+        return verdict
+    if not whole and len({q for _, q, _, _ in hits}) + hits[0][2] - 1 < rules.run:
         return None
     verbatim = [h for h in hits if (t.value[h[0] : h[0] + h[2]] == value[h[1] : h[1] + h[2]]).all()]
-    passed = [x for some in (*_occurrences(hits), verbatim) if (x := weighed(some)) is not None]
+    candidates = [some for some in (*_occurrences(hits), verbatim) if enough(some)] + _runs(hits, rules.run) + _runs(verbatim, rules.run)
+    passed = [x for some in candidates if (x := weighed(some)) is not None]
     return max(passed, key=lambda x: (x[0], x[2]), default=None)
 
 
@@ -252,6 +255,18 @@ def _occurrences(hits: list[Hit]) -> list[list[Hit]]:
     return [*by_place.values(), *near, *(c[1] for c in chains)]
 
 
+def _runs(hits: list[Hit], words: int) -> list[list[Hit]]:
+    """Hits by unbroken stretches of at least so many words of the item in the document."""
+    stretches: list[list[Hit]] = []
+    for h in sorted(hits, key=lambda h: (h[0] - h[1], h[1])):
+        before = stretches[-1][-1] if stretches else None
+        if before and h[0] - h[1] == before[0] - before[1] and h[1] <= before[1] + 1:
+            stretches[-1].append(h)
+        else:
+            stretches.append([h])
+    return [x for x in stretches if x[-1][1] - x[0][1] + x[0][2] >= words]
+
+
 def benchmark_blocks(benchmark: DataFrame, id_col: str, text_col: str, rules: TemplateRules) -> Iterator[Benchmark]:
     """The benchmark in blocks of bounded size."""
     rows = benchmark.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))

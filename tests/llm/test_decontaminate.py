@@ -65,3 +65,14 @@ def test_items_of_numbers():
     assert found(ITEM.replace("Alice", "Bob"), mixed) and found(" ".join(str(k) for k in range(100, 160)), mixed)
     bench = index_benchmark([0], ["In what year was it?"], RULES)
     assert [m[0] for m in matches(["there were 5", "In what year was it?", "there were 5. In what year was it?"], bench, RULES)] == [1, 2]
+
+
+def test_partial_quotes_of_long_items():
+    words = [f"w{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(500)]
+    item, noise = " ".join(words), "so it goes on and on here"
+    for size in (13, 27, 150):
+        quote = " ".join(words[200 : 200 + size])
+        assert found(f"{noise} {quote} {noise}", item)[0][2:4] == (size - 7, 0)
+    assert found(" ".join(words[200:212]), item) == [] and found(" ".join(f"{' '.join(words[k : k + 12])} {noise}" for k in range(0, 150, 30)), item) == []
+    assert found(" ".join(ITEM.split()[:14]) + " and so on", ITEM + " " + item)
+    assert found("Yesterday Bob had 7 apples and bought 9 more apples at the market", ITEM + " " + item)[0][3] > 0
