@@ -1,11 +1,13 @@
 """Secret scans: fixed patterns, and a battery of randomness tests on every token that may be a key.
 
-A candidate token's encoding is inferred from its characters (hex, base32, base64, base62). Its
-characters must look uniform over that alphabet (chi-squared), without too few or too many runs and
-without serial correlation; and they must not look like ordinary text: the share of class changes and
-letter frequencies under a model of prose give a p-value. Within a text the p-values go through a
-Benjamini-Hochberg step whose weights grow with the token's length, so that short tokens need stronger
-evidence and a text with many candidates does not collect chance finds.
+A candidate token's encoding is the smallest alphabet that holds its characters (hex, letters of one case,
+base32, base36 of one case, letters, base62, base64). Its characters must look uniform over that alphabet
+(chi-squared), without too few or too many runs and without serial correlation; a small p-value there speaks
+against a key, so these three are a gate. Then the token must not look like ordinary text: a text model, class
+changes (digit, lower, upper) and letter frequencies, gives its likelihood; the ratio to the likelihood of uniform
+draws bounds the p-value under the text model. Within a text these p-values go through a Benjamini-Hochberg step
+whose weights grow with the token's length, so that short tokens need stronger evidence and a text with many
+candidates does not collect chance finds.
 
 Null and empty texts have no spans. Each row is judged on its own, repeated rows alike.
 """
@@ -26,8 +28,7 @@ _ASSIGN = re.compile(r"""(?ai:password|passwd|secret|token|api_?key)["']?\x20*[:
 _ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
 _HEX = re.compile(r"(?<![0-9a-f])[0-9a-f]{24,}")
 _KEYWORD = re.compile(r"(?ai)passw|secret|token|api_?key")
-#: A digit must be near: a token without one within its first 64 characters is not a candidate.
-_CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_=-]{0,64}[0-9])[A-Za-z0-9+/_=-]{16,}")
+_CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{16,}")
 
 
 @dataclass(frozen=True)
@@ -40,11 +41,19 @@ class RandomnessRules:
     min_distinct: int = 8
 
 
+_DIGITS, _UPPER, _LOWER = "0123456789", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+#: Pattern and characters in order, by size.
 _ALPHABETS = (
-    ("hex", re.compile(r"[0-9a-f]+|[0-9A-F]+"), 16),
-    ("base32", re.compile(r"[A-Z2-7]+"), 32),
-    ("base62", re.compile(r"[A-Za-z0-9]+"), 62),
-    ("base64", re.compile(r"[A-Za-z0-9+/_-]+"), 64),
+    (re.compile(r"[0-9a-f]+"), "0123456789abcdef"),
+    (re.compile(r"[0-9A-F]+"), "0123456789ABCDEF"),
+    (re.compile(r"[a-z]+"), _LOWER),
+    (re.compile(r"[A-Z]+"), _UPPER),
+    (re.compile(r"[A-Z2-7]+"), _UPPER + "234567"),
+    (re.compile(r"[0-9a-z]+"), _DIGITS + _LOWER),
+    (re.compile(r"[0-9A-Z]+"), _DIGITS + _UPPER),
+    (re.compile(r"[A-Za-z]+"), _UPPER + _LOWER),
+    (re.compile(r"[A-Za-z0-9]+"), _DIGITS + _UPPER + _LOWER),
+    (re.compile(r"[A-Za-z0-9+/_-]+"), _DIGITS + _UPPER + _LOWER + "+/"),
 )
 
 
@@ -60,18 +69,14 @@ def two_sided(z: float) -> float:
     return math.erfc(abs(z) / math.sqrt(2))
 
 
-def _encoding(body: str) -> tuple[str, int] | None:
-    for name, pattern, size in _ALPHABETS:
-        if pattern.fullmatch(body):
-            return name, size
-    return None
+def _encoding(body: str) -> str | None:
+    """The characters of the smallest alphabet that holds body."""
+    return next((characters for pattern, characters in _ALPHABETS if pattern.fullmatch(body)), None)
 
 
-def _values(body: str, size: int) -> list[int]:
-    if size == 16:
-        return [int(c, 16) for c in body]
-    order = {c: i for i, c in enumerate("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567" if size == 32 else "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz+/")}
-    order |= {"-": 62, "_": 63} if size == 64 else {}
+def _values(body: str, characters: str) -> list[int]:
+    order = {c: i for i, c in enumerate(characters)}
+    order |= {"-": 62, "_": 63} if len(characters) == 64 else {}
     return [order[c] for c in body]
 
 
@@ -97,32 +102,41 @@ def uniformity(values: Sequence[int], size: int) -> tuple[float, float, float]:
     return chi, p_runs, two_sided((r + 1 / n) * math.sqrt(n))
 
 
-#: Share of neighbouring characters of different class (digit, lower, upper) that prose, names and numbered identifiers have at most.
-_TEXT_CHANGES = 0.12
+# Letters of prose in the languages of the corpus, per 1,000; signs that join words.
+_LETTERS = dict(zip(_LOWER, (85, 16, 31, 45, 145, 14, 18, 30, 73, 4, 6, 45, 27, 82, 62, 23, 6, 65, 72, 72, 40, 13, 11, 4, 9, 7), strict=True))
+_JOINS = dict.fromkeys("-_/+", 20)
+_ALL = sum(_LETTERS.values()) + sum(_JOINS.values())
+_WITHIN = {c: math.log(n / _ALL) for c, n in (_LETTERS | _JOINS).items()} | {c.upper(): math.log(n / sum(_LETTERS.values())) for c, n in _LETTERS.items()} | dict.fromkeys(_DIGITS, -math.log(10))
+_CLASS = dict.fromkeys(_LOWER + "-_/+", 0) | dict.fromkeys(_UPPER, 1) | dict.fromkeys(_DIGITS, 2)
+#: Two styles of writing, words in one case and words with capitals: chances from lower (or a join), upper and digit to each of these.
+_STYLES = [
+    [[math.log(x) for x in row] for row in rows]
+    for rows in (((0.94, 0.03, 0.03), (0.03, 0.94, 0.03), (0.06, 0.06, 0.88)), ((0.82, 0.13, 0.05), (0.75, 0.20, 0.05), (0.15, 0.15, 0.70)))
+]
 
 
-def prose_tail(body: str) -> float:
-    """P-value under ordinary text: at least so many changes between digits, lower and upper case among n - 1 places."""
-    kinds = ["d" if c.isdigit() else "u" if c.isupper() else "l" for c in body]
-    changes, n = sum(x != y for x, y in zip(kinds, kinds[1:], strict=False)), len(body) - 1
-    if not changes:
-        return 1.0
-    log = [math.lgamma(n + 1) - math.lgamma(k + 1) - math.lgamma(n - k + 1) + k * math.log(_TEXT_CHANGES) + (n - k) * math.log1p(-_TEXT_CHANGES) for k in range(changes, n + 1)]
-    top = max(log)
-    return min(1.0, math.exp(top) * sum(math.exp(x - top) for x in log))
+def text_tail(body: str, size: int) -> float:
+    """A bound of the p-value under ordinary text of the likelihood ratio of uniform draws over size characters (Markov's inequality)."""
+    kinds = [_CLASS[c] for c in body]
+    within = sum(_WITHIN[c] for c in body) - math.log(3)
+    styles = [sum(style[x][y] for x, y in zip(kinds, kinds[1:], strict=False)) for style in _STYLES]
+    top = max(styles)
+    text = within + top + math.log(sum(math.exp(x - top) for x in styles) / len(styles))
+    return math.exp(min(0.0, text + len(body) * math.log(size)))
 
 
 def random_tokens(text: str, rules: RandomnessRules) -> list[Span]:
     tried: list[tuple[float, float, Span]] = []
     for m in _CANDIDATE.finditer(text):
         body = m.group().rstrip("=").strip("-_/+")
-        if len(body) < 16 or len(set(body)) < rules.min_distinct or not (kind := _encoding(body)):
+        if len(body) < 16 or len(set(body)) < rules.min_distinct or body.isdigit() or not (characters := _encoding(body)):
             continue
-        if any(c.isdigit() for c in body) and not body.isdigit():
-            name, size = kind
-            fits = min(uniformity(_values(body, size), size)) >= rules.least
-            start = m.start() + m.group().index(body)
-            tried.append((prose_tail(body) if fits else 1.0, len(body) / rules.even_length, ("random", start, start + len(body))))
+        size = len(characters)
+        p = text_tail(body, size)
+        if p < 1.0 and min(uniformity(_values(body, characters), size)) < rules.least:
+            p = 1.0
+        start = m.start() + m.group().index(body)
+        tried.append((p, len(body) / rules.even_length, ("random", start, start + len(body))))
     if not tried:
         return []
     mean = sum(w for _, w, _ in tried) / len(tried)

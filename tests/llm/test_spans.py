@@ -1,5 +1,7 @@
 import hashlib
+import random
 import re
+import string
 
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -85,6 +87,21 @@ def test_random_tokens_are_found_and_names_are_not():
         assert secrets_in(text) == ([], [])
 
 
+def test_random_keys_of_each_alphabet_are_found():
+    draw = random.Random(5)
+    lower, upper, digits = string.ascii_lowercase, string.ascii_uppercase, string.digits
+    for alphabet in (lower, upper, lower + upper, digits + lower, digits + upper, upper + "234567", digits + "ABCDEF", digits + lower + upper, digits + lower + upper + "+/"):
+        for n, least in ((16, 0.8), (20, 0.85), (24, 0.9), (32, 0.95), (40, 0.95), (64, 0.95)):
+            keys = ["Z" * (alphabet[-1] == "/") + "".join(draw.choices(alphabet, k=n)) for _ in range(200)]
+            assert sum(any(k == "random" for k, _, _ in secrets_in(f"the key is {key} here")[1]) for key in keys) >= 200 * least, (alphabet, n)
+    assert secrets_in("the key is " + "".join(draw.choices(lower + upper, k=70)) + "7Q here")[1]
+
+
+def test_long_words_and_names_are_not_keys():
+    for text in ("Donaudampfschifffahrtsgesellschaftskapitän", "internationalisation", "INTERNATIONALISATION", "getElementsByTagNameNS", "well-known-state-of-the-art", "src/main/java/org/example/HttpClient", "anticonstitutionnellement", "otorrinolaringologo", "MAX_RETRY_COUNT_PER_HOST", "abcdefghijklmnopqrstuvwxyz"):
+        assert secrets_in(f"see {text} there") == ([], []), text
+
+
 def test_tables(spark, docs):
     df = docs([(1, None), (2, ""), (3, "é me@a.bc 1.2.3.4"), (3, "é me@a.bc 1.2.3.4"), (4, "token=abcdef9")])
     rows = {r.doc_id: r for r in identifier_digest(df).collect()}
