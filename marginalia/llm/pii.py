@@ -85,14 +85,21 @@ _SPELLED = {w: str(d) for words in _DIGIT_WORDS.values() for d, w in enumerate(w
 _NUMBER_WORD = "|".join(sorted(_SPELLED, key=len, reverse=True))
 _SEPARATOR = r"(?:[\x20\t]*[,;/-]?[\x20\t]*)"
 _SPELLED_RUN = re.compile(rf"(?i)(?<![^\W_])(?:(?:plus\b[\x20]*|\+[\x20]*)?(?:{_NUMBER_WORD}|[0-9]+)(?:[\x20\t]*(?:[,;/.()-]|\b(?:dot|point|punkt|punto)\b)?[\x20\t]*(?:{_NUMBER_WORD}|[0-9]+)(?![^\W_]))+)")
-_SPELLED_HINT = re.compile(rf"(?i)\b(?:{_NUMBER_WORD})\b[\x20\t,;/.()-]*(?:\b(?:dot|point|punkt|punto)\b[\x20\t]*)?\b(?:{_NUMBER_WORD})\b")
+#: The first of the number words that an edited run holds, with what follows it: a superset of spell_digits.
+_SPELLED_HINT = re.compile(rf"(?i)(?<![^\W\d_])(?:{_NUMBER_WORD})[\x20\t]*(?:[,;/.()-]|\b(?:dot|point|punkt|punto)\b)?[\x20\t]*(?:{_NUMBER_WORD}|[0-9])")
 _PIECE = re.compile(rf"(?i){_NUMBER_WORD}|[0-9]+|\b(?:dot|point|punkt|punto)\b|plus|\+|[,;/.()\-]|[\x20\t]+")
 _AT_SIGN = r"(?:\x20*[\[({<]\x20*(?:at|@|arroba|arobase)\x20*[\])}>]\x20*|\x20+(?:AT|at|arroba|arobase)\x20+|\x20*@\x20*)"
 _DOT_SIGN = r"(?:\x20*[\[({<]\x20*(?:dot|\.|punkt|punto|point)\x20*[\])}>]\x20*|\x20+(?:DOT|dot|punkt|punto)\x20+|\.)"
 _DISGUISED = re.compile(rf"(?<![A-Za-z0-9._%+-])[A-Za-z0-9_%+-]+(?:{_DOT_SIGN}[A-Za-z0-9_%+-]+)*?(?P<at>{_AT_SIGN})[A-Za-z0-9-]+(?:{_DOT_SIGN}[A-Za-z0-9-]+)+")
+# A bare French "point" is a dot only in an address whose at sign isn't the English word ("at this point in").
+_AT_NOT_WORD = _AT_SIGN.replace("(?:AT|at|arroba|arobase)", "(?:arroba|arobase)")
+_DOT_OR_POINT = _DOT_SIGN.replace("(?:DOT|dot|punkt|punto)", "(?:DOT|dot|punkt|punto|point)")
+_POINTED = re.compile(rf"(?<![A-Za-z0-9._%+-])[A-Za-z0-9_%+-]+(?:{_DOT_OR_POINT}[A-Za-z0-9_%+-]+)*?(?P<at>{_AT_NOT_WORD})[A-Za-z0-9-]+(?:{_DOT_OR_POINT}[A-Za-z0-9-]+)+")
 _AT = re.compile(_AT_SIGN)
 _DOT = re.compile(_DOT_SIGN)
-_AT_HINT = re.compile(r"(?i)[\[({<]\x20*(?:at|@|arroba|arobase|dot|punkt|punto|\.)\x20*[\])}>]|\x20(?:dot|punkt|punto)\x20|\x20@|@\x20|\x20at\x20+[a-z0-9-]+\.[a-z]")
+_DOT_POINT = re.compile(_DOT_OR_POINT)
+#: Every disguised sign that write_signs takes: a superset of it.
+_AT_HINT = re.compile(r"(?i)[\[({<]\x20*(?:at|@|arroba|arobase|dot|punkt|punto|point|\.)\x20*[\])}>]|\x20(?:dot|punkt|punto|arroba|arobase)\x20|\x20@|@\x20|@[a-z0-9.-]+\x20+point\x20|\x20point\x20+[a-z0-9._%+-]+@|\x20at\x20+[a-z0-9-]+\.[a-z0-9-]")
 #: Letters that stand for digits between digits.
 _DIGIT_LOOKALIKES = re.compile(r"(?<=[0-9])[OoIl]+(?=[0-9])")
 #: A name that no word of running text before a bare "at" looks like.
@@ -159,11 +166,13 @@ def spell_digits(m: Mapped) -> Mapped:
 def write_signs(m: Mapped) -> Mapped:
     """Disguised addresses: written or bracketed at and dot become signs. A bare "at" counts only before a written or real dot within its address."""
     edits = []
-    for pattern in (_DISGUISED, _IP_DOTS):
+    for pattern, dot in ((_DISGUISED, _DOT), (_POINTED, _DOT_POINT), (_IP_DOTS, _DOT)):
+        if pattern is _POINTED and "point" not in m.text:
+            continue
         for x in pattern.finditer(m.text):
             a, b = x.span()
-            signs = [(*y.span(), ".") for y in _DOT.finditer(m.text, a, b)]
-            if pattern is _DISGUISED:
+            signs = [(*y.span(), ".") for y in dot.finditer(m.text, a, b)]
+            if pattern is not _IP_DOTS:
                 at = x.span("at")
                 bare_at = re.fullmatch(r"\x20+\w+\x20+", x.group("at"))
                 written_dot = any(re.search(r"\w", m.text[s[0] : s[1]]) for s in signs if s[0] > at[1] - 1)

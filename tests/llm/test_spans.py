@@ -6,7 +6,7 @@ import string
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from marginalia.llm.pii import detect, identifier_digest, identifiers_in, luhn
+from marginalia.llm.pii import _AT_HINT, _SPELLED_HINT, Mapped, detect, identifier_digest, identifiers_in, luhn, spell_digits, write_signs
 from marginalia.llm.secret_scan import secret_digest, secrets_in
 
 EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
@@ -56,6 +56,27 @@ def test_more_disguises():
     assert shown("ask jane_doe(at)mail(dot)example(dot)com") == [("email", "jane_doe(at)mail(dot)example(dot)com")]
 
 
+def test_signs_and_numbers_without_other_hints():
+    assert shown("escribe a juan.perez arroba ejemplo.com hoy") == [("email", "juan.perez arroba ejemplo.com")]
+    assert shown("voir jean arobase exemple point fr ici") == [("email", "jean arobase exemple point fr")]
+    assert shown("voir jean point dupont@exemple point fr") == [("email", "jean point dupont@exemple point fr")]
+    assert shown("jean[at]exemple[point]fr") == [("email", "jean[at]exemple[point]fr")]
+    assert shown("call +1 six 5 two 5 five 5 four 4 four 4 now") == [("phone", "+1 six 5 two 5 five 5 four 4 four 4")]
+    for text in ("look at this point in time", "arrive at home point five", "un point fr"):
+        assert identifiers_in(text) == ([], [])
+
+
+_PARTS = ["one", "six", "un", "neun", "seis", "oh", "plus", "dot", "point", "punto", "DOT", "5", "41", "+", "(", ")", "-", ",", "  ", " at ", " AT ", " arroba ", " arobase ", " point ", " dot ", " @ ", "@", "[at]", "(arobase)", "[point]", "{dot}", "a.b", "mail.example", "ab3", ".", "c", "é", "_", "\t"]
+
+
+@settings(max_examples=1500, deadline=None)
+@given(st.lists(st.sampled_from([*_PARTS, " ", " ", " "]), max_size=14).map("".join))
+def test_gated_equals_ungated(text):
+    m = Mapped(text)
+    assert _SPELLED_HINT.search(text) or spell_digits(m).text == text
+    assert _AT_HINT.search(text) or write_signs(m).text == text
+
+
 def test_plain_prose_is_left_alone():
     for text in ("be at the door and dot the i", "one two three go", "meet me at example.com", "un deux trois", "5 at 6", "a+b=c"):
         assert identifiers_in(text) == ([], [])
