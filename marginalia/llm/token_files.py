@@ -13,17 +13,18 @@ width u32[blocks] | exceptions u32[blocks] | start u32[blocks + 1] (in words of
 words u32[32 * width] (lane-wise, 32 lanes of 32 ids), places u16[exceptions] padded to 4 bytes, high bits
 u32[exceptions].
 
-Null texts count as empty and hold the end id alone. Rows with the same id keep the order of their texts;
+Null texts count as empty and hold the end id alone; a text of any length is encoded whole, texts of about 4 MB at once. Rows with the same id keep the order of their texts;
 null ids come first. An empty table gives an empty result.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -116,33 +117,70 @@ def decode_segment(data: bytes) -> np.ndarray:
 
 #: ASCII signs that are neither letters nor digits.
 _SIGNS = bytes(c for c in range(33, 127) if not chr(c).isalnum())
+# The parts of a tokenizer file for which WordCache's short cuts hold.
+_NORMALIZERS = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]
+_SPLIT = {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True}
+_BYTES = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}
 
 
-class WordCache(dict):
-    """Ids of a text by way of its pieces between white space, which no token of these tokenizers spans.
+def _folds_and_splits(spec: dict) -> bool:
+    """Does the file describe a tokenizer that folds case, parts letters from digits and signs, and ends words with </w>?"""
+    model = spec["model"]
+    return (
+        (spec.get("normalizer") or {}).get("normalizers") == _NORMALIZERS
+        and (spec.get("pre_tokenizer") or {}).get("pretokenizers") == [_SPLIT, _BYTES]
+        and (model.get("type"), model.get("end_of_word_suffix")) == ("BPE", "</w>")
+        and not any(model.get(k) for k in ("dropout", "continuing_subword_prefix", "byte_fallback"))
+        and not any(spec.get(k) for k in ("truncation", "padding"))
+        and not any(t[k] for t in spec["added_tokens"] for k in ("single_word", "lstrip", "rstrip", "normalized"))
+    )
+
 
-    For tokenizers that fold case and split letters from signs. A piece is encoded once, a stem of letters and
-    the signs after it apart, and kept as bytes; new stems go through the tokenizer as one text, cut again at
-    the tokens that end a word. Beyond `most` pieces the cache starts anew and takes over from the one before what
-    is asked for again, so that it holds twice that many at most and keeps the frequent ones.
+class WordCache(dict):
+    """Ids of texts by way of their pieces between white space, which no token of these tokenizers spans.
+
+    Arrow cuts the texts of a batch and finds its different pieces; each of these is encoded once and kept as bytes. A
+    stem of letters and the signs after it are encoded apart; new stems go together, cut again at the tokens that end a
+    word. A letter counts as one only if the tokenizer's own normaliser and splitter keep it apart from a sign after it.
+    Beyond `most` pieces the cache starts anew and takes over from the one before what is asked for again, so that it
+    holds twice that many at most and keeps the frequent ones. Texts with the name of a special token, and all texts
+    where the tokenizer isn't of this kind (see _folds_and_splits), go through the tokenizer whole.
     """
 
-    def __init__(self, path: str, most: int = 200_000) -> None:
+    def __init__(self, path: str, most: int = 300_000) -> None:
+        import json
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
         super().__init__()
         self.tokenizer, self.most = Tokenizer.from_file(path), most
+        with open(path, encoding="utf-8") as file:
+            spec = json.load(file)
+        self.by_piece = _folds_and_splits(spec)
+        self.special = sorted({t["content"].lower() for t in spec["added_tokens"]})
         self.before: dict[bytes, bytes] = {}
-        vocabulary = self.tokenizer.get_vocab()
-        self.ends_word = np.zeros(max(vocabulary.values(), default=0) + 1, bool)
-        self.ends_word[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
-
-    def __missing__(self, piece: bytes) -> bytes:
-        value = self[piece] = self.before[piece]
-        return value
+        self.letters: dict[str, bool] = {}
+        if self.by_piece:
+            vocabulary = self.tokenizer.get_vocab()
+            self.ends_word = np.zeros(max(vocabulary.values(), default=0) + 1, bool)
+            self.ends_word[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
+            # The same model for stems, which need no splitting: lower-case ASCII letters, and any letters.
+            self.plain, self.folding = Tokenizer(self.tokenizer.model), Tokenizer(self.tokenizer.model)
+            self.plain.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
+            self.folding.normalizer = normalizers.Sequence([normalizers.NFC(), normalizers.Lowercase()])
+            self.folding.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+
+    def _is_letter(self, c: str) -> bool:
+        known = self.letters.get(c)
+        if known is None:
+            split = self.tokenizer.pre_tokenizer.pre_tokenize_str(self.tokenizer.normalizer.normalize_str(f"a{c}a<"))
+            known = self.letters[c] = c.isalpha() and len(split) == 2
+        return known
+
+    def _is_stem(self, stem: bytes) -> bool:
+        return stem.isalpha() or not stem.isascii() and all(map(self._is_letter, stem.decode()))
 
     def _learn(self, pieces: list[bytes]) -> None:
         """One call for each piece: for whatever isn't a stem of letters."""
@@ -151,43 +189,83 @@ class WordCache(dict):
             for piece, e in zip(part, self.tokenizer.encode_batch_fast([p.decode() for p in part], add_special_tokens=False), strict=True):
                 self[piece] = np.array(e.ids, "<u4").tobytes()
 
-    def _learn_stems(self, stems: list[bytes]) -> None:
+    def _learn_stems(self, stems: list[bytes], tokenizer) -> None:
         for a in range(0, len(stems), 1000):
             part = stems[a : a + 1000]
-            ids = np.array(self.tokenizer.encode_batch_fast([b" ".join(part).decode()], add_special_tokens=False)[0].ids, "<u4")
+            ids = np.array(tokenizer.encode_batch_fast([b" ".join(part).decode()], add_special_tokens=False)[0].ids, "<u4")
             stops = np.flatnonzero(self.ends_word[ids]) + 1
             if len(stops) != len(part) or stops[-1] != len(ids):
-                self._learn(part)  # a letter that becomes more than letters
+                self._learn(part)
                 continue
             raw, stops = ids.tobytes(), (4 * stops).tolist()
             self.update(zip(part, (raw[i:j] for i, j in zip([0, *stops], stops, strict=False)), strict=True))
 
-    def encode(self, texts: list[str | None], end_id: int) -> list[np.ndarray]:
-        split = [t.encode("utf-8", "replace").lower().split() if t else [] for t in texts]
+    def _ids_of(self, pieces: list[bytes]) -> list[bytes]:
+        """The ids of different pieces, learning new ones."""
         if len(self) > self.most:
             self.before = dict(self)
             self.clear()
-        new = set().union(*split).difference(self).difference(self.before)
         cut: list[tuple[bytes, bytes, bytes]] = []
         stems, others = set(), set()
-        for p in new:
+        before = self.before
+        for p in pieces:
+            if p in self:
+                continue
+            if p in before:
+                self[p] = before[p]
+                continue
             stem = p.rstrip(_SIGNS)
-            if stem and stem.decode().isalpha():
-                if stem not in self and stem not in self.before:
+            if stem and self._is_stem(stem):
+                if stem not in self:
                     stems.add(stem)
                 if len(stem) < len(p):
                     tail = p[len(stem) :]
-                    if tail not in self and tail not in self.before:
-                        others.add(tail)
+                    others.add(tail)
                     cut.append((p, stem, tail))
             else:
                 others.add(p)
-        self._learn_stems(list(stems))
-        self._learn(list(others))
+        ascii_ = [s for s in stems if s.isascii()]
+        self._learn_stems(ascii_, self.plain)
+        self._learn_stems([s for s in stems if not s.isascii()], self.folding)
+        self._learn([p for p in others if p not in self])
         for p, stem, tail in cut:
             self[p] = self[stem] + self[tail]
-        end, get = np.array([end_id], "<u4").tobytes(), self.__getitem__
-        return [np.frombuffer(b"".join(map(get, pieces)) + end, "<u4") for pieces in split]
+        return list(map(self.__getitem__, pieces))
+
+    def _whole(self, texts: Sequence[str]) -> list[bytes]:
+        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(list(texts), add_special_tokens=False)]
+
+    def encode(self, texts: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
+        """texts: strings, null like empty. The ids of all texts in a row, each text's ended by end_id, and where each text's stop."""
+        texts = texts.fill_null("")
+        if not self.by_piece:
+            end = np.array([end_id], "<u4").tobytes()
+            each = [x + end for x in self._whole(texts.to_pylist())]
+            return np.frombuffer(b"".join(each), "<u4"), np.cumsum([len(x) // 4 for x in each], dtype=np.int64)
+        low = pc.ascii_lower(texts)
+        whole = np.zeros(len(texts), bool)
+        for name in self.special:
+            whole |= pc.match_substring(low, name).to_numpy(zero_copy_only=False)
+        if whole.any():
+            low = pc.if_else(pa.array(whole), "", low)
+        words = pc.ascii_split_whitespace(low)
+        found = words.flatten().dictionary_encode()
+        values = self._ids_of(found.dictionary.cast(pa.binary()).to_pylist()) + [np.array([end_id], "<u4").tobytes()]
+        stops = words.offsets.to_numpy()[1:].astype(np.int64)
+        index = found.indices.to_numpy()
+        if whole.any():
+            at = np.flatnonzero(whole)
+            values += self._whole(texts.take(pa.array(at)).to_pylist())
+            index = np.insert(index, stops[at], len(values) - len(at) + np.arange(len(at)))
+            stops = stops + np.cumsum(whole)
+        index = np.insert(index, stops, len(found.dictionary))
+        stops = stops + np.arange(1, len(stops) + 1)
+        flat = np.frombuffer(b"".join(values), "<u4")
+        sizes = np.fromiter(map(len, values), np.int64, len(values)) // 4
+        starts, size = (np.cumsum(sizes) - sizes)[index], sizes[index]
+        ends = np.cumsum(size)
+        ids = flat[np.repeat(starts - (ends - size), size) + np.arange(ends[-1] if len(ends) else 0)]
+        return ids, ends[stops - 1] if len(stops) else stops
 
 
 #: One cache a tokenizer and Python worker; later tasks of the worker use it again.
@@ -203,10 +281,30 @@ def _cache(path: str) -> WordCache:
 _SCHEMA = "shard int, segment int, first_token bigint, n_tokens bigint, doc_ids array<bigint>, doc_tokens array<bigint>, data binary"
 
 
+#: Characters of text that are encoded at once; a longer text stands alone.
+PART_CHARS = 1 << 22
+
+
+def _parts(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """A batch in parts of about PART_CHARS bytes of its second column."""
+    sizes = pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    totals = np.cumsum(sizes)
+    a = 0
+    while a < batch.num_rows:
+        b = max(a + 1, int(np.searchsorted(totals, totals[a] - sizes[a] + PART_CHARS, "right")))
+        yield batch.slice(a, b - a)
+        a = b
+
+
 def write_token_files(
-    docs: DataFrame, tokenizer_path: str, end_id: int, id_col: str = "doc_id", text_col: str = "text", percentile: float = 90.0, segment_tokens: int = 1 << 20
+    docs: DataFrame, tokenizer_path: str, end_id: int, id_col: str = "doc_id", text_col: str = "text", percentile: float = 90.0, segment_tokens: int = 1 << 20, path: str | None = None
 ) -> DataFrame:
-    """Encodes and writes; returns the written table of segments, read back."""
+    """Encodes and writes; returns the written table of segments, read back.
+
+    path: the folder to make, in any store that Spark writes to; it then holds `segments`, the token files, and
+    `manifest`, a row a shard with its base (ids of all shards before it), ids, documents and segments. Without one the
+    segments go to the session's shared folder."""
+    spark = docs.sparkSession
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     ranged = source.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
 
@@ -217,10 +315,10 @@ def write_token_files(
         cache: WordCache | None = None
         held_ids: list[int | None] = []
         held: list[np.ndarray] = []
+        lengths: list[int] = []
         size = segment = first = 0
 
         def flush() -> pa.RecordBatch:
-            lengths = [len(x) for x in held]
             data = encode_segment(np.concatenate(held), percentile)
             columns = [[shard], [segment], [first], [size], [held_ids], [lengths], [data]]
             kinds = [pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary()]
@@ -229,27 +327,50 @@ def write_token_files(
 
         for batch in batches:
             cache = cache or _cache(tokenizer_path)
-            for a in range(0, batch.num_rows, 256):
-                part = batch.slice(a, 256)
-                for doc_id, ids in zip(part.column(0).to_pylist(), cache.encode(part.column(1).to_pylist(), end_id), strict=True):
-                    held_ids.append(doc_id)
-                    held.append(ids)
-                    size += len(ids)
+            for part in _parts(batch):
+                ids, stops = cache.encode(part.column(1), end_id)
+                doc_ids, at, done = part.column(0).to_pylist(), 0, 0
+                while done < len(doc_ids):
+                    # Whole documents up to the one that fills the segment.
+                    b = min(len(doc_ids), int(np.searchsorted(stops, at + segment_tokens - size)) + 1)
+                    stop = int(stops[b - 1])
+                    held.append(ids[at:stop])
+                    held_ids += doc_ids[done:b]
+                    lengths += np.diff(stops[done:b], prepend=at).tolist()
+                    size, at, done = size + stop - at, stop, b
                     if size >= segment_tokens:
                         yield flush()
-                        first, segment, size, held, held_ids = first + size, segment + 1, 0, [], []
+                        first, segment, size, held, held_ids, lengths = first + size, segment + 1, 0, [], [], []
         if held:
             yield flush()
 
-    return written(ranged.mapInArrow(encode, _SCHEMA), "token-files")
+    rows = ranged.mapInArrow(encode, _SCHEMA)
+    if path is None:
+        return written(rows, "token-files")
+    path = path.rstrip("/")
+    rows.write.parquet(f"{path}/segments")
+    segments = open_token_files(spark, path)
+    shards = segments.groupBy("shard").agg(F.sum("n_tokens").alias("n_tokens"), F.sum(F.size("doc_ids")).alias("n_docs"), F.count(F.lit(1)).alias("n_segments"))
+    shards.join(_bases(segments), "shard").write.parquet(f"{path}/manifest")
+    return segments
 
 
-def read_token_files(segments: DataFrame) -> DataFrame:
-    """From the files: doc_id, shard, start (ids of all documents before it), n_tokens and the ids' CRC-32."""
+def open_token_files(spark: SparkSession, path: str) -> DataFrame:
+    """The segments of token files written to path."""
+    return spark.read.schema(_SCHEMA).parquet(f"{path.rstrip('/')}/segments")
+
+
+def _bases(segments: DataFrame) -> DataFrame:
+    """shard, base: the ids of all shards before it."""
     totals = segments.groupBy("shard").agg(F.sum("n_tokens").alias("n"))
     # One row a shard: a bounded table, whatever the number of documents.
     before = W.orderBy("shard").rowsBetween(W.unboundedPreceding, -1)
-    bases = totals.select("shard", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
+    return totals.select("shard", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
+
+
+def read_token_files(segments: DataFrame) -> DataFrame:
+    """From the files: doc_id, shard, start (ids of all documents before it), n_tokens and the ids' CRC-32."""
+    bases = _bases(segments)
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zlib

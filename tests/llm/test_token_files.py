@@ -1,11 +1,12 @@
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from marginalia.llm.token_files import WordCache, decode_segment, encode_segment, tokenise_to_files
+from marginalia.llm.token_files import WordCache, decode_segment, encode_segment, open_token_files, read_token_files, tokenise_to_files, write_token_files
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
 PATH = str(public_tokenizers.path("word_bpe_49k.json"))
@@ -34,13 +35,60 @@ def test_outliers_cost_exceptions_not_width():
         decode_segment(b"nope" + bytes(16))
 
 
-@settings(max_examples=200, deadline=None)
-@given(st.lists(st.text(alphabet="aBÉ'sst ,.\n\t\x1c<|endoftext|>1İΣǅ日́", max_size=40), max_size=8))
-def test_cache_equals_tokenizer(texts):
-    cache, plain = WordCache(PATH, most=3), tokenizer()
+def encoded(cache, texts):
+    ids, stops = cache.encode(pa.array(texts, pa.string()), 1)
+    return [x.tolist() for x in np.split(ids, stops)[:-1]] if texts else []
+
+
+@pytest.fixture(scope="module")
+def cache_and_plain():
+    return WordCache(PATH, most=3), tokenizer()
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.text(alphabet="aBÉ'sst ,.\n\t\x1c<|endoftext|>ENDOFTX1İΣǅ日\u0301\u0958\u00a0", max_size=40), max_size=8))
+def test_cache_equals_tokenizer(cache_and_plain, texts):
+    cache, plain = cache_and_plain
     for _ in range(2):
-        for text, ids in zip(texts, cache.encode(texts, 1), strict=True):
-            assert ids.tolist() == plain.encode(text, add_special_tokens=False).ids + [1]
+        assert encoded(cache, texts) == [plain.encode(t, add_special_tokens=False).ids + [1] for t in texts]
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.one_of(st.text(max_size=30), st.sampled_from(["<|endoftext|>", "a <|EndOfText|> b", "x<|startoftext|>y", "", " ", "İstanbul, İ!"])), max_size=8))
+def test_cache_equals_tokenizer_on_any_text(cache_and_plain, texts):
+    cache, plain = cache_and_plain
+    assert encoded(cache, texts) == [plain.encode(t, add_special_tokens=False).ids + [1] for t in texts]
+
+
+def test_every_character_beside_letters_and_signs(cache_and_plain):
+    plain, cache = cache_and_plain[1], WordCache(PATH)
+    characters = [chr(c) for c in range(1, 0x30000) if not 0xD800 <= c < 0xE000]
+    for form in ("{0}<", "a{0}, <{0}a", "{0}e\u0301."):
+        for a in range(0, len(characters), 20_000):
+            texts = [form.format(c) for c in characters[a : a + 20_000]]
+            want = [e.ids + [1] for e in plain.encode_batch_fast(texts, add_special_tokens=False)]
+            got = encoded(cache, texts)
+            assert got == want, [t for t, x, y in zip(texts, got, want, strict=True) if x != y][:5]
+
+
+def test_other_tokenizers_encode_whole_texts():
+    path = str(public_tokenizers.path("byte_bpe_50k.json"))
+    from tokenizers import Tokenizer
+
+    plain, cache = Tokenizer.from_file(path), WordCache(path)
+    texts = ["Hello,  World", None, "", "É x"]
+    assert not cache.by_piece
+    assert encoded(cache, texts) == [plain.encode(t or "", add_special_tokens=False).ids + [1] for t in texts]
+
+
+def test_files_at_a_path(spark, docs, tmp_path):
+    rows = [(i, f"text number {i} and more") for i in range(300)]
+    path = f"file://{tmp_path}/tokens"
+    segments = write_token_files(docs(rows).repartition(4), PATH, 1, segment_tokens=64, path=path)
+    manifest = spark.read.parquet(f"{path}/manifest").orderBy("shard").collect()
+    got = read_token_files(open_token_files(spark, path)).collect()
+    assert sum(r.n_docs for r in manifest) == len(got) == 300 and sum(r.n_segments for r in manifest) == segments.count()
+    assert [r.base for r in manifest] == np.cumsum([0] + [r.n_tokens for r in manifest])[:-1].tolist()
 
 
 def test_files_of_documents(spark, docs):
