@@ -13,7 +13,7 @@ width u32[blocks] | exceptions u32[blocks] | start u32[blocks + 1] (in words of
 words u32[32 * width] (lane-wise, 32 lanes of 32 ids), places u16[exceptions] padded to 4 bytes, high bits
 u32[exceptions].
 
-Null texts count as empty and hold the end id alone; a text of any length is encoded whole, texts of about 4 MB at once. Rows with the same id keep the order of their texts;
+Null texts count as empty and hold the end id alone; a text of any length is encoded whole, texts of about 8 MB at once. Rows with the same id keep the order of their texts;
 null ids come first. An empty table gives an empty result.
 """
 
@@ -136,32 +136,39 @@ def _folds_and_splits(spec: dict) -> bool:
     )
 
 
-class WordCache(dict):
+def _strings(column: pa.Array) -> list[bytes]:
+    """The bytes of an array of strings without nulls."""
+    offsets = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1].tolist()
+    raw = bytes(column.buffers()[2] or b"")
+    return [raw[i:j] for i, j in zip(offsets, offsets[1:], strict=False)]
+
+
+class WordCache:
     """Ids of texts by way of their pieces between white space, which no token of these tokenizers spans.
 
-    Arrow cuts the texts of a batch and finds its different pieces; each of these is encoded once and kept as bytes. A
-    stem of letters and the signs after it are encoded apart; new stems go together, cut again at the tokens that end a
-    word. A letter counts as one only if the tokenizer's own normaliser and splitter keep it apart from a sign after it.
-    Beyond `most` pieces the cache starts anew and takes over from the one before what is asked for again, so that it
-    holds twice that many at most and keeps the frequent ones. Texts with the name of a special token, and all texts
-    where the tokenizer isn't of this kind (see _folds_and_splits), go through the tokenizer whole.
+    Arrow cuts the texts of a part, looks their pieces up among the known ones, and finds the different new ones; these are
+    encoded once. A stem of letters and the signs after it are encoded apart; new stems go together, cut again at the
+    tokens that end a word. A letter counts as one only if the tokenizer's own normaliser and splitter keep it apart
+    from a sign after it. Beyond `most` pieces those go that no part has asked for since the last time. Texts with the name
+    of a special token, and all texts where the tokenizer isn't of this kind (see _folds_and_splits), go through the
+    tokenizer whole.
     """
 
-    def __init__(self, path: str, most: int = 300_000) -> None:
+    def __init__(self, path: str, most: int = 600_000) -> None:
         import json
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
-        super().__init__()
         self.tokenizer, self.most = Tokenizer.from_file(path), most
         with open(path, encoding="utf-8") as file:
             spec = json.load(file)
         self.by_piece = _folds_and_splits(spec)
         self.special = sorted({t["content"].lower() for t in spec["added_tokens"]})
-        self.before: dict[bytes, bytes] = {}
-        self.letters: dict[str, bool] = {}
+        self.words, self.values, self.asked = pa.array([], pa.string()), pa.array([], pa.large_binary()), np.zeros(0, bool)
+        self.letters: set[str] = set()
+        self.others: set[str] = set()
         if self.by_piece:
             vocabulary = self.tokenizer.get_vocab()
             self.ends_word = np.zeros(max(vocabulary.values(), default=0) + 1, bool)
@@ -173,73 +180,88 @@ class WordCache(dict):
             self.folding.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
 
     def _is_letter(self, c: str) -> bool:
-        known = self.letters.get(c)
-        if known is None:
-            split = self.tokenizer.pre_tokenizer.pre_tokenize_str(self.tokenizer.normalizer.normalize_str(f"a{c}a<"))
-            known = self.letters[c] = c.isalpha() and len(split) == 2
-        return known
-
-    def _is_stem(self, stem: bytes) -> bool:
-        return stem.isalpha() or not stem.isascii() and all(map(self._is_letter, stem.decode()))
-
-    def _learn(self, pieces: list[bytes]) -> None:
-        """One call for each piece: for whatever isn't a stem of letters."""
-        for a in range(0, len(pieces), 4096):
-            part = pieces[a : a + 4096]
-            for piece, e in zip(part, self.tokenizer.encode_batch_fast([p.decode() for p in part], add_special_tokens=False), strict=True):
-                self[piece] = np.array(e.ids, "<u4").tobytes()
-
-    def _learn_stems(self, stems: list[bytes], tokenizer) -> None:
+        return c.isalpha() and len(self.tokenizer.pre_tokenizer.pre_tokenize_str(self.tokenizer.normalizer.normalize_str(f"a{c}a<"))) == 2
+
+    def _are_stems(self, stems: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Which of these are lower-case ASCII letters, and which other letters that stay apart from signs."""
+        read = lambda mask: mask.to_numpy(zero_copy_only=False)
+        plain, other = read(pc.ascii_is_alpha(stems)), read(pc.utf8_is_alpha(stems))
+        other &= ~plain
+        if other.any():
+            found = _strings(stems.filter(pa.array(other)))
+            characters = set(b"".join(found).decode())
+            for c in characters - self.letters - self.others:
+                (self.letters if self._is_letter(c) else self.others).add(c)
+            if not characters <= self.letters:
+                other[other] = [self.letters.issuperset(x.decode()) for x in found]
+        return plain, other
+
+    def _whole(self, texts: Sequence[str]) -> list[bytes]:
+        """One call for each text."""
+        out = []
+        for a in range(0, len(texts), 4096):
+            out += [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(list(texts[a : a + 4096]), add_special_tokens=False)]
+        return out
+
+    def _stems(self, stems: pa.Array, tokenizer) -> pa.Array:
+        """The ids of different stems."""
+        out = [pa.array([], pa.large_binary())]
         for a in range(0, len(stems), 1000):
-            part = stems[a : a + 1000]
+            part = _strings(stems.slice(a, 1000))
             ids = np.array(tokenizer.encode_batch_fast([b" ".join(part).decode()], add_special_tokens=False)[0].ids, "<u4")
             stops = np.flatnonzero(self.ends_word[ids]) + 1
-            if len(stops) != len(part) or stops[-1] != len(ids):
-                self._learn(part)
-                continue
-            raw, stops = ids.tobytes(), (4 * stops).tolist()
-            self.update(zip(part, (raw[i:j] for i, j in zip([0, *stops], stops, strict=False)), strict=True))
-
-    def _ids_of(self, pieces: list[bytes]) -> list[bytes]:
-        """The ids of different pieces, learning new ones."""
-        if len(self) > self.most:
-            self.before = dict(self)
-            self.clear()
-        cut: list[tuple[bytes, bytes, bytes]] = []
-        stems, others = set(), set()
-        before = self.before
-        for p in pieces:
-            if p in self:
-                continue
-            if p in before:
-                self[p] = before[p]
-                continue
-            stem = p.rstrip(_SIGNS)
-            if stem and self._is_stem(stem):
-                if stem not in self:
-                    stems.add(stem)
-                if len(stem) < len(p):
-                    tail = p[len(stem) :]
-                    others.add(tail)
-                    cut.append((p, stem, tail))
+            if len(stops) == len(part) and stops[-1] == len(ids):
+                ends = np.concatenate([[0], 4 * stops]).astype(np.int64)
+                out.append(pa.Array.from_buffers(pa.large_binary(), len(part), [None, pa.py_buffer(ends), pa.py_buffer(ids)]))
             else:
-                others.add(p)
-        ascii_ = [s for s in stems if s.isascii()]
-        self._learn_stems(ascii_, self.plain)
-        self._learn_stems([s for s in stems if not s.isascii()], self.folding)
-        self._learn([p for p in others if p not in self])
-        for p, stem, tail in cut:
-            self[p] = self[stem] + self[tail]
-        return list(map(self.__getitem__, pieces))
-
-    def _whole(self, texts: Sequence[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(list(texts), add_special_tokens=False)]
+                out.append(pa.array(self._whole([p.decode() for p in part]), pa.large_binary()))
+        return pa.concat_arrays(out)
+
+    def _ids_of(self, pieces: pa.Array) -> pa.Array:
+        """The ids of different pieces."""
+        stems = pc.ascii_rtrim(pieces, characters=_SIGNS.decode())
+        plain, other = self._are_stems(stems)
+        parts_, places = [], []
+        for mask, tokenizer in ((plain, self.plain), (other, self.folding)):
+            at = np.flatnonzero(mask)
+            found = stems.take(pa.array(at)).dictionary_encode()
+            tails = [p[n:].decode() for p, n in zip(_strings(pieces.take(pa.array(at))), pc.binary_length(stems).to_numpy()[at].tolist(), strict=True)]
+            signs = pa.array(tails, pa.string()).dictionary_encode()
+            ended = pa.array(self._whole(signs.dictionary.to_pylist()), pa.large_binary())
+            both = [self._stems(found.dictionary, tokenizer).take(found.indices), ended.take(signs.indices)]
+            parts_.append(pc.binary_join_element_wise(*both, pa.scalar(b"", pa.large_binary())))
+            places.append(at)
+        rest = np.flatnonzero(~plain & ~other)
+        parts_.append(pa.array(self._whole(pieces.take(pa.array(rest)).to_pylist()), pa.large_binary()))
+        order = np.argsort(np.concatenate([*places, rest]))
+        return pa.concat_arrays(parts_).take(pa.array(order))
+
+    def _forget(self) -> None:
+        keep = self.asked if np.count_nonzero(self.asked) <= self.most // 2 else np.zeros(len(self.asked), bool)
+        self.words, self.values = self.words.filter(pa.array(keep)), self.values.filter(pa.array(keep))
+        self.asked = np.zeros(len(self.words), bool)
+
+    def _look_up(self, pieces: pa.Array) -> np.ndarray:
+        """The places of pieces among the known words; new ones are learnt."""
+        if len(self.words) > self.most:
+            self._forget()
+        found = pc.index_in(pieces, value_set=self.words)
+        if found.null_count:
+            missing = pc.is_null(found)
+            again = pieces.filter(missing).dictionary_encode()
+            at = found.fill_null(0).to_numpy().copy()
+            at[missing.to_numpy(zero_copy_only=False)] = again.indices.to_numpy() + len(self.words)
+            self.words, self.values = pa.concat_arrays([self.words, again.dictionary]), pa.concat_arrays([self.values, self._ids_of(again.dictionary)])
+            self.asked = np.concatenate([self.asked, np.zeros(len(again.dictionary), bool)])
+        else:
+            at = found.to_numpy()
+        self.asked[at] = True
+        return at
 
     def encode(self, texts: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """texts: strings, null like empty. The ids of all texts in a row, each text's ended by end_id, and where each text's stop."""
-        texts = texts.fill_null("")
+        texts, end = texts.fill_null(""), np.array([end_id], "<u4").tobytes()
         if not self.by_piece:
-            end = np.array([end_id], "<u4").tobytes()
             each = [x + end for x in self._whole(texts.to_pylist())]
             return np.frombuffer(b"".join(each), "<u4"), np.cumsum([len(x) // 4 for x in each], dtype=np.int64)
         low = pc.ascii_lower(texts)
@@ -249,23 +271,19 @@ class WordCache(dict):
         if whole.any():
             low = pc.if_else(pa.array(whole), "", low)
         words = pc.ascii_split_whitespace(low)
-        found = words.flatten().dictionary_encode()
-        values = self._ids_of(found.dictionary.cast(pa.binary()).to_pylist()) + [np.array([end_id], "<u4").tobytes()]
         stops = words.offsets.to_numpy()[1:].astype(np.int64)
-        index = found.indices.to_numpy()
+        index = self._look_up(words.flatten())
+        more = []
         if whole.any():
             at = np.flatnonzero(whole)
-            values += self._whole(texts.take(pa.array(at)).to_pylist())
-            index = np.insert(index, stops[at], len(values) - len(at) + np.arange(len(at)))
+            more = self._whole(texts.take(pa.array(at)).to_pylist())
+            index = np.insert(index, stops[at], len(self.values) + np.arange(len(at)))
             stops = stops + np.cumsum(whole)
-        index = np.insert(index, stops, len(found.dictionary))
+        index = np.insert(index, stops, len(self.values) + len(more))
         stops = stops + np.arange(1, len(stops) + 1)
-        flat = np.frombuffer(b"".join(values), "<u4")
-        sizes = np.fromiter(map(len, values), np.int64, len(values)) // 4
-        starts, size = (np.cumsum(sizes) - sizes)[index], sizes[index]
-        ends = np.cumsum(size)
-        ids = flat[np.repeat(starts - (ends - size), size) + np.arange(ends[-1] if len(ends) else 0)]
-        return ids, ends[stops - 1] if len(stops) else stops
+        laid = pa.concat_arrays([self.values, pa.array([*more, end], pa.large_binary())]).take(pa.array(index))
+        offsets = np.frombuffer(laid.buffers()[1], np.int64)[: len(index) + 1] // 4
+        return np.frombuffer(laid.buffers()[2] or b"", "<u4", int(offsets[-1])), offsets[stops]
 
 
 #: One cache a tokenizer and Python worker; later tasks of the worker use it again.
@@ -282,7 +300,7 @@ _SCHEMA = "shard int, segment int, first_token bigint, n_tokens bigint, doc_ids
 
 
 #: Characters of text that are encoded at once; a longer text stands alone.
-PART_CHARS = 1 << 22
+PART_CHARS = 1 << 23
 
 
 def _parts(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
