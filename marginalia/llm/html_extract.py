@@ -1,23 +1,30 @@
 """Main text of web pages by two passes of block rules.
 
-The markup is cut into blocks at block-level tags. Pass one classifies each block by the element it stands
-in, its length, its link density and its density of stop words: good, bad, or ambiguous (short or middling).
-In pass two an ambiguous block takes the label of the nearest decided block; of two as near it takes the
-better one inside an article, the worse one elsewhere. Where a page marks its article, blocks outside it are bad;
-else every block competes.
-
-Menus, page headers, footers, asides, forms, notices, adverts and comments are known by element or by class,
-id and role; scripts, styles and other text that isn't shown are skipped. Character references are decoded, white
-space inside a block (line breaks too) becomes one space, blocks are joined by line feeds. Null, empty and
-truncated pages are fine; without a good block the text is ''. No shuffle: one pass, page by page.
+The markup is cut into blocks at block-level tags. Pass one classifies each block by its link density, its length and its
+density of stop words: good, bad, or ambiguous (short, a heading, of middling length or density). What stands in a menu, a
+footer and the like (by element, or by class, id and role) is bad. In pass two an ambiguous block inherits the label of
+the nearest decided block, where a block of another box (element that holds blocks) counts as `apart` blocks farther;
+a heading inherits from what follows it. Of two as near the bad one wins, unless the block's own density speaks
+for it. Where no block is good, the blocks of the box that holds most text are judged together.
+
+An article element is a prior: if the densities find more good text outside it than `unlike` times what it holds, it is
+ignored; else blocks outside it are bad, those inside it can only be bad for what they are (chrome, lists of links) or
+by their neighbours inside, and are good where nothing near is decided. On a page in whose text hardly any stop word is
+found (another language) length and link density decide alone.
+
+Scripts, styles and other text that isn't shown are skipped. Character references are decoded, white space inside a
+block (line breaks too) becomes one space, blocks are joined by line feeds. Null and empty pages give an empty text,
+truncated markup counts up to its end, repeated rows are judged alike, and a page of any length is read whole in time
+that grows with its length. No shuffle: one pass, page by page. Other columns of the table are not used.
 """
 
 from __future__ import annotations
 
 import html
+import math
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import pyarrow as pa
@@ -34,6 +41,8 @@ _CHROME = frozenset("nav footer aside form menu dialog button".split())
 _ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu menubar".split())
 _CONTENT = frozenset("article main".split())
 _HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: Parts of lists and tables; their box is the list or table.
+_ITEMS = frozenset("li dt dd tr td th tbody thead tfoot caption".split())
 # Words of class and id names that mark what isn't the article.
 _CHROME_WORDS = frozenset("ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion banner sidebar aside menu nav navbar navigation breadcrumb breadcrumbs footer masthead topbar toolbar cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription signup login comment comments disqus discussion replies respond share sharing social related recommended pagination pager widget copyright legal skip search".split())
 _CAMEL = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+")
@@ -55,6 +64,9 @@ class BlockRules:
     max_links: float = 0.33
     stop_low: float = 0.15
     stop_high: float = 0.30
+    apart: int = 4
+    link_items: int = 3
+    unlike: float = 4.0
 
 
 @dataclass
@@ -64,6 +76,8 @@ class Block:
     chrome: bool
     content: bool
     heading: bool
+    box: int = 0
+    item: bool = False
 
 
 def _is_chrome(name: str, attrs: str) -> bool:
@@ -85,7 +99,9 @@ def _is_chrome(name: str, attrs: str) -> bool:
 def blocks_of(page: str) -> tuple[list[Block], bool]:
     """The blocks of a page in order, and whether it marks an article."""
     out: list[Block] = []
-    stack: list[tuple[str, bool, bool]] = []  # open elements: name; is it or what holds it chrome; content
+    stack: list[tuple[str, bool, bool, int]] = []  # open elements: name; is it or what holds it chrome; content; box
+    boxes = 0
+    unclosed: set[str] = set()
     opened: Counter[str] = Counter()
     parts: list[str] = []
     link_chars = chars = anchors = 0
@@ -96,13 +112,17 @@ def blocks_of(page: str) -> tuple[list[Block], bool]:
         nonlocal parts, link_chars, chars
         text = " ".join("".join(parts).split())
         if text:
-            _, chrome, content = stack[-1] if stack else ("", False, False)
-            out.append(Block(text, link_chars / chars if chars else 0.0, chrome, content, heading))
+            name, chrome, content, box = stack[-1] if stack else ("", False, False, 0)
+            out.append(Block(text, link_chars / chars if chars else 0.0, chrome, content, heading, box, name in _ITEMS))
         parts, link_chars, chars = [], 0, 0
 
     def push(name: str, chrome: bool, content: bool) -> None:
-        _, above_chrome, above_content = stack[-1] if stack else ("", False, False)
-        stack.append((name, chrome or above_chrome, content or above_content))
+        nonlocal boxes
+        _, above_chrome, above_content, box = stack[-1] if stack else ("", False, False, 0)
+        if name not in _ITEMS and name != "span":
+            boxes += 1
+            box = boxes
+        stack.append((name, chrome or above_chrome, content or above_content, box))
         opened[name] += 1
 
     def add(raw: str) -> None:
@@ -127,11 +147,13 @@ def blocks_of(page: str) -> tuple[list[Block], bool]:
             continue
         name, closing = m.group("name").lower(), bool(m.group("close"))
         if name in _HIDDEN and not closing and not m.group("attrs").endswith("/"):
-            end = re.compile(rf"(?ai)</{re.escape(name)}\b[^>]*>").search(page, at)
+            end = None if name in unclosed else re.compile(rf"(?ai)</{re.escape(name)}\b[^>]*>").search(page, at)
             if end:
                 at = end.end()
             elif name not in ("head", "svg", "math", "object", "map"):
                 at = n
+            else:
+                unclosed.add(name)
             if name == "title" or name == "head":
                 flush()
         elif name == "a":
@@ -171,50 +193,116 @@ def blocks_of(page: str) -> tuple[list[Block], bool]:
     return out, marked
 
 
-def stop_density(text: str) -> float:
-    words = re.findall(r"[^\W\d_]+", text.lower())
-    return sum(w in STOP_WORDS for w in words) / len(words) if words else 0.0
+_WORD = re.compile(r"[^\W\d_]+")
+
+
+def stop_words(text: str) -> tuple[int, int]:
+    """Stop words and words of a text."""
+    words = _WORD.findall(text.lower())
+    return sum(map(STOP_WORDS.__contains__, words)), len(words)
+
 
+GOOD, BAD, AMBIGUOUS = "good", "bad", "ambiguous"
 
-def _first_pass(b: Block, marked: bool, rules: BlockRules) -> str:
-    if b.chrome or marked and not b.content:
-        return "bad"
-    if b.content:
-        return "ambiguous" if len(b.text) < rules.short or b.links > rules.max_links or b.heading else "good"
-    if b.links > rules.max_links:
-        return "bad"
-    if len(b.text) < rules.short:
-        return "ambiguous"
-    density = stop_density(b.text)
-    if density >= rules.stop_high:
-        return "good" if len(b.text) > rules.long else "ambiguous"
-    return "ambiguous" if density >= rules.stop_low else "bad"
 
+def density(count: tuple[int, int]) -> float:
+    return count[0] / count[1] if count[1] else 0.0
 
-def labels_of(blocks: list[Block], marked: bool, rules: BlockRules = BlockRules()) -> list[bool]:
-    first = [_first_pass(b, marked, rules) for b in blocks]
-    before, after = [(0, "")] * len(first), [(0, "")] * len(first)
-    for order, near, step in ((range(len(first)), before, 1), (range(len(first) - 1, -1, -1), after, -1)):
-        last: tuple[int, str] = (-1, "")
+
+def surely_sparse(count: tuple[int, int], rules: BlockRules) -> bool:
+    """Fewer stop words than stop_low asks for, by two deviations."""
+    stops, n = count
+    return stops + 2 * math.sqrt(stops) + 2 < rules.stop_low * n
+
+
+def first_pass(blocks: Sequence[Block], counts: Sequence[tuple[int, int]], inside: bool, rules: BlockRules, known_language: bool = True) -> list[str]:
+    """A label for each block by itself. inside: blocks of an article, against which a low density of stop words does not speak."""
+    lists = Counter(b.box for b in blocks if b.item and b.links > rules.max_links)
+    out = []
+    for b, count in zip(blocks, counts, strict=True):
+        d = density(count)
+        if b.chrome:
+            label = BAD
+        elif b.links > rules.max_links:
+            label = AMBIGUOUS if b.heading or inside and not (b.item and lists[b.box] >= rules.link_items) else BAD
+        elif b.heading or len(b.text) < rules.short:
+            label = AMBIGUOUS
+        elif (not known_language or d >= rules.stop_low) and (inside or len(b.text) > rules.long):
+            label = GOOD
+        else:
+            label = BAD if known_language and surely_sparse(count, rules) and len(b.text) > rules.long and not inside else AMBIGUOUS
+        out.append(label)
+    return out
+
+
+def second_pass(blocks: Sequence[Block], counts: Sequence[tuple[int, int]], first: Sequence[str], inside: bool, rules: BlockRules) -> list[str]:
+    """Labels without ambiguous ones: each of these takes that of the nearest decided block."""
+    n = len(blocks)
+    near: list[list[tuple[int, str]]] = [[] for _ in range(n)]
+    for order in (range(n), range(n - 1, -1, -1)):
+        # The last decided block of all, and of each box: no other one of that side can be nearer.
+        last: int | None = None
+        by_box: dict[int, int] = {}
         for i in order:
-            near[i] = last
-            if first[i] != "ambiguous" and not blocks[i].chrome:  # what an element decided says nothing of its neighbours
-                last = (i, first[i])
+            b = blocks[i]
+            if first[i] != AMBIGUOUS:
+                last = by_box[b.box] = i
+            elif not (b.heading and order.step > 0):  # a heading looks ahead only
+                if b.box in by_box:
+                    near[i].append((abs(by_box[b.box] - i), first[by_box[b.box]]))
+                if last is not None and blocks[last].box != b.box:
+                    near[i].append((abs(last - i) + rules.apart, first[last]))
     out = []
-    for i, (label, b) in enumerate(zip(first, blocks, strict=True)):
-        if label == "ambiguous":
-            known = sorted((abs(i - j), x == "bad" if b.content else x == "good", x) for j, x in (before[i], after[i]) if x)
-            if b.content:
-                known = [k for k in known if k[2] == "good"] or []  # what stands beside an article doesn't speak for its blocks
-                label = known[0][2] if known else "good"
-            elif known:
-                label = known[0][2]
-            else:
-                label = "good" if stop_density(b.text) >= rules.stop_low else "bad"
-        out.append(label == "good")
+    for i, label in enumerate(first):
+        if label == AMBIGUOUS:
+            likely = density(counts[i]) >= rules.stop_high and len(blocks[i].text) >= rules.short
+            fallback = GOOD if inside or likely else BAD
+            label = min(near[i], key=lambda x: (x[0], x[1] == (BAD if likely else GOOD)))[1] if near[i] else fallback
+        out.append(label)
+    return out
+
+
+def _fullest_box(blocks: Sequence[Block], counts: Sequence[tuple[int, int]], first: Sequence[str], rules: BlockRules, known_language: bool) -> list[str]:
+    """Without a good block: those of the box that holds most text are judged together, good if they are long or have enough stop words."""
+    size: Counter[int] = Counter()
+    plain = [not b.chrome and b.links <= rules.max_links for b in blocks]
+    for b, mine in zip(blocks, plain, strict=True):
+        size[b.box] += len(b.text) if mine else 0
+    box = max(size, key=lambda k: (size[k], -k), default=None)
+    which = [i for i, b in enumerate(blocks) if b.box == box and plain[i]]
+    together = density((sum(counts[i][0] for i in which), sum(counts[i][1] for i in which)))
+    out = list(first)
+    if which and size[box] >= rules.short and (size[box] > rules.long or not known_language or together >= rules.stop_low):
+        for i in which:
+            out[i] = GOOD
     return out
 
 
+def labels_of(blocks: Sequence[Block], marked: bool, rules: BlockRules = BlockRules()) -> list[bool]:
+    """Which blocks are main text. marked: does the page mark an article."""
+    counts = [(0, 0) if b.chrome else stop_words(b.text) for b in blocks]
+    plain_text = [c for b, c in zip(blocks, counts, strict=True) if b.links <= rules.max_links]
+    known_language = sum(x for x, _ in plain_text) >= 0.03 * sum(n for _, n in plain_text)
+
+    def judged(which: list[int], inside: bool) -> list[str]:
+        some, of_some = [blocks[i] for i in which], [counts[i] for i in which]
+        first = first_pass(some, of_some, inside, rules, known_language)
+        if not inside and GOOD not in first:
+            first = _fullest_box(some, of_some, first, rules, known_language)
+        return second_pass(some, of_some, first, inside, rules)
+
+    labels = judged(list(range(len(blocks))), inside=False)
+    if marked:
+        article = [i for i, b in enumerate(blocks) if b.content]
+        held = sum(len(blocks[i].text) for i in article if not blocks[i].chrome)
+        outside = sum(len(b.text) for b, label in zip(blocks, labels, strict=True) if label == GOOD and not b.content)
+        if article and outside <= rules.unlike * held:
+            labels = [BAD] * len(blocks)
+            for i, label in zip(article, judged(article, inside=True), strict=True):
+                labels[i] = label
+    return [label == GOOD for label in labels]
+
+
 def main_text(page: str | None, rules: BlockRules = BlockRules()) -> str:
     if not page:
         return ""

@@ -1,6 +1,12 @@
 import re
+import time
 
-from marginalia.llm.html_extract import extract_pages, main_text
+import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
+
+from marginalia.llm import html_extract
+from marginalia.llm.html_extract import STOP_WORDS, Block, BlockRules, blocks_of, extract_pages, labels_of, main_text
 from marginalia.llm.queries import URL_RULES
 from marginalia.llm.url_templates import Rule, judge_urls
 
@@ -29,6 +35,123 @@ def test_broken_markup():
     main_text("<script>" * 20000)
 
 
+RULES = BlockRules()
+
+
+def brute_labels(blocks, marked):
+    """The two passes by definition, block by block, looking at every other block."""
+
+    def count(b):
+        words = re.findall(r"[^\W\d_]+", b.text.lower())
+        return (sum(w in STOP_WORDS for w in words), len(words)) if not b.chrome else (0, 0)
+
+    plain = [b for b in blocks if b.links <= RULES.max_links]
+    known = sum(count(b)[0] for b in plain) >= 0.03 * sum(count(b)[1] for b in plain)
+    share = lambda bs: sum(count(b)[0] for b in bs) / max(1, sum(count(b)[1] for b in bs))
+
+    def one(b, some, inside):
+        stops, n = count(b)
+        if b.chrome:
+            return "bad"
+        if b.links > RULES.max_links:
+            listed = b.item and sum(x.item and x.box == b.box and x.links > RULES.max_links for x in some) >= 3
+            return "ambiguous" if b.heading or inside and not listed else "bad"
+        if b.heading or len(b.text) < 70:
+            return "ambiguous"
+        if (inside or len(b.text) > 200) and (not known or share([b]) >= 0.15):
+            return "good"
+        sparse = stops + 2 * stops**0.5 + 2 < 0.15 * n
+        return "bad" if known and sparse and len(b.text) > 200 and not inside else "ambiguous"
+
+    def judge(some, inside):
+        first = [one(b, some, inside) for b in some]
+        if "good" not in first and not inside and some:
+            usable = [b for b in some if not b.chrome and b.links <= RULES.max_links]
+            chars = lambda k: sum(len(b.text) for b in usable if b.box == k)
+            box = min({b.box for b in some}, key=lambda k: (-chars(k), k))
+            mine = [b for b in usable if b.box == box]
+            if mine and chars(box) >= 70 and (chars(box) > 200 or not known or share(mine) >= 0.15):
+                first = ["good" if any(b is m for m in mine) else x for b, x in zip(some, first, strict=True)]
+        out = []
+        for i, b in enumerate(some):
+            if first[i] != "ambiguous":
+                out.append(first[i])
+                continue
+            likely = len(b.text) >= 70 and share([b]) >= 0.3
+            others = [j for j in range(len(some)) if first[j] != "ambiguous" and (j > i or not b.heading)]
+            ranked = sorted((abs(i - j) + 4 * (some[j].box != b.box), first[j] == ("bad" if likely else "good"), first[j]) for j in others)
+            out.append(ranked[0][2] if ranked else "good" if inside or likely else "bad")
+        return out
+
+    labels = judge(blocks, False)
+    held = sum(len(b.text) for b in blocks if b.content and not b.chrome)
+    outside = sum(len(b.text) for b, x in zip(blocks, labels, strict=True) if x == "good" and not b.content)
+    if marked and any(b.content for b in blocks) and outside <= 4 * held:
+        inner = iter(judge([b for b in blocks if b.content], True))
+        labels = [next(inner) if b.content else "bad" for b in blocks]
+    return [x == "good" for x in labels]
+
+
+_texts = st.builds(lambda words, n: " ".join(words * n)[:400].strip() or "x", st.lists(st.sampled_from(["the", "of", "stone", "märz", "house", "river", "x1"]), min_size=1, max_size=6), st.sampled_from([1, 3, 8, 20]))
+_blocks = st.builds(Block, _texts, st.sampled_from([0.0, 0.0, 0.2, 0.9]), st.sampled_from([False, False, False, True]), st.booleans(), st.sampled_from([False, False, True]), st.integers(0, 3), st.booleans())
+
+
+@settings(max_examples=600, deadline=None)
+@given(st.lists(_blocks, max_size=14), st.booleans())
+def test_labels_equal_brute_force(blocks, marked):
+    assert labels_of(blocks, marked) == brute_labels(blocks, marked)
+
+
+def test_densities_decide_inside_and_beside_an_article():
+    links = "".join(f"<li><a href=x{i}>Another story of the day {i}</a></li>" for i in range(4))
+    page = f"<div><p>{LONG}</p></div><article><h1>T</h1><p>{LONG}</p><h3>Read on</h3><ul>{links}</ul><p>{LONG}</p><p>End.</p></article>"
+    assert main_text(page) == f"T\n{LONG}\n{LONG}\nEnd."
+    # An article that holds next to nothing of the text is no article, and its blocks are like any other.
+    assert main_text(f"<article><p>Teaser</p></article><div><p>{LONG}</p><p>{LONG}</p></div>") == f"Teaser\n{LONG}\n{LONG}"
+
+
+def test_boxes_without_an_article():
+    nav = "<ul>" + "".join(f"<li><a href=x>Page {i}</a></li>" for i in range(5)) + "</ul>"
+    page = f"{nav}<div>Buy the new thing now.</div><div><h1>Title here</h1><p>By us</p><p>{LONG}</p><p>Short.</p><p>{LONG}</p><p>Yes.</p></div><footer>(c)</footer>"
+    assert main_text(page) == f"Title here\nBy us\n{LONG}\nShort.\n{LONG}\nYes."
+    words = " ".join(f"слово{i}" for i in range(60))
+    assert main_text(f"{nav}<div><p>{words}</p><p>да</p></div>") == f"{words}\nда"
+    assert main_text(f"{nav}<div><p>The first of three is short.</p><p>It is on the way to the second one.</p><p>This is it.</p></div>").count("\n") == 2
+
+
+@pytest.mark.parametrize("classes", [True, False])
+def test_articles_in_plain_boxes(monkeypatch, classes):
+    """Pages whose article element became a div, with and without class names: the densities find the same text."""
+    import random
+
+    if not classes:
+        monkeypatch.setattr(html_extract, "_CHROME_WORDS", frozenset())
+    rng = random.Random(3)
+    words = sorted(STOP_WORDS)[::9] + [f"{a}{b}" for a in ("lo", "mer", "tan") for b in ("gil", "ra", "sou", "ve", "nist")]
+    sentence = lambda n: " ".join(rng.choice(words) for _ in range(n)).capitalize() + "."
+    lost = extra = every = 0
+    for _ in range(200):
+        body = [sentence(5)] + [sentence(rng.choice((3, 12, 40, 90))) for _ in range(rng.randrange(2, 12))]
+        menu = "".join(f"<li><a href='/{i}'>{sentence(1)}</a></li>" for i in range(6))
+        page = f"<body><nav><ul>{menu}</ul></nav><div class='ad'>{sentence(8)}</div><div><h1>{body[0]}</h1>" + "".join(f"<p>{x}</p>" for x in body[1:]) + f"</div><footer>{sentence(4)}</footer></body>"
+        got = main_text(page).split("\n")
+        lost += sum(len(x) for x in body if x not in got)
+        extra += sum(len(x) for x in got if x not in body)
+        every += sum(map(len, body))
+    assert lost < 0.01 * every and extra < 0.01 * every
+
+
+def test_time_grows_with_the_page():
+    def seconds(page):
+        start = time.process_time()
+        main_text(page)
+        return time.process_time() - start
+
+    for piece in ("<svg>", "<head>", "<math><p>a", "<object>x", "<div><p>a</p>", "<!-- a", "<a href='", "</p></div>"):
+        small, large = (min(seconds(piece * n) for _ in range(2)) for n in (10_000, 40_000))
+        assert large < 12 * small + 0.3, piece
+
+
 def test_extract_table(spark):
     rows = [(1, "u", "<article><p>a\u00e9</p></article>"), (2, None, None), (2, None, None)]
     df = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("text", __import__("pyspark").sql.functions.lit("clash"))
