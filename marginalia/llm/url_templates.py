@@ -3,19 +3,23 @@
 1. A URL gives host and path. Rules (host and path, allow or block) fit a host with all its subdomains and the
    paths that start alike; the longest fitting rule decides.
 2. What no rule decides is judged by its host's path-template tree. Segments with digits and very long ones are
-   variable (`*`); below each node of a host, a node with more than `max_branches` different segments has a
-   variable segment there. Pages are first counted by host and shape; the tree is built from these counts, level by
-   level (each level a written table), by sums and joins that no host's pages have to meet in one task for.
-3. Siblings whose share of bad labelled pages does not differ from that of all siblings together (z below
-   `merge_z`) become one branch, deepest level first; siblings without labelled pages join it.
+   variable (`*`); a node with more than `max_branches` different segments has a variable segment there. Pages are
+   first counted by host and shape; the tree is built from these counts level by level, down to the leaves (each level
+   a written table), by sums and joins that no host's pages have to meet in one task for. A node of one shape is a leaf:
+   the rest of its path stands as one segment. So there are as many levels as paths of one host stay together.
+3. Similar siblings become one branch, deepest level first. A sibling is similar to all siblings together if the pages
+   below are spread alike over what follows it in their paths (shares in common at least `merge_overlap`), and its share
+   of bad labelled pages doesn't differ (z below `merge_z`); one without labelled pages needs only the first.
 4. A template is rejected when its purity, bad labelled pages over labelled pages, reaches `reject`. It is smoothed
-   down the tree: the host's by a Beta prior of `prior_bad` and `prior_good`, each node's and at last the branch's own
-   by a prior of the same weight centred on its parent. So a template without labelled pages has the purity of the
-   nearest node that has some. The labels are the rules' own verdicts, unless the caller gives a label column (1 bad,
-   0 good, null unknown).
-
-Null URLs and URLs without "://" have empty host and path, fit no rule, and form one template of host ''.
-Repeated URLs are judged alike. Ties of rules (equal length) go to block.
+   from all pages by domain (the last two names of the host), host and each node of the tree down to the branch:
+   each purity has a Beta prior of the same weight (`prior_bad` + `prior_good`) centred on that of its parent, the first
+   one by `prior_bad` and `prior_good`. So a template without labelled pages has the purity of the nearest of these
+   that has some. The labels are the rules' own verdicts, unless the caller gives a label column (1 bad, 0 good, null or
+   another number unknown).
+
+Null URLs and URLs without "://" have empty host and path, fit no rule, have no template and no purity, and are allowed.
+Very long URLs are judged whole. Repeated URLs are judged alike and count each; columns of other names do not
+matter. Ties of rules (equal length) go to block. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -24,13 +28,10 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from marginalia.workspace import written
 
-#: Levels of a path that the tree tells apart; what lies deeper is one variable tail.
-DEPTH = 3
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -50,6 +51,7 @@ class TemplateRules:
     max_branches: int = 12
     max_segment: int = 40
     merge_z: float = 1.96
+    merge_overlap: float = 0.5
     prior_bad: float = 1.0
     prior_good: float = 2.0
     reject: float = 0.5
@@ -74,76 +76,112 @@ def fitting_rule(rules: Sequence[Rule], host: Column, path: Column) -> tuple[Col
 
 
 def path_shape(path: Column, rules: TemplateRules) -> Column:
-    """The first DEPTH segments, variable ones as '*', deeper ones as one '*'."""
+    """The segments of a path, variable ones as '*'."""
     segments = F.split(path, "/")
-    cut = F.concat(F.slice(segments, 2, DEPTH), F.when(F.size(segments) > DEPTH + 1, F.array(F.lit("*"))).otherwise(F.array().cast("array<string>")))
-    return F.transform(cut, lambda s: F.when(s.rlike("[0-9]") | (F.length(s) > rules.max_segment), "*").otherwise(s))
-
-
-def _generalised(shapes: DataFrame, rules: TemplateRules) -> DataFrame:
-    """shapes: host, shape, pages, labelled, bad. Adds `template`, level by level: nodes with many branches get a variable one."""
-    out = written(shapes.withColumn("template", F.lit("")), "url-shapes")
-    for level in range(1, DEPTH + 2):
-        segment = F.get("shape", F.lit(level - 1))
-        nodes = out.where(segment.isNotNull()).groupBy("host", "template").agg((F.countDistinct(segment) > rules.max_branches).alias("wide"))
-        out = out.join(nodes, ["host", "template"], "left")
-        step = F.when(segment.isNull(), "").when(F.col("wide"), "/*").otherwise(F.concat(F.lit("/"), segment))
-        out = written(out.withColumn("template", F.concat("template", step)).drop("wide"), "url-tree")
+    return F.transform(F.slice(segments, 2, F.size(segments)), lambda s: F.when(s.rlike("[0-9]") | (F.length(s) > rules.max_segment), "*").otherwise(s))
+
+
+_NODE = ["host", "branch"]
+
+
+def _generalised(shapes: DataFrame, rules: TemplateRules) -> tuple[DataFrame, int]:
+    """shapes: host, shape, and counts. Adds `branch`, the template's segments: level by level, nodes with many different ones get a variable one. Also how many levels there are."""
+    done, level = [], 0
+    open_ = written(shapes.withColumn("branch", F.array().cast("array<string>")), "url-shapes")
+    while not open_.isEmpty():
+        level += 1
+        segment, rest = F.get("shape", F.lit(level - 1)), F.slice("shape", level, F.greatest(F.size("shape"), F.lit(1)))
+        nodes = open_.groupBy(_NODE).agg((F.countDistinct(segment) > rules.max_branches).alias("wide"), (F.count(F.lit(1)) == 1).alias("single"))
+        step = (
+            F.when(segment.isNull(), F.array().cast("array<string>"))
+            .when(F.col("single"), F.array(F.array_join(rest, "/")))
+            .when(F.col("wide"), F.array(F.lit("*")))
+            .otherwise(F.array(segment))
+        )
+        going_on = segment.isNotNull() & ~F.col("single")
+        next_ = open_.join(nodes, _NODE).select("host", "shape", "pages", "labelled", "bad", F.concat("branch", step).alias("branch"), going_on.alias("open"))
+        next_ = written(next_, "url-tree")
+        done.append(next_.where(~F.col("open")).drop("open"))
+        open_ = next_.where("open").drop("open")
+    out = done[0] if done else open_
+    for more in done[1:]:
+        out = out.unionByName(more)
+    return out, level
+
+
+def _merged(templates: DataFrame, rules: TemplateRules, levels: int) -> DataFrame:
+    """templates: host, template (segments), pages, labelled, bad. Adds `branch`: similar siblings under one name, deepest level first."""
+    out = written(templates.withColumn("branch", F.col("template")), "url-templates")
+    for level in range(levels, 0, -1):
+        own, parent = F.get("branch", F.lit(level - 1)), F.slice("branch", 1, level - 1)
+        after = F.array_join(F.slice("branch", level + 1, F.greatest(F.size("branch"), F.lit(1))), "/")
+        below = out.where(own.isNotNull()).select("host", parent.alias("parent"), own.alias("own"), after.alias("after"), "pages", "labelled", "bad")
+        # Counts by sibling and by what follows; the same for all siblings of a node.
+        counts = (F.sum("pages").alias("m"), F.sum("labelled").alias("n"), F.sum("bad").alias("b"))
+        spread = below.groupBy("host", "parent", "own", "after").agg(*counts)
+        every = spread.groupBy("host", "parent", "after").agg(F.sum("m").alias("m_all"))
+        sibling = spread.groupBy("host", "parent", "own").agg(F.sum("m").alias("m_own"), F.sum("n").alias("n"), F.sum("b").alias("b"))
+        node = sibling.groupBy("host", "parent").agg(F.sum("m_own").alias("m_node"), F.sum("n").alias("n_node"), F.sum("b").alias("b_node"))
+        sibling = sibling.join(node, ["host", "parent"])
+        common = F.sum(F.least(F.col("m") / F.col("m_own"), F.col("m_all") / F.col("m_node"))).alias("overlap")
+        overlap = spread.join(every, ["host", "parent", "after"]).join(sibling.select("host", "parent", "own", "m_own", "m_node"), ["host", "parent", "own"]).groupBy("host", "parent", "own").agg(common)
+        p = F.try_divide(F.col("b_node"), F.col("n_node"))
+        deviation = F.sqrt(F.try_divide(p * (1 - p), F.col("n")))
+        as_labelled = (F.col("n") == 0) | (F.abs(F.try_divide(F.col("b"), F.col("n")) - p) <= rules.merge_z * deviation)
+        same = as_labelled & (F.col("overlap") >= rules.merge_overlap - 1e-9)
+        names = sibling.join(overlap, ["host", "parent", "own"]).select("host", "parent", "own", F.when(F.coalesce(same, F.lit(False)), "~").otherwise(F.col("own")).alias("name"))
+        joined = out.withColumn("parent", parent).withColumn("own", own).join(names, ["host", "parent", "own"], "left")
+        renamed = F.concat("parent", F.array("name"), F.slice("branch", level + 1, F.greatest(F.size("branch"), F.lit(1))))
+        out = written(joined.withColumn("branch", F.when(F.col("name").isNotNull(), renamed).otherwise(F.col("branch"))).drop("parent", "own", "name"), "url-branches")
     return out
 
 
-def _merged(templates: DataFrame, rules: TemplateRules) -> DataFrame:
-    """templates: host, template, labelled, bad. Adds `branch`: similar siblings under one name, deepest level first."""
-    out = written(templates.withColumn("branch", F.split(F.col("template"), "/")), "url-templates")
-    for level in range(DEPTH + 1, 0, -1):
-        parent, own = F.slice("branch", 1, level), F.get("branch", F.lit(level))
-        nodes = out.where(own.isNotNull()).groupBy("host", parent.alias("parent"), own.alias("own")).agg(F.sum("labelled").alias("n"), F.sum("bad").alias("b"))
-        # Siblings of one node: at most max_branches and '*', so a window never holds more.
-        group = W.partitionBy("host", "parent")
-        n, b = F.sum("n").over(group), F.sum("b").over(group)
-        p = F.try_divide(b, n)
-        spread = F.sqrt(F.try_divide(p * (1 - p), F.col("n")))
-        same = ((F.col("n") == 0) & (n > 0)) | (F.abs(F.try_divide(F.col("b"), F.col("n")) - p) <= rules.merge_z * spread)
-        name = F.when(F.coalesce(same, F.lit(False)), "~").otherwise(F.col("own"))
-        nodes = nodes.select("host", "parent", "own", name.alias("name"))
-        joined = out.withColumn("parent", parent).withColumn("own", own).join(nodes, ["host", "parent", "own"], "left")
-        renamed = F.concat("parent", F.array("name"), F.slice("branch", level + 2, DEPTH + 2))
-        branch = F.when(F.col("name").isNotNull(), renamed).otherwise(F.col("branch"))
-        out = written(joined.withColumn("branch", branch).drop("parent", "own", "name"), "url-branches")
-    return out
+def domain_of(host: Column) -> Column:
+    """The last two names of a host."""
+    return F.substring_index(host, ".", -2)
 
 
-def _smoothed(merged: DataFrame, rules: TemplateRules) -> DataFrame:
-    """merged: host, branch, labelled, bad. The purity of each host's branches, smoothed from the host down."""
+def _smoothed(merged: DataFrame, rules: TemplateRules, levels: int) -> DataFrame:
+    """merged: host, branch, labelled, bad. The purity of each host's branches, smoothed from all pages by domain, host and node down."""
     weight = rules.prior_bad + rules.prior_good
     centred = lambda parent: (F.col("b") + weight * parent) / (F.col("n") + weight)
     counts = (F.sum("labelled").alias("n"), F.sum("bad").alias("b"))
-    own = merged.groupBy("host", "branch").agg(*counts)
-    host = merged.groupBy("host").agg(*counts).select("host", centred(F.lit(rules.prior_bad / weight)).alias("purity"))
-    out = own.select("host", "branch").join(host, "host")
-    for level in range(1, DEPTH + 1):
-        node = F.slice("branch", 1, level + 1)
-        inner = merged.where(F.size("branch") > level + 1).groupBy("host", node.alias("node")).agg(*counts)
-        joined = out.withColumn("node", F.when(F.size("branch") > level + 1, node)).join(inner, ["host", "node"], "left")
+    own = written(merged.groupBy(_NODE).agg(F.sum("labelled").alias("labelled"), F.sum("bad").alias("bad")), "url-purity")
+    hosts = own.groupBy("host").agg(*counts).withColumn("domain", domain_of(F.col("host")))
+    domains = hosts.groupBy("domain").agg(F.sum("n").alias("n"), F.sum("b").alias("b"))
+    # One row: the counts of all labelled pages.
+    every = domains.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n_all"), F.coalesce(F.sum("b"), F.lit(0)).alias("b_all"))
+    at_all = (F.col("b_all") + rules.prior_bad) / (F.col("n_all") + weight)
+    domains = domains.join(F.broadcast(every)).select("domain", centred(at_all).alias("purity"))
+    hosts = hosts.join(domains, "domain").select("host", centred(F.col("purity")).alias("purity"))
+    out = own.select(_NODE).join(hosts, "host")
+    for level in range(1, levels):
+        node = F.when(F.size("branch") > level, F.slice("branch", 1, level))
+        inner = own.withColumn("node", node).where("node IS NOT NULL").groupBy("host", "node").agg(*counts)
+        joined = out.withColumn("node", node).join(inner, ["host", "node"], "left")
         out = joined.select("host", "branch", F.coalesce(centred(F.col("purity")), "purity").alias("purity"))
-    return out.join(own, ["host", "branch"]).select("host", "branch", centred(F.col("purity")).alias("purity"))
+    last = own.select("host", "branch", F.col("labelled").alias("n"), F.col("bad").alias("b"))
+    return out.join(last, _NODE).select("host", "branch", centred(F.col("purity")).alias("purity"))
 
 
 def judge_urls(pages: DataFrame, rules: Sequence[Rule], id_col: str = "page_id", url_col: str = "url", label_col: str | None = None, options: TemplateRules = TemplateRules()) -> DataFrame:
     """One row per page: id, host, path, rule, verdict, and the template with its smoothed purity."""
     label = F.col(label_col).cast("int") if label_col else F.lit(None).cast("int")
     host, path = host_and_path(F.col(url_col))
-    parsed = pages.select(F.col(id_col).alias("_id"), host.alias("host"), path.alias("path"), label.alias("_label"))
+    parsed = pages.select(F.col(id_col).alias("_id"), host.alias("host"), path.alias("path"), F.when(label.isin(0, 1), label).alias("_label"))
     text, verdict = fitting_rule(rules, F.col("host"), F.col("path"))
-    ruled = parsed.withColumn("rule", text).withColumn("_ruled", verdict).withColumn("shape", path_shape(F.col("path"), options))
+    ruled = parsed.withColumn("rule", text).withColumn("_ruled", verdict)
+    judged = ruled.where("host <> ''").withColumn("shape", path_shape(F.col("path"), options))
     bad = F.coalesce("_label", F.when(F.col("_ruled") == "block", 1).when(F.col("_ruled") == "allow", 0))
-    shapes = ruled.groupBy("host", "shape").agg(F.count(F.lit(1)).alias("pages"), F.count(bad).alias("labelled"), F.coalesce(F.sum(bad), F.lit(0)).alias("bad"))
-    tree = _generalised(shapes, options)
-    templates = tree.groupBy("host", "template").agg(F.sum("labelled").alias("labelled"), F.sum("bad").alias("bad"))
-    merged = _merged(templates, options)
-    judged = _smoothed(merged, options)
-    by_template = merged.select("host", "template", "branch").join(judged, ["host", "branch"]).select("host", "template", "purity")
-    by_shape = tree.select("host", "shape", "template").join(by_template, ["host", "template"])
-    out = ruled.join(by_shape, ["host", "shape"], "left")
+    shapes = judged.groupBy("host", "shape").agg(F.count(F.lit(1)).alias("pages"), F.count(bad).alias("labelled"), F.coalesce(F.sum(bad), F.lit(0)).alias("bad"))
+    tree, levels = _generalised(shapes, options)
+    templates = tree.groupBy("host", F.col("branch").alias("template")).agg(*(F.sum(c).alias(c) for c in ("pages", "labelled", "bad")))
+    merged = _merged(templates, options, levels)
+    purity = _smoothed(merged, options, levels)
+    by_template = merged.select("host", "template", "branch").join(purity, _NODE).select("host", F.col("template").alias("branch"), "purity")
+    by_shape = tree.select("host", "shape", "branch").join(by_template, _NODE).select("host", "shape", F.concat(F.lit("/"), F.array_join("branch", "/")).alias("template"), "purity")
+    out = judged.join(by_shape, ["host", "shape"], "left").drop("shape")
+    # Without a host there is nothing to look up: these rows don't meet under one key.
+    out = out.unionByName(ruled.where("host = ''").withColumns({"template": F.lit(None).cast("string"), "purity": F.lit(None).cast("double")}))
     by_method = F.when(F.col("purity") >= options.reject, "block").otherwise("allow")
     return out.select(F.col("_id").alias(id_col), "host", "path", "rule", F.coalesce("_ruled", by_method).alias("verdict"), "template", "purity")
