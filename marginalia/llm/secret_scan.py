@@ -1,15 +1,17 @@
 """Secret scans: fixed patterns, and a battery of randomness tests on every token that may be a key.
 
 A candidate token's encoding is the smallest alphabet that holds its characters (hex, letters of one case,
-base32, base36 of one case, letters, base62, base64). Its characters must look uniform over that alphabet
-(chi-squared), without too few or too many runs and without serial correlation; a small p-value there speaks
-against a key, so these three are a gate. Then the token must not look like ordinary text: a text model, class
-changes (digit, lower, upper) and letter frequencies, gives its likelihood; the ratio to the likelihood of uniform
-draws bounds the p-value under the text model. Within a text these p-values go through a Benjamini-Hochberg step
-whose weights grow with the token's length, so that short tokens need stronger evidence and a text with many
-candidates does not collect chance finds.
-
-Null and empty texts have no spans. Each row is judged on its own, repeated rows alike.
+base32, base36 of one case, letters, base62, base64). Three tests ask whether its characters are uniform draws from that
+alphabet: chi-squared over cells of the alphabet, runs about the median, serial correlation. For a key their p-values are
+uniform; for ordinary text they crowd near 0, with density `crowding` * p ** (crowding - 1). A text model of
+class changes (digit, lower, upper) and letter frequencies, in the token's own encoding, gives the likelihood under
+ordinary text. The product of these four likelihood ratios, text over uniform draws, bounds the p-value under ordinary
+text (Markov's inequality); so every test of the battery adds to or takes from the evidence of a token. Within a text these
+p-values go through a Benjamini-Hochberg step whose weights grow with the token's length, so that short tokens need
+stronger evidence and a text with many candidates does not collect chance finds.
+
+Null and empty texts have no spans; a text of any length is read whole, in time that grows with its length (times its
+logarithm). Each row is judged on its own, repeated rows alike. Other columns of the table are not used.
 """
 
 from __future__ import annotations
@@ -21,7 +23,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 
-from marginalia.llm.spans import Span, apart, digest, find_spans
+from marginalia.llm.spans import Span, apart_from, digest, find_spans
 
 KINDS = ("assign", "access", "hex")
 _ASSIGN = re.compile(r"""(?ai:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
@@ -33,12 +35,12 @@ _CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{16,}")
 
 @dataclass(frozen=True)
 class RandomnessRules:
-    """alpha: false-discovery rate; least: smallest p-value of each uniformity test; even_length: the length with weight 1."""
+    """alpha: false-discovery rate; crowding: see above; even_length: the length with weight 1; least_length: of a candidate."""
 
-    alpha: float = 0.01
-    least: float = 0.002
+    alpha: float = 0.002
+    crowding: float = 0.3
     even_length: int = 24
-    min_distinct: int = 8
+    least_length: int = 16
 
 
 _DIGITS, _UPPER, _LOWER = "0123456789", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -115,26 +117,32 @@ _STYLES = [
 ]
 
 
-def text_tail(body: str, size: int) -> float:
-    """A bound of the p-value under ordinary text of the likelihood ratio of uniform draws over size characters (Markov's inequality)."""
+def text_ratio(body: str, size: int) -> float:
+    """Logarithm of the likelihood of a token as ordinary text over that as uniform draws from size characters."""
     kinds = [_CLASS[c] for c in body]
     within = sum(_WITHIN[c] for c in body) - math.log(3)
     styles = [sum(style[x][y] for x, y in zip(kinds, kinds[1:], strict=False)) for style in _STYLES]
     top = max(styles)
     text = within + top + math.log(sum(math.exp(x - top) for x in styles) / len(styles))
-    return math.exp(min(0.0, text + len(body) * math.log(size)))
+    return text + len(body) * math.log(size)
+
+
+def battery_ratio(tests: Sequence[float], crowding: float) -> float:
+    """Logarithm of the likelihood of the battery's p-values for ordinary text over that for uniform draws."""
+    return sum(math.log(crowding) + (crowding - 1) * math.log(max(p, 1e-12)) for p in tests)
 
 
 def random_tokens(text: str, rules: RandomnessRules) -> list[Span]:
     tried: list[tuple[float, float, Span]] = []
     for m in _CANDIDATE.finditer(text):
         body = m.group().rstrip("=").strip("-_/+")
-        if len(body) < 16 or len(set(body)) < rules.min_distinct or body.isdigit() or not (characters := _encoding(body)):
+        if len(body) < rules.least_length or body.isdigit() or not (characters := _encoding(body)):
             continue
         size = len(characters)
-        p = text_tail(body, size)
-        if p < 1.0 and min(uniformity(_values(body, characters), size)) < rules.least:
-            p = 1.0
+        log_p = text_ratio(body, size)
+        if log_p + 3 * math.log(rules.crowding) < 0:  # else even the best battery is not enough
+            log_p += battery_ratio(uniformity(_values(body, characters), size), rules.crowding)
+        p = math.exp(min(0.0, log_p))
         start = m.start() + m.group().index(body)
         tried.append((p, len(body) / rules.even_length, ("random", start, start + len(body))))
     if not tried:
@@ -154,7 +162,7 @@ def secrets_in(text: str, rules: RandomnessRules = RandomnessRules()) -> tuple[l
     if "AKIA" in text:
         base += [("access", *m.span()) for m in _ACCESS.finditer(text)]
     base += [("hex", *m.span()) for m in _HEX.finditer(text)]
-    more = [s for s in random_tokens(text, rules) if apart(s, base)]
+    more = list(filter(apart_from(base), random_tokens(text, rules)))
     order = lambda s: (s[1], (*KINDS, "random").index(s[0]))
     return sorted(base, key=order), sorted(base + more, key=order)
 

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import hashlib
+from bisect import bisect_left
 from collections.abc import Callable, Iterator, Sequence
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -51,5 +53,13 @@ def sha256_of(spans: Sequence[Span]) -> str:
     return hashlib.sha256(",".join(f"{k}:{a}:{b}" for k, a, b in spans).encode()).hexdigest()
 
 
-def apart(span: Span, others: Sequence[Span]) -> bool:
-    return all(span[2] <= a or b <= span[1] for _, a, b in others)
+def apart_from(others: Sequence[Span]) -> Callable[[Span], bool]:
+    """A test of whether a span overlaps none of the others; each call takes logarithmic time."""
+    order = sorted((a, b) for _, a, b in others)
+    starts, reach = [a for a, _ in order], list(accumulate((b for _, b in order), max))
+
+    def apart(span: Span) -> bool:
+        before = bisect_left(starts, span[2])  # others that start before the span's end
+        return not before or reach[before - 1] <= span[1]
+
+    return apart
