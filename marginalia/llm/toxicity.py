@@ -1,25 +1,29 @@
 """Toxic passages as maximal-scoring segments of token log-odds.
 
-Training counts in how many toxic and clean labelled texts each word and each four-byte word beginning
-occurs; toxic texts that repeat a word between the same neighbours, as copies do, count once. A token's log-odds
-has a Dirichlet prior: the corpus's own rate, and up to `beginning_weight` texts of other words that begin
-alike. Standard errors are taken off, so that rare words say little. From each token's log-odds a drift is
-taken, and one linear scan finds all maximal-scoring segments of a text (Ruzzo and Tompa).
+Training counts in how many toxic and clean labelled texts each word and each word beginning (of BEGINNINGS bytes)
+occurs; what stands between the same neighbours in several toxic texts, as in near copies, counts once. A token's
+log-odds has a chain of Dirichlet priors: the corpus's own rate is the prior of the shortest beginning, each
+beginning (without the texts of the longer one) that of the next, the last one that of the word, each worth at most
+`beginning_weight` texts. Standard errors are taken off, so that rare words say little. From each token's log-odds a
+drift is taken, and one linear scan finds all maximal-scoring segments of a text (Ruzzo and Tompa).
 
 Scores of the best segment in clean labelled texts that were not counted follow an extreme-value law with the
 text's length; its two parameters turn a segment's score into a p-value. A segment below `alpha` is a passage.
 The text's score is a logistic function, fitted on the same texts, of the evidence of its passages.
 
-Labels are drawn to at most about `max_train` texts (documented bound, by hash of the id); the model is at most
-`max_features` words and beginnings and is broadcast. Scoring is one pass, without a shuffle. Null and empty texts
-have no tokens and get the score of no evidence. Without labels of both kinds all scores are 0. Repeated texts
-of a training task count once.
+Labels are drawn to at most about `max_train` texts (documented bound, by hash of the id). The model is the scores of
+the words and beginnings of these texts that differ from what their shorter beginning says; the rest is left out because it
+changes nothing, and the model, bounded by the drawn texts, is broadcast. Scoring is one pass over whole texts of any length,
+without a shuffle. Null and empty texts have no tokens and get the score of no evidence. Without labels of both
+kinds all scores are 0. Labels other than 0 and 1 are left out; a document with both is toxic. Equal labelled texts count
+once for each label, however the rows are dealt to tasks; repeated rows are scored alike. Ties of segments with equal scores
+do not matter to a text's score. Columns of other names are not used. An empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -28,18 +32,20 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from marginalia.llm.word_hashes import hash_runs, parts, slices
+from marginalia.workspace import written
 
 _TOKEN = np.zeros(256, bool)
 _TOKEN[48:58] = _TOKEN[65:91] = _TOKEN[97:123] = _TOKEN[128:] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
-_BEGINNING = 4
+#: Lengths in bytes of the word beginnings, rising; a word is one more level after them.
+BEGINNINGS = (3, 5, 7)
+WORD = len(BEGINNINGS)
 
 
 @dataclass(frozen=True)
 class ToxicityRules:
     max_train: int = 60_000
-    max_features: int = 200_000
     counted_share: float = 0.75
     drift: float = 0.6
     alpha: float = 0.01
@@ -51,53 +57,38 @@ class ToxicityRules:
 
 @dataclass
 class Tokens:
-    words: np.ndarray
-    beginnings: np.ndarray
+    """levels: the hashes of the tokens' beginnings, shortest first, and of the tokens themselves."""
+
+    levels: list[np.ndarray]
     owner: np.ndarray
     start: np.ndarray  # code points
     end: np.ndarray
 
 
 def tokens_of(texts: Sequence[str | None]) -> Tokens:
-    pieces: list[tuple[np.ndarray, ...]] = [(np.zeros(0, np.uint64), np.zeros(0, np.uint64), *(np.zeros(0, np.int64) for _ in range(3)))]
+    levels: list[list[np.ndarray]] = [[np.zeros(0, np.uint64)] for _ in range(WORD + 1)]
+    pieces: list[tuple[np.ndarray, ...]] = [tuple(np.zeros(0, np.int64) for _ in range(3))]
     base: dict[int, int] = {}
     for joined, ends, first in slices([t.encode("utf-8", "replace") if t else b"" for t in texts]):
         raw = np.frombuffer(joined, np.uint8)
-        runs = hash_runs(_LOWER[raw], _TOKEN[raw], prefix=_BEGINNING)
+        runs = hash_runs(_LOWER[raw], _TOKEN[raw], BEGINNINGS)
         points = np.concatenate([[0], np.cumsum((raw & 0xC0) != 0x80)])
         owner = first + np.searchsorted(ends, runs.starts, side="right")
         offset = points[np.minimum(np.concatenate([[0], ends[:-1]]), len(raw))]
         shift = offset[owner - first] - base.get(first, 0) * (owner == first)
-        pieces.append((runs.hashes, runs.prefixes, owner, points[runs.starts] - shift, points[runs.stops] - shift))
+        for level, hashes in zip(levels, [*runs.prefixes, runs.hashes], strict=True):
+            level.append(hashes)
+        pieces.append((owner, points[runs.starts] - shift, points[runs.stops] - shift))
         if len(ends) == 1:  # a long text comes in several slices
             base[first] = base.get(first, 0) + int(points[-1])
-    return Tokens(*(np.concatenate(x) for x in zip(*pieces, strict=True)))
-
-
-@dataclass
-class Counts:
-    """Sorted hashes, each with the toxic and clean texts that have it."""
-
-    keys: np.ndarray
-    toxic: np.ndarray
-    clean: np.ndarray
-
-    def of(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        if not len(self.keys):
-            return np.zeros(len(keys)), np.zeros(len(keys))
-        at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
-        hit = self.keys[at] == keys
-        return np.where(hit, self.toxic[at], 0.0), np.where(hit, self.clean[at], 0.0)
+    return Tokens([np.concatenate(x) for x in levels], *(np.concatenate(x) for x in zip(*pieces, strict=True)))
 
 
 @dataclass
 class Model:
-    """Counts of words and beginnings, texts of each kind; extreme-value parameters; logistic coefficients."""
+    """By level: sorted hashes and the log-odds of a token that has this one and no longer known one; extreme-value parameters; logistic coefficients."""
 
-    words: Counts
-    beginnings: Counts
-    n_toxic: int
-    n_clean: int
+    levels: list[tuple[np.ndarray, np.ndarray]]
     rules: ToxicityRules
     lam: float = 1.0
     log_k: float = 0.0
@@ -105,17 +96,12 @@ class Model:
     slope: float = 0.0
 
     def token_scores(self, t: Tokens) -> np.ndarray:
-        return self.log_odds(t.words, t.beginnings) - self.rules.drift
-
-    def log_odds(self, words: np.ndarray, beginnings: np.ndarray) -> np.ndarray:
-        r = self.rules
-        rate, balance = self.n_toxic / (self.n_toxic + self.n_clean), math.log(self.n_toxic / self.n_clean)
-        (t, n), (bt, bn) = self.words.of(words), self.beginnings.of(beginnings)
-        bt, bn = np.maximum(bt - t, 0), np.maximum(bn - n, 0)
-        share = np.minimum(r.beginning_share, r.beginning_weight / np.maximum(bt + bn, 1))
-        a, b = t + share * bt + r.prior * rate, n + share * bn + r.prior * (1 - rate)
-        value = np.log(a / b) - balance
-        return np.sign(value) * np.maximum(np.abs(value) - r.errors * np.sqrt(1 / a + 1 / b), 0)
+        out = np.zeros(len(t.owner))
+        for keys, (known, value) in zip(t.levels, self.levels, strict=True):
+            if len(known):
+                at = np.minimum(np.searchsorted(known, keys), len(known) - 1)
+                out = np.where(known[at] == keys, value[at], out)
+        return out - self.rules.drift
 
     def log_p(self, score: np.ndarray | float, length: np.ndarray | int) -> np.ndarray:
         """log10 of the probability that a clean text of that length has a segment of that score."""
@@ -145,137 +131,168 @@ def maximal_segments(scores: np.ndarray) -> list[tuple[int, int, float]]:
     return [(a, b, right - left) for a, b, left, right, _ in held]
 
 
-def _per_text(texts: Sequence[str | None], model: Model) -> Iterator[tuple[int, list[tuple[int, int, float]]]]:
-    """For each text: number of tokens, and segments as (start, end, score) in code points."""
+#: A segment of a text: start and end in code points, score, and a number that stands for its words.
+Segment = tuple[int, int, float, int]
+
+
+def _per_text(texts: Sequence[str | None], model: Model) -> Iterator[tuple[int, list[Segment]]]:
+    """For each text: number of tokens, and its segments."""
     t = tokens_of(texts)
     scores = model.token_scores(t)
     edges = np.searchsorted(t.owner, np.arange(len(texts) + 1)).tolist()
     positive = np.concatenate([[0], np.cumsum(scores > 0)])
-    for a, b in zip(edges[:-1], edges[1:], strict=True):
-        found = maximal_segments(scores[a:b]) if positive[b] > positive[a] else []
-        yield b - a, [(int(t.start[a + i]), int(t.end[a + j - 1]), s) for i, j, s in found]
+    with np.errstate(over="ignore"):
+        words = np.concatenate([np.zeros(1, np.uint64), np.cumsum(t.levels[WORD])])
+        for a, b in zip(edges[:-1], edges[1:], strict=True):
+            found = maximal_segments(scores[a:b]) if positive[b] > positive[a] else []
+            yield b - a, [(int(t.start[a + i]), int(t.end[a + j - 1]), s, int(words[a + j] - words[a + i])) for i, j, s in found]
 
 
-def evidence(length: int, segments: Sequence[tuple[int, int, float]], model: Model) -> float:
-    """Evidence of a text: -log10 p of its best segment, and of the other significant ones what exceeds the limit."""
+def evidence(length: int, segments: Sequence[Segment], model: Model) -> float:
+    """Evidence of a text. In clean texts the different segments of at least a score are a Poisson number, whose mean the extreme-value
+    law gives; the evidence is the best -log10 of the probability of r segments at least as good as the r-th, weighted by 2 ** -r."""
     if not segments:
         return 0.0
-    strength = np.sort(-model.log_p(np.array([s for *_, s in segments]), length))[::-1]
-    limit = -math.log10(model.rules.alpha)
-    return float(min(strength[0] + np.maximum(strength[1:] - limit, 0).sum(), 60.0))
+    scores = np.sort(list({which: score for _, _, score, which in segments}.values()))[::-1]
+    rank = np.arange(1, len(scores) + 1)
+    log_mean = model.log_k + math.log(max(length, 1)) - model.lam * scores
+    mean = np.exp(np.minimum(log_mean, 50.0))
+    factorial = np.cumsum(np.log(rank))
+    small = mean < rank  # else r of them are no surprise
+    tail = np.where(small, rank * log_mean - mean - factorial - np.log1p(-np.where(small, mean / (rank + 1), 0.0)), 0.0)
+    return float(max(0.0, np.max(-tail / math.log(10) - rank * math.log10(2))))
 
 
-def _hash_fold(id_col: str, name: str, parts: int) -> Column:
-    return F.pmod(F.crc32(F.concat(F.lit(name), F.col(id_col).cast("string"))), F.lit(parts))
+def _fold(value: Column, name: str, parts: int) -> Column:
+    return F.pmod(F.crc32(F.concat(F.lit(name), value.cast("string"))), F.lit(parts))
 
 
 def _counts(rows: DataFrame) -> DataFrame:
-    """rows: text, toxic. Documents by word or beginning: kind, key, toxic, clean; combined in each batch before the shuffle. kind 2: all texts."""
+    """rows: text, toxic. Texts by level and key, with the key of the level above: combined in each part before the shuffle."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[int] = set()
         for batch in batches:
             for part, texts in parts(batch, 0):
                 toxic = np.array(part.column(1).to_pylist(), np.int64)
-                fresh = np.ones(len(texts), bool)
-                for i, h in enumerate(map(hash, texts)):
-                    fresh[i] = h not in seen
-                    seen.add(h)
                 t = tokens_of(texts)
-                for kind, keys in ((0, t.words), (1, t.beginnings)):
+                for level, keys in enumerate(t.levels):
+                    above = t.levels[level - 1] if level else np.zeros_like(keys)
                     order = np.lexsort((keys, t.owner))
-                    k, o = keys[order], t.owner[order]
+                    k, o, up = keys[order], t.owner[order], above[order]
                     new = np.ones(len(k), bool)
                     new[1:] = (k[1:] != k[:-1]) | (o[1:] != o[:-1])
-                    new &= fresh[o]
-                    keys_, which = np.unique(k[new], return_inverse=True)
-                    bad = np.bincount(which, weights=toxic[o[new]], minlength=len(keys_)).astype(np.int64)
-                    every = np.bincount(which, minlength=len(keys_))
-                    yield _count_batch(kind, keys_.view(np.int64), bad, every - bad)
-                bad = int(toxic[fresh].sum())
-                yield _count_batch(2, np.zeros(1, np.int64), np.array([bad]), np.array([int(fresh.sum()) - bad]))
-            if len(seen) > 1_000_000:
-                seen.clear()
-
-    counted = rows.select("text", "toxic").mapInArrow(count, "kind tinyint, key bigint, toxic bigint, clean bigint")
-    return counted.groupBy("kind", "key").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
+                    found, first, which = np.unique(k[new], return_index=True, return_inverse=True)
+                    bad = np.bincount(which, weights=toxic[o[new]], minlength=len(found)).astype(np.int64)
+                    every = np.bincount(which, minlength=len(found))
+                    columns = [np.full(len(found), level, np.int8), found.view(np.int64), up[new][first].view(np.int64), bad, every - bad]
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["level", "key", "above", "toxic", "clean"])
 
+    counted = rows.select("text", "toxic").mapInArrow(count, "level tinyint, key bigint, above bigint, toxic bigint, clean bigint")
+    return counted.groupBy("level", "key").agg(F.min("above").alias("above"), F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
 
-def _count_batch(kind: int, keys: np.ndarray, toxic: np.ndarray, clean: np.ndarray) -> pa.RecordBatch:
-    columns = [pa.array(np.full(len(keys), kind, np.int8)), pa.array(keys), pa.array(toxic.astype(np.int64)), pa.array(clean.astype(np.int64))]
-    return pa.RecordBatch.from_arrays(columns, names=["kind", "key", "toxic", "clean"])
 
-
-def _contexts(rows: DataFrame, kind: np.ndarray, keys: np.ndarray) -> DataFrame:
-    """Of toxic texts: in how many different pairs of neighbours each of these words and beginnings stands."""
-    known = rows.sparkSession.sparkContext.broadcast([np.sort(keys[kind == k]) for k in (0, 1)])
+def _contexts(rows: DataFrame) -> DataFrame:
+    """rows: text. In how many different pairs of neighbours each of the words and beginnings stands."""
 
     def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for _, texts in parts(batch, 0):
                 t = tokens_of(texts)
-                before, after = np.zeros_like(t.words), np.zeros_like(t.words)
+                words = t.levels[WORD]
+                before, after = np.zeros_like(words), np.zeros_like(words)
                 same = t.owner[1:] == t.owner[:-1]
-                before[1:][same], after[:-1][same] = t.words[:-1][same], t.words[1:][same]
+                before[1:][same], after[:-1][same] = words[:-1][same], words[1:][same]
                 with np.errstate(over="ignore"):
                     place = before * np.uint64(0x9E3779B97F4A7C15) + after * np.uint64(0xD6E8FEB86659FD93)
-                for k, x in ((0, t.words), (1, t.beginnings)):
-                    at = np.flatnonzero(np.isin(x, known.value[k]))
-                    if len(at):
-                        found = np.unique(np.column_stack([x[at], place[at]]), axis=0).view(np.int64)
-                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(found), k, np.int8)), pa.array(found[:, 0]), pa.array(found[:, 1])], names=["kind", "key", "place"])
-
-    return rows.select("text").mapInArrow(places, "kind tinyint, key bigint, place bigint").distinct().groupBy("kind", "key").agg(F.count(F.lit(1)).alias("places"))
+                for level, x in enumerate(t.levels):
+                    found = np.unique(np.column_stack([x, place]), axis=0).view(np.int64)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(found), level, np.int8)), pa.array(found[:, 0]), pa.array(found[:, 1])], names=["level", "key", "place"])
+
+    return rows.select("text").mapInArrow(places, "level tinyint, key bigint, place bigint").distinct().groupBy("level", "key").agg(F.count(F.lit(1)).alias("places"))
+
+
+def _log_odds(level: int, rate: float, rules: ToxicityRules) -> Column:
+    """Of columns t0, n0 (shortest beginning) to those of level."""
+    a, b = F.lit(rules.prior * rate), F.lit(rules.prior * (1 - rate))
+    for k in range(level + 1):
+        t, n = F.col(f"t{k}"), F.col(f"n{k}")
+        if k < level:  # texts of other words only
+            t, n = F.greatest(t - F.col(f"t{k + 1}"), F.lit(0)), F.greatest(n - F.col(f"n{k + 1}"), F.lit(0))
+        if k:
+            share = F.least(F.lit(rules.beginning_share), rules.beginning_weight / F.greatest(a + b, F.lit(1.0)))
+            a, b = share * a + rules.prior * rate, share * b + rules.prior * (1 - rate)
+        a, b = a + t, b + n
+    value = F.log(a / b) - math.log(rate / (1 - rate))
+    return F.signum(value) * F.greatest(F.abs(value) - rules.errors * F.sqrt(1 / a + 1 / b), F.lit(0.0))
+
+
+def _scores(counts: DataFrame, rate: float, rules: ToxicityRules) -> DataFrame:
+    """level, key, score of each word and beginning whose score differs from that of the level above."""
+    out, chain = None, None
+    for level in range(WORD + 1):
+        own = counts.where(F.col("level") == level).select("key", "above", F.col("toxic").alias(f"t{level}"), F.col("clean").alias(f"n{level}"))
+        if chain is None:
+            chain, other = own.drop("above"), F.lit(0.0)
+        else:
+            chain = own.join(chain.withColumnRenamed("key", "above"), "above").drop("above")
+            other = _log_odds(level - 1, rate, rules)
+        scored = chain.select(F.lit(level).alias("level"), "key", _log_odds(level, rate, rules).alias("score"), other.alias("other")).where("abs(score - other) > 1e-9").drop("other")
+        out = scored if out is None else out.unionByName(scored)
+    return out
+
+
+def training_texts(docs: DataFrame, labels: DataFrame, rules: ToxicityRules) -> DataFrame:
+    """text, toxic, counted: the drawn labelled texts, equal ones once a label; counted ones are for the counts, others for calibration."""
+    labels = labels.select("doc_id", F.col("toxic").cast("int").alias("toxic")).where("toxic in (0, 1)").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    share = min(1.0, rules.max_train / max(1, labels.count()))
+    drawn = labels.where(_fold(F.col("doc_id"), "train:", 1 << 20) < int(share * (1 << 20)))
+    # At most about max_train rows of two numbers.
+    rows = docs.select("doc_id", "text").where(F.col("text").isNotNull()).join(F.broadcast(drawn), "doc_id")
+    return rows.withColumn("hash", F.md5("text")).dropDuplicates(["hash", "toxic"]).select("text", "toxic", (_fold(F.col("hash"), "fold:", 1000) < int(1000 * rules.counted_share)).alias("counted"))
 
 
 def fit(docs: DataFrame, labels: DataFrame, rules: ToxicityRules = ToxicityRules()) -> Model:
     """docs: doc_id, text. labels: doc_id, toxic (0, 1; others are left out). The caller decides which labels may be seen."""
-    labels = labels.select("doc_id", F.col("toxic").cast("int").alias("toxic")).where("toxic in (0, 1)").dropDuplicates(["doc_id"])
-    share = min(1.0, rules.max_train / max(1, labels.count()))
-    drawn = labels.where(_hash_fold("doc_id", "train:", 1 << 20) < int(share * (1 << 20)))
-    counted = _hash_fold("doc_id", "fold:", 1000) < int(1000 * rules.counted_share)
-    # At most about max_train rows of two numbers.
-    rows = docs.select("doc_id", "text").where(F.col("text").isNotNull()).join(F.broadcast(drawn), "doc_id").withColumn("counted", counted)
-    counts = _counts(rows.where("counted"))
-    # At most max_features rows of numbers; those that toxic texts have come first.
-    top = counts.orderBy((F.col("kind") != 2).asc(), F.col("toxic").desc(), F.col("clean").desc(), "kind", "key").limit(rules.max_features).toArrow()
-    kind, key, toxic, clean = (top.column(c).to_numpy() for c in ("kind", "key", "toxic", "clean"))
-    key, toxic = key.view(np.uint64), toxic.astype(float)
-    n_toxic, n_clean = (int(x[kind == 2].sum()) for x in (toxic, clean))
-    none = Counts(np.zeros(0, np.uint64), np.zeros(0), np.zeros(0))
+    rows = written(training_texts(docs, labels, rules), "toxicity-texts")
+    counted = rows.where("counted")
+    n = {r["toxic"]: r["n"] for r in counted.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
+    n_toxic, n_clean = n.get(1, 0), n.get(0, 0)
+    none = [(np.zeros(0, np.uint64), np.zeros(0)) for _ in range(WORD + 1)]
     if not n_toxic or not n_clean:
-        return Model(none, none, 1, 1, rules, intercept=-math.inf)
-    leaning = (kind != 2) & (toxic > 1) & (toxic * n_clean > clean * n_toxic)
-    places = _contexts(rows.where("counted AND toxic = 1"), kind[leaning], key[leaning]).toArrow()
-    for k in (0, 1):
-        which = places.column("kind").to_numpy() == k
-        keys = places.column("key").to_numpy()[which].view(np.uint64)
+        return Model(none, rules, intercept=-math.inf)
+    rate = n_toxic / (n_toxic + n_clean)
+    leaning = (F.col("toxic") > 1) & (F.col("toxic") * n_clean > F.col("clean") * n_toxic)
+    counts = _counts(counted).join(_contexts(counted.where("toxic = 1")), ["level", "key"], "left")
+    counts = counts.withColumn("toxic", F.when(leaning, F.least("toxic", F.coalesce("places", "toxic"))).otherwise(F.col("toxic"))).drop("places")
+    # Bounded by the words of the drawn texts.
+    table = _scores(written(counts, "toxicity-counts"), rate, rules).toArrow()
+    level, key, score = (table.column(c).to_numpy() for c in ("level", "key", "score"))
+    levels = []
+    for k in range(WORD + 1):
+        keys, values = key[level == k].view(np.uint64), score[level == k]
         order = np.argsort(keys)
-        seen = Counts(keys[order], places.column("places").to_numpy()[which][order].astype(float), np.zeros(which.sum()))
-        mine = leaning & (kind == k)
-        toxic[mine] = np.minimum(toxic[mine], seen.of(key[mine])[0])
-
-    def table(k: int) -> Counts:
-        rows_ = np.flatnonzero(kind == k)
-        rows_ = rows_[np.argsort(key[rows_])]
-        return Counts(key[rows_], toxic[rows_], clean[rows_].astype(float))
+        levels.append((keys[order], values[order]))
+    return _calibrate(Model(levels, rules), rows.where("NOT counted"), rate)
 
-    return _calibrate(Model(table(0), table(1), n_toxic, n_clean, rules), rows.where("NOT counted"), n_toxic / (n_toxic + n_clean))
 
-
-def _calibrate(model: Model, rows: DataFrame, rate: float) -> Model:
+def _measured(rows: DataFrame, model: Model, what: Callable[[int, list[Segment]], float]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each text, in no order: its label, its tokens and a number of its segments."""
     shared = rows.sparkSession.sparkContext.broadcast(model)
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part, texts in parts(batch, 0):
                 found = list(_per_text(texts, shared.value))
-                columns = [part.column(1), pa.array([n for n, _ in found], pa.int64()), pa.array([[x[2] for x in s] for _, s in found], pa.list_(pa.float64()))]
-                yield pa.RecordBatch.from_arrays(columns, names=["toxic", "n", "scores"])
+                columns = [part.column(1), pa.array([n for n, _ in found], pa.int64()), pa.array([what(n, s) for n, s in found], pa.float64())]
+                yield pa.RecordBatch.from_arrays(columns, names=["toxic", "n", "value"])
+
+    # At most about max_train rows of three numbers; sorted, so that sums do not hang on how rows are dealt to tasks.
+    got = rows.select("text", "toxic").mapInArrow(measure, "toxic int, n bigint, value double").toArrow().sort_by([("toxic", "ascending"), ("n", "ascending"), ("value", "ascending")])
+    return tuple(got.column(c).to_numpy() for c in ("toxic", "n", "value"))
 
-    got = rows.select("text", "toxic").mapInArrow(measure, "toxic int, n bigint, scores array<double>").toArrow().to_pydict()
-    toxic, length = np.array(got["toxic"], np.int64), np.array(got["n"], np.int64)
-    best = np.array([max(s, default=0.0) for s in got["scores"]])
+
+def _calibrate(model: Model, rows: DataFrame, rate: float) -> Model:
+    toxic, length, best = _measured(rows, model, lambda n, segments: max((s[2] for s in segments), default=0.0))
     held = (toxic == 0) & (length > 0)
     if held.sum() >= 20:
         x, log_n = best[held], np.log(length[held])
@@ -285,7 +302,7 @@ def _calibrate(model: Model, rows: DataFrame, rate: float) -> Model:
             low, high = (mid, high) if np.var(mid * x - log_n) < math.pi**2 / 6 + np.var(log_n) else (low, mid)
         model.lam = min(max(low, 0.2), 3.0)
         model.log_k = float(np.mean(model.lam * x - log_n) - 0.5772)
-    strength = np.array([evidence(n, [(0, 0, v) for v in s], model) for n, s in zip(length.tolist(), got["scores"], strict=True)])
+    toxic, _, strength = _measured(rows, model, lambda n, segments: evidence(n, segments, model))
     model.intercept, model.slope = _logistic(strength, toxic, rate)
     return model
 
@@ -322,8 +339,8 @@ def score_documents(docs: DataFrame, model: Model, id_col: str = "doc_id", text_
                 for n, found in _per_text(texts, m):
                     x = m.intercept + m.slope * evidence(n, found, m) if m.intercept > -math.inf else -math.inf
                     scores.append(1 / (1 + math.exp(-x)) if x > -700 else 0.0)
-                    sure = -m.log_p(np.array([s for *_, s in found]), n) >= -math.log10(m.rules.alpha) if found else []
-                    passages.append([{"start": i, "end": j, "score": s} for (i, j, s), ok in zip(found, sure, strict=True) if ok])
+                    sure = -m.log_p(np.array([s[2] for s in found]), n) >= -math.log10(m.rules.alpha) if found else []
+                    passages.append([{"start": i, "end": j, "score": s} for (i, j, s, _), ok in zip(found, sure, strict=True) if ok])
                 columns = [part.column(0), pa.array(scores, pa.float64()), pa.array([int(s >= threshold) for s in scores], pa.int32()), pa.array(passages, kind)]
                 yield pa.RecordBatch.from_arrays(columns, names=[id_col, "score", "predicted", "passages"])
 

@@ -83,16 +83,16 @@ class Runs:
     starts: np.ndarray
     stops: np.ndarray
     hashes: np.ndarray
-    prefixes: np.ndarray | None
+    prefixes: list[np.ndarray]
 
 
-def hash_runs(raw: np.ndarray, marked: np.ndarray, prefix: int = 0) -> Runs:
-    """The runs of marked bytes of raw. prefix: also the hashes of their first bytes, so many."""
+def hash_runs(raw: np.ndarray, marked: np.ndarray, prefixes: Sequence[int] = ()) -> Runs:
+    """The runs of marked bytes of raw. prefixes: also the hashes of their first bytes, so many each."""
     edge = np.flatnonzero(np.diff(marked.astype(np.int8), prepend=0, append=0))
     starts, stops = edge[::2], edge[1::2]
     none = np.zeros(0, np.uint64)
     if not len(starts):
-        return Runs(starts, stops, none, none if prefix else None)
+        return Runs(starts, stops, none, [none for _ in prefixes])
     size = stops - starts
     at = np.flatnonzero(marked)
     first = np.concatenate([[0], np.cumsum(size)[:-1]])
@@ -101,8 +101,8 @@ def hash_runs(raw: np.ndarray, marked: np.ndarray, prefix: int = 0) -> Runs:
         value = _place_numbers(int(size.max()))[place] * (raw[at].astype(np.uint64) + np.uint64(1))
         count = size.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
         hashes = mix64(np.add.reduceat(value, first) + count)
-        prefixes = mix64(np.add.reduceat(np.where(place < prefix, value, np.uint64(0)), first)) if prefix else None
-    return Runs(starts, stops, hashes, prefixes)
+        beginnings = [mix64(np.add.reduceat(np.where(place < n, value, np.uint64(0)), first) + np.uint64(n)) for n in prefixes]
+    return Runs(starts, stops, hashes, beginnings)
 
 
 def words_of(texts: Sequence[str | None], lower: bool = False, chars: bool = False) -> Words:
