@@ -10,12 +10,16 @@ one occurrence (a document may hold the item several times with other values eac
 However long the item, `run` of its words in a row with consistent slots also contaminate. How common such a run is in
 the documents isn't counted: a stock phrase of that length that an item holds counts as a quote of the item.
 
-The documents are read once, without a shuffle; the benchmark, a stated query set, is dealt with in blocks of
-at most BLOCK_CHARS characters, each broadcast as sorted hashes. Windows with fewer than `min_literals` literals
+The documents are read once a block, without a shuffle; the benchmark, a stated query set, is dealt with in blocks of
+about BLOCK_CHARS characters. Tasks compute the windows of a block's items; the block is broadcast as sorted hashes with
+the items that a window brings up. A window that more than COMMON items share (a preamble of all questions) brings up only
+those items that such windows alone could contaminate by; the others are brought up by their rarer windows, and then all
+their windows count. So what many items have in common does not pair every document with every item, and nothing is lost. Windows with fewer than `min_literals` literals
 (arithmetic, tables) say too little as templates; they are compared as they stand, numbers included, and count
 towards the coverage of all windows of the item, so that any verbatim copy is found. Items without tokens are never
 found; items shorter than a window count as one window, so an item of one token is found wherever that token stands. Null and empty texts are clean. Repeated items and repeated
-documents are judged each on its own.
+documents are judged each on its own. Texts of any length are read whole. Columns of other names do not matter. Empty
+tables give an empty result, and an empty benchmark contaminates nothing.
 """
 
 from __future__ import annotations
@@ -30,10 +34,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from marginalia.llm.word_hashes import SPACE, hash_runs, mix64, parts, random_odd, slices, windows
+from marginalia.workspace import written
 
 #: Kinds of windows: names replaced, names kept, every token kept.
 KEPT, NAMED, EXACT = range(3)
 BLOCK_CHARS = 16_000_000
+#: Items that a window may have before it counts as common.
+COMMON = 32
 NUM, NAME, UNIT = (np.uint64(x) for x in (0x6E756D, 0x6E616D65, 0x756E6974))
 # Units of measure and money that may follow a number.
 UNITS = "mm cm m km in ft yd mi mg g kg t lb oz ml l s sec second seconds min minute minutes h hour hours day days week weeks month months year years percent dollar dollars euro euros cent cents pound pounds meter meters metre metres kilometer kilometers kilometre kilometres gram grams kilogram kilograms liter liters litre litres mile miles inch inches foot feet degree degrees".split()
@@ -109,40 +116,68 @@ def canonical(texts: Sequence[str | None]) -> Template:
 
 @dataclass
 class Benchmark:
-    """Sorted window hashes with the item and place of each; per item the windows that are templates, all windows, and its tokens."""
+    """Items one after the other: their tokens, and their windows with places; sorted hashes of windows with the items that they bring up; how many windows are templates, and how many there are."""
 
     ids: list[int]
-    hashes: np.ndarray
-    item: np.ndarray
-    place: np.ndarray
+    values: list[np.ndarray]
+    slots: list[np.ndarray]
+    windows: list[tuple[np.ndarray, np.ndarray, int]]
     sizes: np.ndarray
     totals: np.ndarray
-    templates: list[tuple[np.ndarray, np.ndarray]]
-    short: dict[int, list[int]]
+    hashes: np.ndarray
+    item: np.ndarray
+    lengths: list[int]
+
+
+@dataclass
+class Indexed:
+    """An item: its id, the values and slots of its tokens, the hashes and places of its windows, their length, how many places are templates, and how many there are."""
+
+    id: int
+    value: np.ndarray
+    slot: np.ndarray
+    hashes: np.ndarray
+    places: np.ndarray
+    length: int
+    templates: int
+    total: int
+
+
+def index_item(item_id: int, text: str | None, rules: TemplateRules) -> Indexed:
+    t = canonical([text])
+    n = min(rules.window, len(t.shape))
+    if not n:
+        none = np.zeros(0, np.int64)
+        return Indexed(item_id, t.value, t.slot, none.astype(np.uint64), none, 0, 0, 0)
+    h, at, kind = _specific_windows(t, n, min(n, rules.min_literals))
+    return Indexed(item_id, t.value, t.slot, h, at, n, len(np.unique(at[kind != EXACT])), len(np.unique(at)))
+
+
+def assemble(items: Sequence[Indexed], rules: TemplateRules) -> Benchmark:
+    """The block of these items."""
+    hashes = np.concatenate([np.zeros(0, np.uint64), *(x.hashes for x in items)])
+    item = np.repeat(np.arange(len(items)), [len(x.hashes) for x in items])
+    place = np.concatenate([np.zeros(0, np.int64), *(x.places for x in items)])
+    order = np.lexsort((item, hashes))
+    h, k = hashes[order], item[order]
+    new = np.ones(len(h), bool)
+    new[1:] = (h[1:] != h[:-1]) | (k[1:] != k[:-1])
+    starts = np.flatnonzero(np.concatenate([[True], h[new][1:] != h[new][:-1]])) if len(h) else np.zeros(0, np.int64)
+    shared = np.diff(np.append(starts, int(new.sum())))
+    common = h[new][starts[shared > COMMON]]
+    # Places of an item that are in common windows, and how many it takes to contaminate by them.
+    is_common = _within(hashes, common)
+    held = np.array([len(np.unique(p)) for p in np.split(place[is_common], np.searchsorted(item[is_common], np.arange(1, len(items))))]) if len(items) else np.zeros(0)
+    templates, totals, lengths = (np.array([getattr(x, c) for x in items], np.int64) for c in ("templates", "total", "length"))
+    needed = rules.coverage * np.where((templates > 0) & (4 * templates >= totals), templates, totals)
+    needed = np.minimum(np.ceil(needed), np.maximum(rules.run - lengths + 1, 1))
+    open_ = held >= needed
+    keep = new & (~_within(h, common) | open_[k]) if len(h) else new
+    return Benchmark([x.id for x in items], [x.value for x in items], [x.slot for x in items], [(x.hashes, x.places, x.length) for x in items], templates, totals, h[keep], k[keep], sorted({x.length for x in items if x.length} | {rules.window}))
 
 
 def index_benchmark(ids: list[int], texts: Sequence[str | None], rules: TemplateRules) -> Benchmark:
-    hashes, item, place, templates, sizes, totals = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [], [], []
-    short: dict[int, list[int]] = defaultdict(list)
-    for k, text in enumerate(texts):
-        t = canonical([text])
-        n = min(rules.window, len(t.shape))
-        templates.append((t.value, t.slot))
-        if not n:
-            sizes.append(0)
-            totals.append(0)
-            continue
-        if n < rules.window:
-            short[n].append(k)
-        h, at, kind = _specific_windows(t, n, rules.min_literals if n == rules.window else min(n, rules.min_literals))
-        sizes.append(len(np.unique(at[kind != EXACT])))
-        totals.append(len(np.unique(at)))
-        hashes.append(h)
-        item.append(np.full(len(h), k))
-        place.append(at)
-    h = np.concatenate(hashes)
-    order = np.argsort(h, kind="stable")
-    return Benchmark(ids, h[order], np.concatenate(item)[order], np.concatenate(place)[order], np.array(sizes), np.array(totals), templates, dict(short))
+    return assemble([index_item(i, t, rules) for i, t in zip(ids, texts, strict=True)], rules)
 
 
 def _specific_windows(t: Template, n: int, literals: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -181,20 +216,34 @@ def _specific_windows(t: Template, n: int, literals: int) -> tuple[np.ndarray, n
 Hit = tuple[int, int, int, int]
 
 
+def candidates(t: Template, bench: Benchmark, rules: TemplateRules) -> Iterator[tuple[int, int, list[Hit]]]:
+    """Text, item and all windows that they share, for the pairs that a window brings up."""
+    for n in bench.lengths:
+        h, at, kind = _specific_windows(t, n, min(n, rules.min_literals))
+        hit = np.flatnonzero(_within(h, bench.hashes))
+        if not len(hit):
+            continue
+        low, high = np.searchsorted(bench.hashes, h[hit], "left"), np.searchsorted(bench.hashes, h[hit], "right")
+        which = np.repeat(low - np.cumsum(high - low) + (high - low), high - low) + np.arange(int((high - low).sum()))
+        pairs = np.unique(np.column_stack([np.repeat(t.owner[at[hit]], high - low), bench.item[which]]), axis=0)
+        order = np.lexsort((h, t.owner[at]))
+        h, at, kind = h[order], at[order], kind[order]
+        edges = np.searchsorted(t.owner[at], np.arange(int(t.owner[-1]) + 2))
+        for doc, item in pairs.tolist():
+            hashes, places, length = bench.windows[item]
+            if length != n:
+                continue
+            a, b = edges[doc], edges[doc + 1]
+            first, last = a + np.searchsorted(h[a:b], hashes, "left"), a + np.searchsorted(h[a:b], hashes, "right")
+            hits = [(int(at[i]), int(q), n, int(kind[i])) for x, y, q in zip(first.tolist(), last.tolist(), places.tolist(), strict=True) for i in range(x, y)]
+            yield doc, item, hits
+
+
 def matches(texts: Sequence[str | None], bench: Benchmark, rules: TemplateRules) -> list[tuple[int, int, int, int, float]]:
     """(index of the text, index of the item, windows of the item found, values changed, consistent share) of the contaminated."""
     t = canonical(texts)
-    found: dict[tuple[int, int], list[Hit]] = defaultdict(list)
-    for n in sorted({rules.window, *bench.short}):
-        h, at, kind = _specific_windows(t, n, rules.min_literals if n == rules.window else min(n, rules.min_literals))
-        hit = np.flatnonzero(_within(h, bench.hashes))
-        low, high = np.searchsorted(bench.hashes, h[hit], "left"), np.searchsorted(bench.hashes, h[hit], "right")
-        for i, a, b in zip(hit.tolist(), low.tolist(), high.tolist(), strict=True):
-            p = int(at[i])
-            for k in range(a, b):
-                found[int(t.owner[p]), int(bench.item[k])].append((p, int(bench.place[k]), n, int(kind[i])))
     out = []
-    for (doc, item), hits in found.items():
+    for doc, item, hits in candidates(t, bench, rules):
         if (verdict := _judged(hits, t, bench, item, rules)) is not None:
             out.append((doc, item, *verdict))
     return sorted(out)
@@ -202,12 +251,12 @@ def matches(texts: Sequence[str | None], bench: Benchmark, rules: TemplateRules)
 
 def _judged(hits: list[Hit], t: Template, bench: Benchmark, item: int, rules: TemplateRules) -> tuple[int, int, float] | None:
     """Windows found, values changed and consistent share: of all hits if these contaminate, else of the largest part that does."""
-    value, slot = bench.templates[item]
+    value, slot = bench.values[item], bench.slots[item]
 
     def enough(some: list[Hit]) -> bool:
-        """Of the windows that are templates, or of all windows."""
+        """Of the windows that are templates, where these are a quarter of all at least, or of all windows."""
         templates = len({q for _, q, _, kind in some if kind != EXACT})
-        return 0 < templates >= rules.coverage * bench.sizes[item] or len({q for _, q, _, _ in some}) >= rules.coverage * bench.totals[item]
+        return 4 * bench.sizes[item] >= bench.totals[item] and 0 < templates >= rules.coverage * bench.sizes[item] or len({q for _, q, _, _ in some}) >= rules.coverage * bench.totals[item]
 
     def weighed(some: list[Hit]) -> tuple[int, int, float] | None:
         covered = len({q for _, q, _, _ in some})
@@ -225,8 +274,8 @@ def _judged(hits: list[Hit], t: Template, bench: Benchmark, item: int, rules: Te
     if not whole and len({q for _, q, _, _ in hits}) + hits[0][2] - 1 < rules.run:
         return None
     verbatim = [h for h in hits if (t.value[h[0] : h[0] + h[2]] == value[h[1] : h[1] + h[2]]).all()]
-    candidates = [some for some in (*_occurrences(hits), verbatim) if enough(some)] + _runs(hits, rules.run) + _runs(verbatim, rules.run)
-    passed = [x for some in candidates if (x := weighed(some)) is not None]
+    parts_ = [some for some in (*_occurrences(hits), verbatim) if enough(some)] + _runs(hits, rules.run) + _runs(verbatim, rules.run)
+    passed = [x for some in parts_ if (x := weighed(some)) is not None]
     return max(passed, key=lambda x: (x[0], x[2]), default=None)
 
 
@@ -267,15 +316,30 @@ def _runs(hits: list[Hit], words: int) -> list[list[Hit]]:
     return [x for x in stretches if x[-1][1] - x[0][1] + x[0][2] >= words]
 
 
+_ITEMS = "id bigint, value binary, slot binary, hashes binary, places binary, length bigint, templates bigint, total bigint"
+
+
 def benchmark_blocks(benchmark: DataFrame, id_col: str, text_col: str, rules: TemplateRules) -> Iterator[Benchmark]:
-    """The benchmark in blocks of bounded size."""
+    """The benchmark in blocks of bounded size; tasks compute its windows."""
     rows = benchmark.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     size = rows.agg(F.sum(F.length("text")).alias("n"), F.count(F.lit(1)).alias("rows")).first()
     blocks = 1 + ((size["n"] or 0) + 64 * size["rows"]) // BLOCK_CHARS
+
+    def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part, texts in parts(batch, 1):
+                items = [index_item(i, text, rules) for i, text in zip(part.column(0).to_pylist(), texts, strict=True)]
+                arrays = [pa.array([getattr(x, c).tobytes() for x in items], pa.binary()) for c in ("value", "slot", "hashes", "places")]
+                numbers = [pa.array([getattr(x, c) for x in items], pa.int64()) for c in ("length", "templates", "total")]
+                yield pa.RecordBatch.from_arrays([part.column(0), *arrays, *numbers], names=["id", "value", "slot", "hashes", "places", "length", "templates", "total"])
+
+    indexed = rows.mapInArrow(index, _ITEMS).withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks)))
+    if blocks > 1:
+        indexed = written(indexed, "benchmark-items")
     for k in range(blocks):
-        part = rows if blocks == 1 else rows.where(F.pmod(F.xxhash64("id"), F.lit(blocks)) == k)
-        got = part.toArrow().sort_by("id").to_pydict()
-        yield index_benchmark(got["id"], got["text"], rules)
+        got = indexed.where(F.col("block") == k).drop("block").toArrow().sort_by([("id", "ascending"), ("value", "ascending")]).to_pylist()
+        read = lambda raw, kind: np.frombuffer(raw, kind)
+        yield assemble([Indexed(r["id"], read(r["value"], np.uint64), read(r["slot"], np.int8), read(r["hashes"], np.uint64), read(r["places"], np.int64), r["length"], r["templates"], r["total"]) for r in got], rules)
 
 
 def find_contamination(

@@ -1,4 +1,10 @@
-from marginalia.llm.decontaminate import TemplateRules, drop_contaminated, find_contamination, index_benchmark, matches
+import random
+import re
+import time
+from collections import defaultdict
+
+from marginalia.llm import decontaminate
+from marginalia.llm.decontaminate import UNITS, TemplateRules, canonical, candidates, drop_contaminated, find_contamination, index_benchmark, matches
 
 RULES = TemplateRules()
 ITEM = "Yesterday Alice had 3 apples and bought 5 more apples at the market near Paris. How many apples does Alice have after walking 12 km with the others?"
@@ -76,3 +82,90 @@ def test_partial_quotes_of_long_items():
     assert found(" ".join(words[200:212]), item) == [] and found(" ".join(f"{' '.join(words[k : k + 12])} {noise}" for k in range(0, 150, 30)), item) == []
     assert found(" ".join(ITEM.split()[:14]) + " and so on", ITEM + " " + item)
     assert found("Yesterday Bob had 7 apples and bought 9 more apples at the market", ITEM + " " + item)[0][3] > 0
+
+
+def brute_windows(text, n, literals):
+    """Windows as tuples of strings, with places: names replaced, names kept, and those of few literals as they stand."""
+    tokens = [(m.group().lower(), m.group(), m.start(), m.end()) for m in re.finditer(r"(?:[A-Za-z0-9\x80-\U0010ffff]|(?<=[0-9])[.,](?=[0-9]))+", text)]
+    kinds, kept, exact = [], [], []
+    for i, (low, raw, a, _) in enumerate(tokens):
+        opening = i == 0 or re.search("[.!?:]", text[tokens[i - 1][3] : a])
+        number = bool(re.search("[0-9]", raw))
+        after_number = i > 0 and bool(re.search("[0-9]", tokens[i - 1][1]))
+        name = not number and not opening and (raw[0] in "ABCDEFGHIJKLMNOPQRSTUVWXYZ" or "À" <= raw[0] <= "Þ")
+        unit = not number and not name and low in UNITS and after_number and not opening
+        kinds.append("#" if number else "@" if name else "%" if unit else low)
+        kept.append(low if name else kinds[-1])
+        exact.append(number or low in UNITS and after_number)
+    lows = [x[0] for x in tokens]
+    out = []
+    for p in range(len(tokens) - n + 1):
+        for tag, shape in (("named", kinds), ("kept", kept)):
+            if sum(x not in ("#", "@", "%") for x in shape[p : p + n]) >= literals:
+                out.append(((tag, n, *shape[p : p + n]), p))
+        if sum(not x for x in exact[p : p + n]) < literals:
+            out.append((("exact", n, *lows[p : p + n]), p))
+    return out, len(tokens)
+
+
+def test_shared_windows_equal_brute_force(monkeypatch):
+    rng = random.Random(8)
+    words = "the Bob Anna 3 12 km kg. apples had more than who Rome? went 1,5 to see and".split()
+    text = lambda n: " ".join(rng.choices(words, k=n))
+    items = [text(rng.randrange(1, 25)) for _ in range(30)] + ["Read this and say how many of these there are: " + text(12) for _ in range(8)] + ["", None]
+    docs = [text(rng.randrange(0, 60)) + " " + (items[rng.randrange(38)] or "") for _ in range(40)] + [None]
+    for common in (1000, 2):
+        monkeypatch.setattr(decontaminate, "COMMON", common)
+        bench = index_benchmark(list(range(len(items))), items, RULES)
+        t = canonical(docs)
+        first = [int(x) for x in __import__("numpy").searchsorted(t.owner, range(len(docs)))]
+        got = {(d, i): sorted((p - first[d], q) for p, q, _, _ in hits) for d, i, hits in candidates(t, bench, RULES)}
+        want = defaultdict(list)
+        for i, item in enumerate(items):
+            if not item:
+                continue
+            n = min(8, brute_windows(item, 1, 0)[1])
+            mine = defaultdict(list)
+            for w, q in brute_windows(item, n, min(n, 4))[0]:
+                mine[w].append(q)
+            for d, doc in enumerate(docs):
+                for w, p in brute_windows(doc or "", n, min(n, 4))[0]:
+                    want[d, i] += [(p, q) for q in mine.get(w, [])]
+        want = {k: sorted(v) for k, v in want.items() if v}
+        assert all(got[k] == want[k] for k in got)
+        if common == 1000:
+            assert set(got) == set(want)
+        verdicts = matches(docs, bench, RULES)
+        if common == 1000:
+            every = verdicts
+    assert verdicts == every  # common windows bring up fewer pairs, the same ones are contaminated
+
+
+def test_planted_passages_and_clean_documents():
+    """By construction: verbatim, with other values, and half of an item are found, mixed values and other text are not."""
+    rng = random.Random(21)
+    made = lambda: "".join(rng.choice(["ba", "do", "ki", "lu", "me", "no", "ra", "su"]) for _ in range(rng.randrange(2, 4)))
+    prose = lambda n: " ".join(made() for _ in range(n))
+    items = [f"{prose(6)} Name{k} {prose(4)} {k + 3} kg {prose(5)} Name{k} {prose(6)} {k + 90} {prose(6)}?" for k in range(40)]
+    bench = index_benchmark(list(range(40)), items, RULES)
+    for k, item in enumerate(items):
+        other = item.replace(f"Name{k}", "Mira").replace(f" {k + 3} ", " 777 ").replace(f" {k + 90} ", " 888 ")
+        words = item.split()
+        texts = [f"{prose(30)} {item} {prose(30)}", f"{prose(30)} {other} {prose(9)}", f"{prose(9)} {' '.join(words[: len(words) * 2 // 3])}", item.upper(), prose(200), " ".join(words[:7])]
+        assert [(d, i) for d, i, *_ in matches(texts, bench, RULES)] == [(d, k) for d in range(4)]
+
+
+def test_preamble_of_many_items_costs_no_pairs():
+    rng = random.Random(2)
+    preamble = "Answer the following question as well as you can please"
+    word = lambda: "".join(rng.choices("abcdefghij", k=7))
+    items = [f"{preamble} " + " ".join(word() for _ in range(40)) for _ in range(3000)]
+    bench = index_benchmark(list(range(3000)), items, RULES)
+    docs = [f"{preamble} and so on {i}" for i in range(500)] + [items[7]]
+    start = time.process_time()
+    assert [(d, i) for d, i, *_ in matches(docs, bench, RULES)] == [(500, 7)]
+    assert time.process_time() - start < 5
+    # Items of next to nothing but numbers after the preamble: it alone is not a copy of them.
+    sums = [f"{preamble}: " + " ".join(str(rng.randrange(10**6)) for _ in range(40)) for _ in range(50)]
+    bench = index_benchmark(list(range(50)), sums, RULES)
+    assert {d for d, *_ in matches([*docs[:20], sums[3]], bench, RULES)} == {20}
