@@ -90,31 +90,37 @@ def packed_signatures(docs: DataFrame, sim: Similarity, buckets: int, neighbours
     """Signatures of the documents' sets, packed by bucket. Copies within a task sign once. A signature that is frequent
     within a pack is handed on as a mark, its members as counts, so that no bucket gathers a common passage's rows."""
 
-    def pack(sigs: np.ndarray, ids: np.ndarray, bands: np.ndarray) -> Iterator[tuple]:
+    most = min(1 << 21, max(PACKED, 64 * buckets))
+
+    def pack(sigs: np.ndarray, ids: np.ndarray, bands: np.ndarray) -> pa.RecordBatch:
+        """A row for each bucket that holds something; the work is in the signatures, however many buckets there are."""
         sigs, ids, bands = _distinct(sigs, ids, bands)
         starts, sizes = _runs(sigs)
         common = np.repeat(sizes > FREQUENT, sizes)
         marks = sigs[starts[sizes > FREQUENT]]
         hot = _counted(ids[common], bands[common])
         sigs, ids, bands = sigs[~common], ids[~common], bands[~common]
-        at = lambda x: (x % np.uint64(buckets)).astype(np.int64)
-        groups = [np.argsort(at(x), kind="stable") for x in (sigs, marks, hot[:, 0].view(np.uint64))]
-        edges = [np.searchsorted(at(x)[g], np.arange(buckets + 1)) for x, g in zip((sigs, marks, hot[:, 0].view(np.uint64)), groups, strict=True)]
-        for k in range(buckets):
-            p, m, h = (g[e[k] : e[k + 1]] for g, e in zip(groups, edges, strict=True))
-            if len(p) or len(m) or len(h):
-                yield k, sigs[p].tobytes(), ids[p].tobytes(), bands[p].tobytes(), marks[m].tobytes(), hot[h].tobytes()
+        at = [(x % np.uint64(buckets)).astype(np.int64) for x in (sigs, marks, hot[:, 0].view(np.uint64))]
+        which = np.unique(np.concatenate(at))
+        order = [np.argsort(x, kind="stable") for x in at]
+        edges = [np.append(np.searchsorted(x[o], which), len(x)) for x, o in zip(at, order, strict=True)]
+
+        def laid(values: np.ndarray, k: int) -> pa.Array:
+            size = values.itemsize * (values.shape[1] if values.ndim > 1 else 1)
+            return pa.Array.from_buffers(pa.binary(), len(which), [None, pa.py_buffer((edges[k] * size).astype(np.int32)), pa.py_buffer(np.ascontiguousarray(values[order[k]]))])
+
+        columns = [pa.array(which.astype(np.int32)), laid(sigs, 0), laid(ids, 0), laid(bands, 0), laid(marks, 1), laid(hot, 2)]
+        return pa.RecordBatch.from_arrays(columns, names=["bucket", "sigs", "ids", "bands", "marks", "hot"])
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, int, int]] = []
         size = 0
         seen: set[tuple[int, int]] = set()
 
-        def flush() -> Iterator[pa.RecordBatch]:
+        def flush() -> pa.RecordBatch:
             counts = [len(x) for x, _, _ in held]
             ids, bands = np.repeat(np.array([i for _, i, _ in held], np.int64), counts), np.repeat(np.array([b for _, _, b in held], np.int16), counts)
-            for row in pack(np.concatenate([x for x, _, _ in held]), ids, bands):
-                yield pa.RecordBatch.from_arrays([pa.array([row[0]], pa.int32()), *(pa.array([x], pa.binary()) for x in row[1:])], names=["bucket", "sigs", "ids", "bands", "marks", "hot"])
+            return pack(np.concatenate([x for x, _, _ in held]), ids, bands)
 
         for batch in batches:
             for _, texts in parts(batch, 0):
@@ -129,11 +135,11 @@ def packed_signatures(docs: DataFrame, sim: Similarity, buckets: int, neighbours
                         size += len(held[-1][0])
                 if len(seen) > 200_000:
                     seen.clear()
-                if size > PACKED:
-                    yield from flush()
+                if size > most:
+                    yield flush()
                     held, size = [], 0
         if held:
-            yield from flush()
+            yield flush()
 
     return docs.select("text").mapInArrow(sign, _PACKED)
 
@@ -174,6 +180,12 @@ def meetings(docs: DataFrame, sim: Similarity, signatures: int, neighbours: bool
     return pairs, hot
 
 
+def _small(table: DataFrame) -> DataFrame:
+    """A table to join with: broadcast if its checked size allows."""
+    table = written(table, "small")
+    return F.broadcast(table) if table.count() <= MAX_BROADCAST_IDS else table
+
+
 def _picked(docs: DataFrame, ids: DataFrame) -> DataFrame:
     """The rows of docs (doc_id, text) whose id is in ids (doc_id, distinct)."""
     if ids.count() <= MAX_BROADCAST_IDS:
@@ -265,18 +277,19 @@ def _family_links(rest: DataFrame, docs: DataFrame, sim: Similarity) -> DataFram
     # At most one row a signature and pack: a signature's rows grow with the packs, not with its members.
     top = packs.groupBy("sig").agg(F.min("v").alias("u"), F.count(F.lit(1)).alias("packs")).where("packs > 1")
     across = packs.join(top, "sig").select("u", "v").where("u <> v").distinct()
-    family = components(local.unionByName(across)).select(F.col("node").alias("doc_id"), F.col("component").alias("family"))
+    family = _small(components(local.unionByName(across)).select(F.col("node").alias("doc_id"), F.col("component").alias("family")))
     grouped = written(members.join(family, "doc_id"), "families")
 
     # The member most of whose elements are common in its family, judged on a fixed share of the universe of hashes.
     share = _element_counts(grouped)
-    leader = share.groupBy("family").agg(F.max_by("doc_id", F.struct("common", (-F.col("doc_id")).alias("first"))).alias("leader"))
+    leader = _small(share.groupBy("family").agg(F.max_by("doc_id", F.struct("common", (-F.col("doc_id")).alias("first"))).alias("leader")))
     stars_ = grouped.select("doc_id", "family").join(leader, "family").where("doc_id <> leader").select(F.least("doc_id", "leader").alias("u"), F.greatest("doc_id", "leader").alias("v"))
     near = written(verified(stars_, members, sim), "leader-links")
-    label = components(near).select(F.col("node").alias("doc_id"), "component")
+    label = _small(components(near).select(F.col("node").alias("doc_id"), "component"))
     placed = grouped.join(label, "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
     led = written(placed.join(leader.select(F.col("leader").alias("doc_id"), F.lit(True).alias("is_leader")), "doc_id", "left"), "placed")
-    of_leader = led.where("is_leader").select("family", F.col("component").alias("led_by"))
+    # One row a family; no family's members have to meet in one task for these joins.
+    of_leader = _small(led.where("is_leader").select("family", F.col("component").alias("led_by")))
     marked = led.drop("is_leader").join(of_leader, "family").withColumn("stray", F.col("component") != F.col("led_by"))
     return near.unionByName(_block_links(written(marked, "marked"), sim))
 
@@ -303,7 +316,7 @@ def _element_counts(grouped: DataFrame) -> DataFrame:
 def _block_links(marked: DataFrame, sim: Similarity) -> DataFrame:
     """Links between members of different components of a family, one of them a stray: blocks of strays against all blocks."""
     sizes = marked.groupBy("family").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("blocks"), F.ceil(F.count_if("stray") / BLOCK).alias("stray_blocks")).where("stray_blocks > 0")
-    rows = marked.join(sizes, "family")
+    rows = marked.join(_small(sizes), "family")
     at = lambda n: F.pmod(F.xxhash64("doc_id"), F.col(n)).cast("long")
     every = rows.withColumn("block", at("blocks"))
     strays = rows.where("stray").withColumn("stray_block", at("stray_blocks"))
