@@ -65,26 +65,25 @@ def doc_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fp.document_fingerprints(table(spark, sf_dir, "documents"), "doc_id", "text")
 
 
+def _ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fp.ranked_lines(fp.line_hashes(table(spark, sf_dir, "documents"), "doc_id", "text"))
+
+
 def containment_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Later documents that have five lines and 60 percent of their lines in common with an earlier one."""
-    return fp.containment(fp.line_hashes(table(spark, sf_dir, "documents"), "doc_id", "text"), share=0.6)
+    return fp.containment(_ranked(spark, sf_dir), share=0.6).drop("earlier_total")
 
 
 def seen_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per document the earlier document that has most of its lines (five at least; ties to the latest), and the share."""
-    pairs = fp.containment(fp.line_hashes(table(spark, sf_dir, "documents"), "doc_id", "text"), share=0.0)
-    best = pairs.groupBy("new").agg(F.max_by(F.struct("earlier", "shared", "new_total"), F.struct("shared", "earlier")).alias("b"))
-    return best.select("new", "b.earlier", "b.shared", F.round(F.col("b.shared") / F.col("b.new_total"), 6).alias("share"))
+    return fp.best_earlier(_ranked(spark, sf_dir)).select("new", "earlier", "shared", F.round(F.col("shared") / F.col("new_total"), 6).alias("share"))
 
 
 def revision_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Revisions: half of the new lines are old, half of the old lines are met, and new ones are at most half the old."""
-    hashes = fp.line_hashes(table(spark, sf_dir, "documents"), "doc_id", "text")
-    pairs = fp.containment(hashes, share=0.5)
-    totals = hashes.groupBy("doc").agg(F.count(F.lit(1)).alias("earlier_total")).withColumnRenamed("doc", "earlier")
-    both = pairs.join(totals, "earlier")
+    pairs = fp.containment(_ranked(spark, sf_dir), share=0.5)
     old = F.col("shared") >= 0.5 * F.col("earlier_total")
-    return both.where(old & (F.col("new_total") - F.col("shared") <= 0.5 * F.col("earlier_total"))).select("new", "earlier", "shared")
+    return pairs.where(old & (F.col("new_total") - F.col("shared") <= 0.5 * F.col("earlier_total"))).select("new", "earlier", "shared")
 
 
 def benchmark_containment(spark: SparkSession, sf_dir: str) -> DataFrame:

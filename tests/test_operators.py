@@ -83,9 +83,10 @@ def test_containment_boundaries(spark):
     doc = lambda ids: "\n".join(map(line, ids))
     rows = [(1, doc(range(5))), (2, doc(range(5))), (3, doc(range(4))), (4, doc(range(100, 110))), (5, doc([*range(100, 106), *range(200, 204)])), (6, doc([*range(100, 105), *range(300, 305)])), (7, None), (8, "short")]
     hashes = fingerprints.line_hashes(spark.createDataFrame(rows, "id long, text string"), "id", "text")
-    got = {(r.new, r.earlier): r.shared for r in fingerprints.containment(hashes, 0.6).collect()}
+    ranked = fingerprints.ranked_lines(hashes)
+    got = {(r.new, r.earlier): r.shared for r in fingerprints.containment(ranked, 0.6).collect()}
     assert got == {(2, 1): 5, (5, 4): 6}
-    assert {(r.new, r.earlier) for r in fingerprints.containment(hashes, 0.0).collect()} == {(2, 1), (5, 4), (6, 4), (6, 5)}
+    assert {(r.new, r.earlier) for r in fingerprints.containment(ranked, 0.0).collect()} == {(2, 1), (5, 4), (6, 4), (6, 5)}
 
 
 def test_unify_fold(spark):
