@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from marginalia.jobs import citations, records, rendering, texts
+from marginalia.jobs import citations, records, rendering, sources, texts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
-for _module in (citations, texts, records, rendering):
+for _module in (citations, texts, records, rendering, sources):
     QUERIES |= _module.QUERIES
     ORACLE_SQL |= _module.ORACLE_SQL
