@@ -36,7 +36,7 @@ from marginalia.workspace import written
 #: Classes that may meet by one signature.
 FREQUENT = 32
 #: Signatures that a task packs before it hands them on, and that a bucket should hold.
-PACKED, BUCKET = 1 << 19, 1 << 20
+PACKED, BUCKET = 1 << 18, 1 << 20
 #: Ids up to which a set of documents is picked by a broadcast; beyond, by a shuffle.
 MAX_BROADCAST_IDS = 1_000_000
 #: Classes of one block of a family.
@@ -90,7 +90,7 @@ def packed_signatures(docs: DataFrame, sim: Similarity, buckets: int, neighbours
     """Signatures of the documents' sets, packed by bucket. Copies within a task sign once. A signature that is frequent
     within a pack is handed on as a mark, its members as counts, so that no bucket gathers a common passage's rows."""
 
-    most = min(1 << 21, max(PACKED, 64 * buckets))
+    most = min(1 << 20, max(PACKED, 64 * buckets))
 
     def pack(sigs: np.ndarray, ids: np.ndarray, bands: np.ndarray) -> pa.RecordBatch:
         """A row for each bucket that holds something; the work is in the signatures, however many buckets there are."""
@@ -133,7 +133,7 @@ def packed_signatures(docs: DataFrame, sim: Similarity, buckets: int, neighbours
                         x = ps.sign(s, band, sim, neighbours)
                         held.append((np.concatenate([x.exact, x.without_one]) if neighbours else x.exact, key[0], band))
                         size += len(held[-1][0])
-                if len(seen) > 200_000:
+                if len(seen) > 50_000:
                     seen.clear()
                 if size > most:
                     yield flush()
