@@ -26,15 +26,37 @@ class Spark:
     def split(self, x: str, pattern: str) -> str:
         return f"split({x}, {self.text(pattern)})"
 
-    def each(self, array: str, rule: Callable[[str], str]) -> str:
-        return f"transform({array}, x -> {rule('x')})"
+    def all(self, x: str, pattern: str) -> str:
+        return f"regexp_extract_all({x}, {self.text(pattern)}, 0)"
+
+    def each(self, array: str, rule: Callable[[str], str], x: str = "x") -> str:
+        """x: the name of the element, for a rule within a rule."""
+        return f"transform({array}, {x} -> {rule(x)})"
 
     def each_after(self, array: str, rule: Callable[[str, str], str]) -> str:
         """rule: of an element and the one before it, which is null for the first."""
         return f"transform({array}, (x, i) -> {rule('x', f'get({array}, i - 1)')})"
 
-    def keep(self, array: str, test: Callable[[str], str]) -> str:
-        return f"filter({array}, x -> {test('x')})"
+    def keep(self, array: str, test: Callable[[str], str], x: str = "x") -> str:
+        return f"filter({array}, {x} -> {test(x)})"
+
+    def let(self, value: str, rule: Callable[[str], str], name: str) -> str:
+        """A rule of a value that is made once, under a name that no rule around it uses."""
+        return f"element_at(transform(array({value}), {name} -> {rule(name)}), 1)"
+
+    def holds(self, array: str, x: str) -> str:
+        return f"array_contains({array}, {x})"
+
+    def once(self, array: str) -> str:
+        """Distinct elements in order of first mention."""
+        return f"array_distinct({array})"
+
+    def chain(self, *arrays: str) -> str:
+        return f"concat({', '.join(arrays)})"
+
+    def neighbours(self, array: str) -> str:
+        """Structs a, b of each element and the next one."""
+        return f"zip_with({self.first(array, f'greatest(size({array}) - 1, 0)')}, {self.rest(array)}, (x, y) -> named_struct('a', x, 'b', y))"
 
     def flat(self, arrays: str) -> str:
         return f"flatten({arrays})"
@@ -81,14 +103,32 @@ class Duck(Spark):
     def split(self, x: str, pattern: str) -> str:
         return f"string_split_regex({x}, {self.text(pattern)})"
 
-    def each(self, array: str, rule: Callable[[str], str]) -> str:
-        return f"list_transform({array}, lambda x: {rule('x')})"
+    def all(self, x: str, pattern: str) -> str:
+        return f"regexp_extract_all({x}, {self.text(pattern)})"
+
+    def each(self, array: str, rule: Callable[[str], str], x: str = "x") -> str:
+        return f"list_transform({array}, lambda {x}: {rule(x)})"
 
     def each_after(self, array: str, rule: Callable[[str, str], str]) -> str:
         return f"list_transform({array}, lambda x, i: {rule('x', f'CASE WHEN i > 1 THEN {array}[i - 1] END')})"
 
-    def keep(self, array: str, test: Callable[[str], str]) -> str:
-        return f"list_filter({array}, lambda x: {test('x')})"
+    def keep(self, array: str, test: Callable[[str], str], x: str = "x") -> str:
+        return f"list_filter({array}, lambda {x}: {test(x)})"
+
+    def let(self, value: str, rule: Callable[[str], str], name: str) -> str:
+        return f"list_transform([{value}], lambda {name}: {rule(name)})[1]"
+
+    def holds(self, array: str, x: str) -> str:
+        return f"list_contains({array}, {x})"
+
+    def once(self, array: str) -> str:
+        return self.let(array, lambda a: f"list_filter({a}, lambda o, i: list_position({a}, o) = i)", "all_of")
+
+    def chain(self, *arrays: str) -> str:
+        return " || ".join(arrays)
+
+    def neighbours(self, array: str) -> str:
+        return f"list_transform(list_zip(({array})[1:len({array}) - 1], ({array})[2:]), lambda z: struct_pack(a := z[1], b := z[2]))"
 
     def array(self, items: Sequence[str]) -> str:
         return f"[{', '.join(items)}]"

@@ -10,8 +10,6 @@ from pyspark.sql import functions as F
 
 #: White space as these functions mean it.
 SPACE = r"[ \t\n\r\x0B\x0C]"
-#: Words that say nothing of what a text holds. Fixed values.
-NOISE = ("a", "an", "and", "at", "by", "for", "in", "of", "on", "or", "p", "para", "paras", "pp", "the", "to", "v", "vs")
 
 
 def norm_key(value: Column) -> Column:
@@ -30,18 +28,6 @@ def word_list(value: Column) -> Column:
     return F.regexp_extract_all(F.lower(F.coalesce(value, F.lit(""))), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
 
 
-def meaningful(words: Column) -> Column:
-    """Distinct words in order of first mention without noise words and single letters."""
-    kept = F.array_except(words, F.array(*map(F.lit, NOISE)))
-    return F.filter(kept, lambda w: (F.length(w) > 1) | w.rlike("^[0-9]$"))
-
-
-def numbers(value: Column) -> Column:
-    """Distinct numbers of a text in order, without leading zeros."""
-    found = F.regexp_extract_all(F.coalesce(value, F.lit("")), F.lit("[0-9]+"), F.lit(0))
-    return F.array_distinct(F.transform(found, lambda x: F.regexp_replace(x, "^0+(?=[0-9])", "")))
-
-
 def unify_quotes(value: Column) -> Column:
     return F.translate(value, "‘’‚‛“”„‟–—−‐‑", "''''\"\"\"\"-----")
 
@@ -141,8 +127,8 @@ def title_and_year(title: Column, year: Column) -> tuple[Column, Column]:
 
 
 def case_name(name: Column) -> Column:
-    """Quotes and asterisks unwrapped, stops of company terms dropped, vs as v, a bracketed number in square brackets."""
+    """Quotes and asterisks unwrapped, stops of short abbreviations dropped, vs as v, a bracketed number in square brackets."""
     out = F.regexp_replace(F.trim(name), "^[*\"'‘“]+|[*\"'’”]+$", "")
-    out = F.regexp_replace(out, r"\b(Pty|Ltd|Co|Inc|Corp|Dr|Mr|Mrs|No)\.", "$1")
+    out = F.regexp_replace(out, r"\b([A-Z][a-z]{1,3})\.", "$1")
     out = F.regexp_replace(out, r"\s+(?:vs?\.?|V)\s+", " v ")
     return F.regexp_replace(out, r"\(No ([0-9]+)\)$", "[No $1]")

@@ -7,7 +7,9 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from marginalia.functions import text as t
+from marginalia.functions.dialect import DUCK, SPARK
 from marginalia.operators import fingerprints as fp
+from marginalia.operators import grounding, names
 from marginalia.sources.tables import table
 
 
@@ -20,28 +22,44 @@ def clean_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.select("doc_id", "pos", t.clean_field(F.col("line")).alias("field"))
 
 
+def _with(rows: DataFrame, *steps: dict[str, str]) -> DataFrame:
+    for step in steps:
+        rows = rows.withColumns({name: F.expr(rule) for name, rule in step.items()})
+    return rows
+
+
 def meaningful_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
-    words = t.meaningful(t.word_list(F.col("text")))
-    return table(spark, sf_dir, "documents").select("doc_id", F.size(words).alias("n"), F.array_join(F.slice(words, 1, 10), " ").alias("first_ten"))
+    """The distinct meaningful words of each document, in order."""
+    rows = _with(table(spark, sf_dir, "documents"), {"m": SPARK.let(grounding.words(SPARK, "text"), lambda w: grounding.meaningful(SPARK, w), "of_text")})
+    return rows.select("doc_id", F.size("m").alias("n"), F.array_join("m", " ").alias("words"))
 
 
 def token_coverage_gap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Meaningful words of a document that its first line doesn't have: how many, and the first ten."""
-    captured = t.word_list(F.substring_index("text", "\n", 1))
-    missing = F.array_except(t.meaningful(t.word_list(F.col("text"))), captured)
-    return table(spark, sf_dir, "documents").select("doc_id", F.size(missing).alias("n_missing"), F.array_join(F.slice(missing, 1, 10), " ").alias("missing"))
+    """Meaningful words of a document that its first two lines don't have, and how many numbers of these it doesn't have (none)."""
+    rows = table(spark, sf_dir, "documents").select("doc_id", "text", F.substring_index("text", "\n", 2).alias("kept"))
+    out = _with(rows, {"missing": grounding.missing(SPARK, "text", "kept"), "invented": grounding.invented(SPARK, "text", "kept")})
+    return out.select("doc_id", F.size("missing").alias("n_missing"), F.array_join("missing", " ").alias("missing"), F.size("invented").alias("n_invented"))
 
 
 def number_grounding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Numbers of a page's address that its markup doesn't have."""
-    ungrounded = F.array_except(t.numbers(F.col("url")), t.numbers(F.col("html")))
-    return table(spark, sf_dir, "pages").select("page_id", F.array_join(ungrounded, ",").alias("ungrounded"))
+    return table(spark, sf_dir, "pages").select("page_id", F.expr(SPARK.join(grounding.invented(SPARK, "html", "url"), ",")).alias("ungrounded"))
 
 
 def _span_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "lineitem").select(F.least("l_orderkey", "l_partkey").cast("string").alias("a"), F.greatest("l_orderkey", "l_partkey").cast("string").alias("b")).distinct()
 
 
+_CITED = "CASE p_partkey % 5 WHEN 0 THEN p_name || ' v The Queen' WHEN 1 THEN upper(substr(p_name, 1, 5)) || ' v ' || p_type WHEN 2 THEN 'Re ' || p_name || '; Ex parte Aust Bros (No 2)' WHEN 3 THEN 'ACCC v ' || p_name ELSE 'R v R' END"
+_TITLED = "CASE p_partkey % 4 WHEN 0 THEN p_name || ' v ' || p_type WHEN 1 THEN 'Australian Competition & Consumer Commission v ' || p_name || ' Pty Ltd [No 3]' WHEN 2 THEN p_type || ' and Australia Brothers' ELSE 'State of ' || p_brand END"
+
+
+def case_names_alike(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cited names of cases against titles: could they be one case, and is every party named."""
+    rows = table(spark, sf_dir, "part").select("p_partkey", F.expr(_CITED).alias("cited"), F.expr(_TITLED).alias("title"))
+    return rows.select("p_partkey", F.expr(names.same_case(SPARK, "cited", "title")).alias("same_case"), F.expr(names.plausible(SPARK, "cited", "title")).alias("plausible"))
+
+
 def span_shorten(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _span_pairs(spark, sf_dir).where("a <> b").select("a", "b", t.shorten_span(F.col("a"), F.col("b")).alias("span"))
 
@@ -141,20 +159,28 @@ def word_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
 _S = r"[ \t\n\r\x0B\x0C]"
 _FORM = "trim(regexp_replace(regexp_replace(lower(translate({x}, '‘’‚‛“”„‟–—−‐‑', '''''''''\"\"\"\"-----')), '[^\\p{{L}}\\p{{N}}_ \\t\\n\\r\\x0B\\x0C]', '', 'g'), '" + _S + "+', ' ', 'g'))"
 _COUNTABLE = "length(form) >= 12 AND NOT regexp_matches(form, '^ibid( [0-9]+)?$') AND NOT regexp_matches(form, '^(above|supra) n [0-9]+$')"
-_WORDS = "regexp_extract_all(lower(coalesce({x}, '')), '[\\p{{L}}\\p{{N}}]+')"
-_NOISE = ", ".join(f"'{w}'" for w in t.NOISE)
 _LINES = "SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS pos FROM documents"
 _HASHES = f"forms AS (SELECT doc_id AS doc, {_FORM.format(x='line')} AS form FROM ({_LINES})), hashes AS (SELECT DISTINCT doc, substr(sha256(form), 1, 32) AS hash FROM forms WHERE {_COUNTABLE})"
 _PAIRS = "totals AS (SELECT doc, count(*) AS total FROM hashes GROUP BY doc), pairs AS (SELECT a.doc AS new, b.doc AS earlier, count(*) AS shared, any_value(t.total) AS new_total FROM hashes a JOIN hashes b ON a.hash = b.hash AND a.doc > b.doc JOIN totals t ON t.doc = a.doc GROUP BY ALL HAVING count(*) >= 5)"
-#: Distinct list items in order of first mention.
-_ORDERED = "list_filter({w}, lambda x, i: list_position({w}, x) = i)"
 
 
-def _meaningful_sql(words: str) -> str:
-    ordered = _ORDERED.format(w=words)
-    return f"list_filter({ordered}, lambda x: x NOT IN ({_NOISE}) AND (length(x) > 1 OR regexp_matches(x, '^[0-9]$')))"
+def _chained(start: str, *steps: dict[str, str]) -> tuple[str, str]:
+    """WITH clauses that add the columns of each step, and the name of the last."""
+    out = f"WITH g0 AS ({start})"
+    for i, step in enumerate(steps):
+        out += f", g{i + 1} AS (SELECT *, {', '.join(f'{rule} AS {name}' for name, rule in step.items())} FROM g{i})"
+    return out, f"g{len(steps)}"
+
+
+def _selected(start: str, steps: list[dict[str, str]], columns: str) -> str:
+    with_, last = _chained(start, *steps)
+    return f"{with_} SELECT {columns} FROM {last}"
 
 
+_g = grounding
+_SQL_MEANINGFUL_TOKENS = _selected("SELECT doc_id, text FROM documents", [{"m": DUCK.let(_g.words(DUCK, "text"), lambda w: _g.meaningful(DUCK, w), "of_text")}], "doc_id, len(m)::INT AS n, array_to_string(m, ' ') AS words")
+_SQL_TOKEN_COVERAGE_GAP = _selected("SELECT doc_id, text, array_to_string(string_split(text, chr(10))[1:2], chr(10)) AS kept FROM documents", [{"missing": _g.missing(DUCK, "text", "kept"), "invented": _g.invented(DUCK, "text", "kept")}], "doc_id, len(missing)::INT AS n_missing, array_to_string(missing, ' ') AS missing, len(invented)::INT AS n_invented")
+_SQL_NUMBER_GROUNDING = _selected("SELECT page_id, url, html FROM pages", [{"x": _g.invented(DUCK, "html", "url")}], "page_id, array_to_string(x, ',') AS ungrounded")
 _SHORT = """CASE WHEN length(a) = length(b) AND a < b THEN substr(b, CASE WHEN length(b) >= 2 AND substr(b, length(b) - 1, 1) = '1' THEN least(d, length(b) - 1) ELSE d END) ELSE b END"""
 _SPANS = f"""WITH p AS (SELECT DISTINCT least(l_orderkey, l_partkey)::VARCHAR AS a, greatest(l_orderkey, l_partkey)::VARCHAR AS b FROM lineitem),
 q AS (SELECT a, b, list_position(list_transform(range(1, length(b) + 1), lambda i: substr(a, i, 1) <> substr(b, i, 1)), true) AS d FROM p WHERE a <> b),
@@ -166,6 +192,7 @@ QUERIES = {
     "meaningful_tokens": meaningful_tokens,
     "token_coverage_gap": token_coverage_gap,
     "number_grounding": number_grounding,
+    "case_names_alike": case_names_alike,
     "span_shorten": span_shorten,
     "span_expand": span_expand,
     "html_to_plain": html_to_plain,
@@ -184,9 +211,10 @@ QUERIES = {
 ORACLE_SQL = {
     "norm_key": f"SELECT doc_id, sha256(regexp_replace(lower(coalesce(text, '')), '[.,''’‘]|{_S}', '', 'g')) AS key_sha256 FROM documents",
     "clean_field": f"SELECT doc_id, pos::INT AS pos, nullif(regexp_replace(trim(regexp_replace(line, '{_S}+', ' ', 'g')), '[ .,;:]+$', ''), '') AS field FROM ({_LINES})",
-    "meaningful_tokens": f"WITH w AS (SELECT doc_id, {_meaningful_sql('words')} AS m FROM (SELECT doc_id, {_WORDS.format(x='text')} AS words FROM documents)) SELECT doc_id, len(m)::INT AS n, array_to_string(m[1:10], ' ') AS first_ten FROM w",
-    "token_coverage_gap": f"WITH w AS (SELECT doc_id, list_filter({_meaningful_sql('words')}, lambda x: NOT list_contains(captured, x)) AS m FROM (SELECT doc_id, {_WORDS.format(x='text')} AS words, {_WORDS.format(x='split_part(text, chr(10), 1)')} AS captured FROM documents)) SELECT doc_id, len(m)::INT AS n_missing, array_to_string(m[1:10], ' ') AS missing FROM w",
-    "number_grounding": f"WITH n AS (SELECT page_id, list_transform(regexp_extract_all(url, '[0-9]+'), lambda x: coalesce(nullif(ltrim(x, '0'), ''), '0')) AS a, list_transform(regexp_extract_all(html, '[0-9]+'), lambda x: coalesce(nullif(ltrim(x, '0'), ''), '0')) AS b FROM pages) SELECT page_id, array_to_string(list_filter({_ORDERED.format(w='a')}, lambda x: NOT list_contains(b, x)), ',') AS ungrounded FROM n",
+    "meaningful_tokens": _SQL_MEANINGFUL_TOKENS,
+    "token_coverage_gap": _SQL_TOKEN_COVERAGE_GAP,
+    "number_grounding": _SQL_NUMBER_GROUNDING,
+    "case_names_alike": f"SELECT p_partkey, {names.same_case(DUCK, 'cited', 'title')} AS same_case, {names.plausible(DUCK, 'cited', 'title')} AS plausible FROM (SELECT p_partkey, {_CITED} AS cited, {_TITLED} AS title FROM part)",
     "span_shorten": f"{_SPANS} SELECT a, b, span FROM s",
     "span_expand": f"{_SPANS} SELECT DISTINCT span, a AS first, CASE WHEN length(split_part(span, '–', 2)) < length(a) THEN substr(a, 1, length(a) - length(split_part(span, '–', 2))) ELSE '' END || split_part(span, '–', 2) AS last FROM s",
     "html_to_plain": "WITH p AS (SELECT page_id, replace(replace(replace(replace(replace(regexp_replace(html, '<[^>]+>', '', 'g'), '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&#39;', ''''), '&amp;', '&') AS plain FROM pages) SELECT page_id, length(plain)::INT AS n_chars, sha256(plain) AS plain_sha256 FROM p",

@@ -20,9 +20,10 @@ def unify(mentions: DataFrame, group: Sequence[str], order: Sequence[str], detai
     keys = [*group, *details]
     first = mentions.groupBy(*keys).agg(F.min(F.struct(*order)).alias("_first"))
     kinds = {f.name: f.dataType.simpleString() for f in first.schema.fields}
+    positions = [f"_o{i}" for i in range(len(order))]
 
     def fold(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("_rank", kind="stable")
+        rows = rows.sort_values(positions, kind="stable")
         sources: list[list] = []
         number = []
         for values in rows[list(details)].astype(object).where(rows[list(details)].notna(), None).itertuples(index=False, name=None):
@@ -35,15 +36,9 @@ def unify(mentions: DataFrame, group: Sequence[str], order: Sequence[str], detai
                 number.append(len(sources))
         return rows.assign(source=number)[[*keys, "source"]]
 
-    ranked = first.withColumn("_rank", F.to_json("_first")).select(*keys, *[F.col(f"_first.{c}").alias(f"_o{i}") for i, c in enumerate(order)])
-    positions = [f"_o{i}" for i in range(len(order))]
-
-    def ordered(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(positions, kind="stable")
-        return fold(rows.assign(_rank=range(len(rows))))
-
+    ranked = first.select(*keys, *[F.col(f"_first.{c}").alias(p) for c, p in zip(order, positions, strict=True)])
     schema = ", ".join(f"`{c}` {kinds[c]}" for c in keys) + ", source int"
-    found = ranked.groupBy(*group).applyInPandas(ordered, schema)
+    found = ranked.groupBy(*group).applyInPandas(fold, schema)
     same = [mentions[c].eqNullSafe(found[c]) for c in keys]
     condition = same[0]
     for c in same[1:]:

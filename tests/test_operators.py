@@ -3,12 +3,14 @@ import hashlib
 import hmac
 import io
 import random
+import time
 import zipfile
 
 from pyspark.sql import functions as F
 
 from marginalia.functions import text as t
-from marginalia.operators import diff, fingerprints, plan, render, sequences, unify, verify
+from marginalia.functions.dialect import SPARK
+from marginalia.operators import diff, fingerprints, grounding, plan, render, sequences, unify, verify
 from marginalia.sources.docx import footnotes_of, read_footnotes
 
 
@@ -20,8 +22,8 @@ def test_scalar_functions(spark):
     col = F.col("v")
     assert one(spark, t.norm_key(col), v="C.L.R, ’x’") == "clrx" and one(spark, t.norm_key(F.lit(None).cast("string")), v="") == ""
     assert one(spark, t.clean_field(col), v="  a \n b.,; ") == "a b" and one(spark, t.clean_field(col), v=" ., ") is None
-    assert one(spark, t.meaningful(t.word_list(col)), v="The Cat and the CAT v 7 b 1999") == ["cat", "7", "1999"]
-    assert one(spark, t.numbers(col), v="s 007 and 7 0 12") == ["7", "0", "12"]
+    assert one(spark, F.expr(grounding.meaningful(SPARK, grounding.words(SPARK, "v"))), v="The Cat and the CAT v 7 b 1999") == ["cat", "7", "1999"]
+    assert one(spark, F.expr(grounding.numbers(SPARK, "v", grounding.words(SPARK, "v"))), v="s 007 and 7 0 12, 150–5") == ["7", "0", "12", "150", "5", "155"]
     assert one(spark, t.fingerprint_form(col), v="“Été” — a–b,  c!") == "été - a-b c".replace("- ", "").replace("-", "")
     assert one(spark, t.legislation_key(col), v="Fire & Rescue Act (No 2)") == "fire and rescue act no 2"
     for n, want in ((1, "1st"), (2, "2nd"), (3, "3rd"), (4, "4th"), (11, "11th"), (12, "12th"), (13, "13th"), (21, "21st"), (111, "111th"), (112, "112th")):
@@ -137,14 +139,60 @@ def test_rendering(spark):
     assert shown(type="speech", authors=["A B"], title="T", forum="Hall", date="1 May 2000") == "A B, ‘T’ (Speech, Hall, 1 May 2000)"
 
 
-def test_diff_is_difflib_and_rebuilds():
+def test_diff_rebuilds_and_equals_plain_matching():
     rng = random.Random(2)
-    for _ in range(50):
-        a, b = (" ".join(rng.choice("abcd") for _ in range(rng.randrange(12))) for _ in range(2))
-        pieces = diff.diff_words(a, b)
-        assert "".join(t for k, t in pieces if k != "del") == b and "".join(t for k, t in pieces if k != "ins") == a
-    assert diff.diff_words("a b", "a c") == [("equal", "a "), ("del", "b"), ("ins", "c")]
-    assert difflib.SequenceMatcher
+    for _ in range(300):
+        a, b = (" ".join(rng.choice("abcdefgh") for _ in range(rng.randrange(12))) + rng.choice(["", "\n", "  "]) for _ in range(2))
+        cut = rng.randrange(len(a) + 1)
+        old, new = [(a[:cut], True), (a[cut:], False)], [(b, False)]
+        pieces = diff.diff_words(old, new)
+        assert "".join(t for k, t, _ in pieces if k != "del") == b and "".join(t for k, t, _ in pieces if k != "ins") == a
+        x, y = diff.words_of(old), diff.words_of(new)
+        head = next((i for i, (p, q) in enumerate(zip(x, y, strict=False)) if p != q), min(len(x), len(y)))
+        tail = next((i for i, (p, q) in enumerate(zip(x[head:][::-1], y[head:][::-1], strict=False)) if p != q), min(len(x), len(y)) - head)
+        x_mid, y_mid = x[head : len(x) - tail], y[head : len(y) - tail]
+        kept = head + tail + sum(m.size for m in difflib.SequenceMatcher(None, x_mid, y_mid, autojunk=False).get_matching_blocks())
+        assert len(list(diff._matched(x, y))) == kept
+    plain = lambda text: [(text, False)]
+    assert diff.diff_words(plain("a b"), plain("a c")) == [("equal", "a ", False), ("del", "b", False), ("ins", "c", False)]
+    assert diff.diff_words(plain("see Reed now"), [("see ", False), ("Reed", True), (" now", False)]) == [("equal", "see ", False), ("del", "Reed", False), ("ins", "Reed", True), ("equal", " now", False)]
+
+
+def test_diff_of_long_texts():
+    rng = random.Random(3)
+    words = [str(rng.randrange(10**6)) for _ in range(30_000)]
+    other = [w for w in words if rng.random() < 0.9] + ["x"]
+    start = time.process_time()
+    pieces = diff.diff_words([(" ".join(words), False)], [(" ".join(other), False)])
+    assert time.process_time() - start < 10
+    assert sum(len(t) for k, t, _ in pieces if k == "equal") > 0.85 * len(" ".join(words))
+
+
+def test_diff_columns(spark):
+    rows = [("same text", "same text"), (None, "new"), ("old", None), ("a b", "a c"), (None, None)]
+    df = spark.createDataFrame(rows, "a string, b string")
+    got = [[(p.op, p.text) for p in r.d] for r in df.select(diff.word_diff(F.col("a"), F.col("b")).alias("d")).collect()]
+    assert got == [[("equal", "same text")], [("ins", "new")], [("del", "old")], [("equal", "a "), ("del", "b"), ("ins", "c")], []]
+
+
+def test_unify_equals_a_fold_in_order(spark):
+    rng = random.Random(5)
+    rows = [(g, i, *(rng.choice([None, None, "a", "b"]) for _ in range(3))) for g in range(30) for i in range(rng.randrange(1, 9))]
+    df = spark.createDataFrame(rows, "g int, i int, x string, y string, z string")
+    got = {(r.g, r.i): r.source for r in unify.unify(df, ["g"], ["i"], ["x", "y", "z"]).collect()}
+    for g in range(30):
+        sources, known = [], {}
+        for _, i, *details in sorted(r for r in rows if r[0] == g):
+            key = tuple(details)
+            if key not in known:
+                fits = [k for k, s in enumerate(sources) if all(p is None or q is None or p == q for p, q in zip(s, details))]
+                if len(fits) == 1:
+                    sources[fits[0]] = [p if p is not None else q for p, q in zip(sources[fits[0]], details)]
+                    known[key] = fits[0] + 1
+                else:
+                    sources.append(details)
+                    known[key] = len(sources)
+            assert got[g, i] == known[key]
 
 
 W = 'xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main"'
