@@ -11,8 +11,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marginalia.functions.dialect import DUCK, SPARK, Spark
-from marginalia.operators import formats, normalise
+from marginalia.operators import explain, formats, normalise
+from marginalia.sources import sinks
 from marginalia.sources.tables import table
+from marginalia.workspace import written
 
 _K = "o_orderkey"
 
@@ -144,7 +146,8 @@ def subsequent_references(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Repeated references to sources of several types by their default short names."""
     out = None
     for kind in _AGAIN:
-        rows = normalised(spark, sf_dir, kind)
+        # Written, so that the rules of both stages don't become one expression.
+        rows = written(normalised(spark, sf_dir, kind), "sources")
         for step in (*_with_pins(SPARK), {"short_title": formats.short_name(SPARK), "first_note": f"CAST({_K} % 90 + 1 AS STRING)"}):
             rows = rows.withColumns({f: F.expr(x) for f, x in step.items()})
         made = rows.select(_K, "type", F.expr(formats.subsequent(SPARK)).alias("reference"))
@@ -152,9 +155,29 @@ def subsequent_references(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out
 
 
+_BEFORE = "CASE p_partkey % 7 WHEN 0 THEN 'see  ' || p_name || ' at p. ' || p_size WHEN 1 THEN 'ibid ' || p_size WHEN 2 THEN '*' || p_name || '* above n 3' WHEN 3 THEN p_name || ' (No 2) (1993) 12 N.S.W.L.R. 5, 20-25, per Reed J' WHEN 4 THEN p_name || ', \"' || p_type || '\" s 57-64.' WHEN 5 THEN p_name || '.' ELSE p_name || ' , s ' || p_size || ' - 70' END"
+_AFTER = "CASE p_partkey % 7 WHEN 0 THEN 'See *' || p_name || '* ' || p_size || '.' WHEN 1 THEN 'Ibid ' || p_size || '.' WHEN 2 THEN p_name || ' (n 3).' WHEN 3 THEN '*' || p_name || ' [No 2]* (1993) 12 NSWLR 5, 20–5 (Reed J) (‘' || p_name || '’).' WHEN 4 THEN p_name || ', ‘' || p_type || '’ ss 57–64.' WHEN 5 THEN p_name || '.' ELSE p_name || '’s' END"
+
+
+def change_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Kinds of changes between notes as written and as formatted, with running text put right and checked."""
+    rows = table(spark, sf_dir, "part").select("p_partkey", F.expr(_BEFORE).alias("b"), F.expr(_AFTER).alias("a"))
+    return rows.selectExpr("p_partkey", f"{SPARK.join(explain.kinds(SPARK, 'b', 'a'), ',')} AS kinds", f"{explain.fixed_body(SPARK, 'b')} AS body", f"{explain.possessives(SPARK, 'a')} AS possessives", f"{explain.missing_stop(SPARK, 'b')} AS missing_stop")
+
+
+def bibliography(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bibliography entries of each customer's sources by section, in order."""
+    out = None
+    for kind in ("newspaper", "treaty", "explanatory_memorandum", "submission"):
+        rows = written(normalised(spark, sf_dir, kind), "sources").join(table(spark, sf_dir, "orders").select(_K, F.col("o_custkey").alias("doc")), _K).withColumn("pin", F.lit(""))
+        made = rows.select("doc", "type", F.expr(formats.RULES[kind](SPARK, True)).alias("entry"))
+        out = made if out is None else out.unionByName(made)
+    return sinks.bibliography(out)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f"normalise_{k}": _normal_query(k) for k in normalise.RULES}
 QUERIES |= {f"format_{k}": _format_query(k) for k in formats.RULES}
-QUERIES["subsequent_references"] = subsequent_references
+QUERIES |= {"subsequent_references": subsequent_references, "change_kinds": change_kinds, "bibliography": bibliography}
 
 
 # ---- the same in DuckDB
@@ -210,3 +233,14 @@ def _sql_again(kind: str) -> str:
 ORACLE_SQL: dict[str, str] = {f"normalise_{k}": _sql_normal(k) for k in normalise.RULES}
 ORACLE_SQL |= {f"format_{k}": _sql_format(k) for k in formats.RULES}
 ORACLE_SQL["subsequent_references"] = " UNION ALL ".join(_sql_again(k) for k in _AGAIN)
+ORACLE_SQL["change_kinds"] = f"SELECT p_partkey, {DUCK.join(explain.kinds(DUCK, 'b', 'a'), ',')} AS kinds, {explain.fixed_body(DUCK, 'b')} AS body, {explain.possessives(DUCK, 'a')} AS possessives, {explain.missing_stop(DUCK, 'b')} AS missing_stop FROM (SELECT p_partkey, {_BEFORE} AS b, {_AFTER} AS a FROM part)"
+
+
+def _sql_entries(kind: str) -> str:
+    return f"SELECT * FROM ({_sql_normalised(kind)}, e AS (SELECT n.*, o.o_custkey AS doc, '' AS pin FROM {_last(kind)} n JOIN orders o USING ({_K}))\nSELECT doc, type, {formats.RULES[kind](DUCK, True)} AS entry FROM e)"
+
+
+_ENTRIES = " UNION ALL ".join(_sql_entries(k) for k in ("newspaper", "treaty", "explanatory_memorandum", "submission"))
+ORACLE_SQL["bibliography"] = f"""WITH every AS ({_ENTRIES}), once AS (SELECT DISTINCT doc, CASE WHEN type = 'newspaper' THEN 'A Articles/Books/Reports' WHEN type = 'treaty' THEN 'D Treaties' WHEN type = 'explanatory_memorandum' THEN 'C Legislation' ELSE 'E Other' END AS section,
+ lower(regexp_replace(entry, '^[''‘*]+', '')) AS key, entry FROM every WHERE length(entry) > 0)
+SELECT doc, section, (row_number() OVER (PARTITION BY doc, section ORDER BY key, entry) - 1)::INT AS ord, entry FROM once"""

@@ -6,7 +6,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from marginalia.functions.dialect import SPARK
-from marginalia.operators import formats, grounding, names, normalise
+from marginalia.operators import explain, formats, grounding, names, normalise
+from marginalia.sources import jsonl, sinks
 
 SCHEMA = ", ".join(["type string", *(f"`{f}` string" for f in normalise.TEXTS), *(f"`{f}` array<string>" for f in normalise.ARRAYS), *(f"`{f}` boolean" for f in normalise.FLAGS), "pinpoints array<struct<kind:string,value:string,plural:boolean>>"])
 
@@ -135,3 +136,34 @@ def test_grounding(spark):
     assert of("Web Page of the Rivers", "webpage rivers") == ([], []) and of("webpage", "Web Page") == ([], [])
     assert of("(1993) 12 HLR 5", "HLR 5, 1994") == (["1993", "12"], ["1994"])
     assert of(None, None) == ([], [])
+
+
+def test_kinds_of_changes(spark):
+    kinds = lambda b, a: spark.createDataFrame([(b, a)], "b string, a string").select(F.expr(explain.kinds(SPARK, "b", "a"))).first()[0]
+    assert kinds("ibid 5", "Ibid 5.") == ["ibid", "full_stop"] and kinds("x", "x") == [] and kinds(None, "") == []
+    assert kinds("Reed v Calder, above n 3 at p. 5", "*Reed* (n 3) 5.") == ["n_reference", "italic", "pinpoint_label", "full_stop"]
+    assert kinds("*see* Reed (No 2)  12-15.", "see *Reed [No 2]* 12–15.") == ["roman", "case_number", "span", "spaces"]
+    assert kinds("a", "b") == ["other"]
+    fixed = lambda x: spark.createDataFrame([(x,)], "x string").select(F.expr(explain.fixed_body(SPARK, "x"))).first()[0]
+    assert fixed("under s 57-64 , and s 5A") == "under ss 57–64, and s 5A"
+
+
+def test_json_lines(spark, tmp_path):
+    lines = ['{"type": "decision", "citation": "Reed v Calder [2001] HbC 5", "text": "long"}', "", "no json", '{"type": "act", "citation": "x"}', '{"type": "decision"}', '{"type": "decision", "citation": "A v B [2002] HbC 7 "}']
+    (tmp_path / "a.jsonl").write_text("\n".join(lines))
+    path = f"file://{tmp_path}/a.jsonl"
+    assert sorted(map(tuple, jsonl.decisions(spark, path).collect())) == [("HbC", 2001, 5, "Reed v Calder"), ("HbC", 2002, 7, "A v B")]
+    records = jsonl.read_records(spark, path, {"type": "string"}).cache()
+    assert [(r.n, r.example) for r in jsonl.bad_lines(records).collect()] == [(1, "no json")] and jsonl.good_records(records).count() == 4
+
+
+def test_sinks(spark, tmp_path):
+    rows = [(1, "case", "*Reed v Calder* (2001) 5 HLR 1"), (1, "book", "Berg, Ada, *On Rivers*"), (1, "book", "Berg, Ada, *On Rivers*"), (1, "speech", "‘A’"), (1, "book", "Adams, Zoe"), (2, "other", "")]
+    df = spark.createDataFrame(rows, "doc int, type string, entry string")
+    got = sorted((r.section, r.ord, r.entry) for r in sinks.bibliography(df).collect())
+    assert got == [("A Articles/Books/Reports", 0, "Adams, Zoe"), ("A Articles/Books/Reports", 1, "Berg, Ada, *On Rivers*"), ("B Cases", 0, rows[0][2]), ("E Other", 0, "‘A’")]
+    sinks.write_bibliography(df, f"file://{tmp_path}/b")
+    text = spark.read.text(f"file://{tmp_path}/b", wholetext=True).first().value
+    assert text.startswith("A Articles/Books/Reports\nAdams, Zoe\nBerg, Ada, *On Rivers*\n\nB Cases\n")
+    sinks.write_report(df, f"file://{tmp_path}/r")
+    assert spark.read.json(f"file://{tmp_path}/r").count() == 6
