@@ -39,3 +39,20 @@ def test_pipeline_equals_its_steps_by_brute_force(spark, tmp_path):
         start += len(ids)
     assert Counter((r.doc_id, r.start, r.n_tokens, r.ids_crc32) for r in got) == Counter(want)
     assert [name for name, _ in corpus_pipeline.STAGES] == ["quality", "near_copies", "decontamination", "mixture", "tokens"]
+
+
+def test_pipeline_on_odd_tables(spark, tmp_path):
+    """Empty tables, repeated rows, nulls in every column, a long text, and columns whose names the stages use themselves."""
+    long = " ".join(f"word{i} of" for i in range(60_000))
+    rows = [(1, long, "en", "src1", 1, "a", 2, "b"), (1, long, "en", "src1", 1, "a", 2, "b"), (2, None, None, None, None, None, None, None), (3, "", "de", "src2", 0, "", 0, ""), (4, " ".join(f"other{i} text" for i in range(60)), None, None, None, None, 5, "c")]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, hash string, bucket int, component_id string"
+    spark.createDataFrame(rows, schema).write.parquet(f"{tmp_path}/a/documents.parquet")
+    spark.createDataFrame([], schema).write.parquet(f"{tmp_path}/b/documents.parquet")
+    for folder in "ab":
+        spark.createDataFrame([], "item_id long, text string").write.parquet(f"{tmp_path}/{folder}/benchmark.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/a/documents.parquet")
+    kept = corpus_pipeline.decontamination(spark, corpus_pipeline.near_copies(spark, corpus_pipeline.quality(spark, docs, ""), ""), f"{tmp_path}/a")
+    assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.collect()) == [1, 1, 4]
+    got = corpus_pipeline.run(spark, f"{tmp_path}/a").collect()
+    assert {r.doc_id for r in got} == {1, 4} and all(r.n_tokens > 100 for r in got)
+    assert corpus_pipeline.run(spark, f"{tmp_path}/b").count() == 0
