@@ -175,9 +175,35 @@ def bibliography(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sinks.bibliography(out)
 
 
+_FIXED = ("book_chapter", "parliamentary_debates", "committee_evidence", "convention_debates", "dictionary", "legal_encyclopedia")
+_FIXED_FIELDS = ("starting_page", "speaker", "speaker_position", "judges", "definition", "volume")
+
+
+def _citation_steps(d: Spark, kind: str) -> list[dict[str, str]]:
+    written_ = {"judges": f"CASE WHEN {_K} % 3 = 0 THEN ' Ms Ada Berg, Treasurer' END"}
+    pins = d.rename("pinpoints", {"kind": "x.kind", "value": f"CASE WHEN {_K} % 7 = 0 THEN '(def 4)' WHEN {_K} % 5 = 0 THEN 'SL&C 12' ELSE x.value END", "plural": "x.plural"})
+    return [written_ | {"pinpoints": pins}, {"pinpoints": formats.clean_pinpoints(d)}, *normalise.citation_steps(d, kind)]
+
+
+def _pins_shown(d: Spark) -> str:
+    return d.join(d.each("pinpoints", lambda x: f"{x}.kind || ' ' || {x}.value"), "|")
+
+
+def citation_fixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What sources and their pinpoints owe each other, by type."""
+    out = None
+    for kind in _FIXED:
+        rows = written(normalised(spark, sf_dir, kind), "sources")
+        for step in _citation_steps(SPARK, kind):
+            rows = rows.withColumns({f: F.expr(x) for f, x in step.items()})
+        made = rows.select(_K, "type", *_FIXED_FIELDS, F.expr(_pins_shown(SPARK)).alias("pins"))
+        out = made if out is None else out.unionByName(made)
+    return out
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f"normalise_{k}": _normal_query(k) for k in normalise.RULES}
 QUERIES |= {f"format_{k}": _format_query(k) for k in formats.RULES}
-QUERIES |= {"subsequent_references": subsequent_references, "change_kinds": change_kinds, "bibliography": bibliography}
+QUERIES |= {"subsequent_references": subsequent_references, "change_kinds": change_kinds, "bibliography": bibliography, "citation_fixes": citation_fixes}
 
 
 # ---- the same in DuckDB
@@ -244,3 +270,11 @@ _ENTRIES = " UNION ALL ".join(_sql_entries(k) for k in ("newspaper", "treaty", "
 ORACLE_SQL["bibliography"] = f"""WITH every AS ({_ENTRIES}), once AS (SELECT DISTINCT doc, CASE WHEN type = 'newspaper' THEN 'A Articles/Books/Reports' WHEN type = 'treaty' THEN 'D Treaties' WHEN type = 'explanatory_memorandum' THEN 'C Legislation' ELSE 'E Other' END AS section,
  lower(regexp_replace(entry, '^[''‘*]+', '')) AS key, entry FROM every WHERE length(entry) > 0)
 SELECT doc, section, (row_number() OVER (PARTITION BY doc, section ORDER BY key, entry) - 1)::INT AS ord, entry FROM once"""
+
+
+def _sql_fixed(kind: str) -> str:
+    with_, last = _sql_steps(_sql_normalised(kind), _last(kind), _citation_steps(DUCK, kind), "f")
+    return f"SELECT * FROM ({with_}\nSELECT {_K}, type, {', '.join(_FIXED_FIELDS)}, {_pins_shown(DUCK)} AS pins FROM {last})"
+
+
+ORACLE_SQL["citation_fixes"] = " UNION ALL ".join(_sql_fixed(k) for k in _FIXED)

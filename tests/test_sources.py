@@ -167,3 +167,19 @@ def test_sinks(spark, tmp_path):
     assert text.startswith("A Articles/Books/Reports\nAdams, Zoe\nBerg, Ada, *On Rivers*\n\nB Cases\n")
     sinks.write_report(df, f"file://{tmp_path}/r")
     assert spark.read.json(f"file://{tmp_path}/r").count() == 6
+
+
+def test_sources_and_pinpoints(spark):
+    def fixed(of_type, *columns, pins=(), **fields):
+        df = source(spark, of_type, pins, **fields)
+        for step in normalise.citation_steps(SPARK, of_type):
+            df = df.withColumns({f: F.expr(x) for f, x in step.items()})
+        row = df.select("pinpoints", *columns).first()
+        return ([(p.kind, p.value) for p in row[0]], *row[1:])
+
+    assert fixed("book_chapter", "starting_page", pins=[("page", "38", False)], chapter_title="x") == ([], "38")
+    assert fixed("book_chapter", "starting_page", pins=[("page", "38–40", False)], chapter_title="x") == ([("page", "38–40")], None)
+    assert fixed("parliamentary_debates", "speaker", "speaker_position", "judges", judges="Mr Reed, Treasurer") == ([], "Reed", "Treasurer", None)
+    assert fixed("committee_evidence", "speaker", pins=[("page", "SL&C 12", False)], speaker="Ada Berg", judges="x") == ([("page", "12")], "Ada Berg")
+    assert fixed("dictionary", "definition", pins=[("other", "(def 4)", False), ("page", "3", False)], title="D") == ([("page", "3")], "4")
+    assert fixed("legal_encyclopedia", "volume", pins=[("volume", "12", False), ("page", "5", False)], title="L") == ([("paragraph", "5")], "12")
