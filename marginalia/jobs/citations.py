@@ -72,6 +72,15 @@ def repeat_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.groupBy("doc", "note").agg(F.count_if("is_repeat").alias("repeats"), F.count_if(F.col("is_repeat") & F.col("resolved").isNotNull()).alias("resolved"), F.coalesce(F.sum(F.when(F.col("is_repeat"), F.col("resolved"))), F.lit(0)).alias("key_sum"))
 
 
+def rendered_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The notes of each document as they are printed."""
+    notes = _notes(spark, sf_dir)
+    planned = plan.citation_plan(notes, _mentions(spark, sf_dir, notes), order=_ORDER)
+    signal = F.when((F.col("note") % 4 == 0) & (F.col("pos") == 1), "See").otherwise("")
+    sources = planned.select("doc", "key").distinct().select("doc", "key", F.concat(F.lit("*Source "), F.col("key"), F.lit("*")).alias("cited"), F.concat(F.lit("S"), F.col("key")).alias("short"))
+    return plan.rendered_notes(planned.withColumn("signal", signal), sources)
+
+
 def richtext_markup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first line of each document with capitalised words italic, neighbours of one style joined."""
     words = F.split(F.substring_index("text", "\n", 1), " ")
@@ -79,7 +88,7 @@ def richtext_markup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", rt.markup(rt.merged(runs)).alias("markup"))
 
 
-QUERIES = {f.__name__: f for f in (citation_plan, first_occurrence, needs_short_title, reference_by_name, repeat_resolution, richtext_markup)}
+QUERIES = {f.__name__: f for f in (citation_plan, first_occurrence, needs_short_title, reference_by_name, repeat_resolution, richtext_markup, rendered_notes)}
 _SQL_PLAN = f"WITH {_SQL_MENTIONS}"
 _SQL_ORDER = "l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice"
 ORACLE_SQL = {
@@ -92,6 +101,11 @@ l AS (SELECT *, coalesce(rep AND (lag(note) OVER w = note OR (lag(note) OVER w =
 c AS (SELECT *, sum((NOT linked)::INT) OVER (PARTITION BY doc ORDER BY note, {_SQL_ORDER} ROWS UNBOUNDED PRECEDING) AS chain FROM l),
 h AS (SELECT *, max(CASE WHEN NOT linked AND NOT rep THEN key END) OVER (PARTITION BY doc, chain) AS resolved FROM c)
 SELECT doc, note, count(*) FILTER (rep) AS repeats, count(*) FILTER (rep AND resolved IS NOT NULL) AS resolved, coalesce(sum(resolved) FILTER (rep), 0)::BIGINT AS key_sum FROM h GROUP BY doc, note""",
+    "rendered_notes": f"""{_SQL_PLAN}, f AS (SELECT doc, key, min(note) FILTER (plan = 'full') AS first_note, bool_or(plan = 'subsequent') AS defines FROM planned GROUP BY doc, key),
+t AS (SELECT doc, note, pos, note % 4 = 0 AND pos = 1 AS see, CASE plan WHEN 'full' THEN '*Source ' || key || '*' || CASE WHEN pinpoint = '' THEN '' ELSE ', ' || pinpoint END || CASE WHEN defines THEN ' (‘S' || key || '’)' ELSE '' END
+  WHEN 'ibid' THEN CASE WHEN pos = 1 AND note % 4 <> 0 THEN 'Ibid' ELSE 'ibid' END || CASE WHEN pinpoint <> prev_pin AND pinpoint <> '' THEN ' ' || pinpoint ELSE '' END
+  ELSE 'S' || key || ' (n ' || first_note || ')' || CASE WHEN pinpoint = '' THEN '' ELSE ' ' || pinpoint END END AS text FROM planned JOIN f USING (doc, key))
+SELECT doc, note, string_agg(CASE WHEN see THEN 'See ' ELSE '' END || text, '; ' ORDER BY pos) || '.' AS text FROM t GROUP BY doc, note""",
     "richtext_markup": """WITH w AS (SELECT doc_id, unnest(string_split(split_part(text, chr(10), 1), ' ')) AS w, generate_subscripts(string_split(split_part(text, chr(10), 1), ' '), 1) AS i FROM documents),
 f AS (SELECT *, regexp_matches(w, '^[A-Z]') AS it FROM w), g AS (SELECT *, (it <> coalesce(lag(it) OVER (PARTITION BY doc_id ORDER BY i), NOT it))::INT AS new FROM f),
 s AS (SELECT *, sum(new) OVER (PARTITION BY doc_id ORDER BY i) AS island FROM g),

@@ -56,3 +56,23 @@ def first_per_key(mentions: DataFrame, doc: str, order: list[str]) -> DataFrame:
     """The first mention of each key in a document: map-side combined, no sort of the mentions."""
     others = [c for c in mentions.columns if c not in (doc, "key")]
     return mentions.groupBy(doc, "key").agg(F.min_by(F.struct(*others), F.struct(*order)).alias("first")).select(doc, "key", "first.*")
+
+
+def rendered_notes(planned: DataFrame, sources: DataFrame, doc: str = "doc", note: str = "note") -> DataFrame:
+    """doc, note, text: the notes of documents as they are printed.
+
+    planned: of citation_plan, and `signal` ('' for none). sources: doc, key, cited (in full, without a pinpoint), short.
+    A source that is referred back to defines its short title where it is cited in full; repeats are Ibid at the start of a
+    note and after a signal ibid; citations are parted by semicolons, and a note ends with one full stop before its trailing white space."""
+    first = planned.groupBy(doc, "key").agg(F.min(F.when(F.col("plan") == "full", F.col(note))).alias("first_note"), F.bool_or(F.col("plan") == "subsequent").alias("defines"))
+    rows = planned.join(first, [doc, "key"]).join(sources, [doc, "key"])
+    pin = F.when(F.col("pinpoint") == "", "").otherwise(F.concat(F.lit(", "), F.col("pinpoint")))
+    spaced = lambda c: F.when(F.col(c) == "", "").otherwise(F.concat(F.lit(" "), F.col(c)))
+    lead = F.when(F.col("signal") == "", "").otherwise(F.concat(F.col("signal"), F.lit(" ")))
+    full = F.concat("cited", pin, F.when(F.col("defines"), F.concat(F.lit(" (‘"), F.col("short"), F.lit("’)"))).otherwise(""))
+    again = F.concat("short", F.lit(" (n "), F.col("first_note").cast("string"), F.lit(")"), spaced("pinpoint"))
+    ibid = F.concat(F.when((F.col("pos") == 1) & (F.col("signal") == ""), "Ibid").otherwise("ibid"), spaced("suffix"))
+    text = F.concat(lead, F.when(F.col("plan") == "full", full).when(F.col("plan") == "ibid", ibid).otherwise(again))
+    parts = rows.groupBy(doc, note).agg(F.array_sort(F.collect_list(F.struct("pos", text.alias("text")))).alias("parts"))
+    joined = F.array_join(F.transform("parts", lambda p: p["text"]), "; ")
+    return parts.select(doc, note, F.regexp_replace(joined, r"[.]?([ \t\n]*)$", ".$1").alias("text"))

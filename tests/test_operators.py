@@ -175,6 +175,15 @@ def test_diff_columns(spark):
     assert got == [[("equal", "same text")], [("ins", "new")], [("del", "old")], [("equal", "a "), ("del", "b"), ("ins", "c")], []]
 
 
+def test_rendered_notes(spark):
+    notes = spark.createDataFrame([(1, n) for n in range(1, 6)], "doc int, note int")
+    rows = [(1, 1, 1, "a", "5", ""), (1, 2, 1, "a", "5", ""), (1, 3, 1, "a", "9", "See"), (1, 3, 2, "b", "", ""), (1, 4, 1, "a", "", ""), (1, 5, 1, "b", "2", "")]
+    mentions = spark.createDataFrame(rows, "doc int, note int, seg int, key string, pinpoint string, signal string")
+    sources = spark.createDataFrame([(1, "a", "*Reed v Calder*", "Reed"), (1, "b", "Lakes Inc. ", "Lakes")], "doc int, key string, cited string, short string")
+    got = {r.note: r.text for r in plan.rendered_notes(plan.citation_plan(notes, mentions), sources).collect()}
+    assert got == {1: "*Reed v Calder*, 5 (‘Reed’).", 2: "Ibid.", 3: "See ibid 9; Lakes Inc.  (‘Lakes’).", 4: "Reed (n 1).", 5: "Lakes (n 3) 2."}
+
+
 def test_unify_equals_a_fold_in_order(spark):
     rng = random.Random(5)
     rows = [(g, i, *(rng.choice([None, None, "a", "b"]) for _ in range(3))) for g in range(30) for i in range(rng.randrange(1, 9))]
