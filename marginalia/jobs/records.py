@@ -90,11 +90,20 @@ def canonical_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def interval_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Per line item: how many other spans of its order overlap its own, half open."""
-    spans = table(spark, sf_dir, "lineitem").select("l_orderkey", F.col("l_linenumber").cast("double").alias("a"), (F.col("l_linenumber") + F.col("l_quantity")).alias("b"))
-    orders = spans.groupBy("l_orderkey").agg(F.collect_list(F.struct("a", "b")).alias("spans"))
-    counted = F.transform("spans", lambda s: F.struct(s["a"].alias("a"), s["b"].alias("b"), (F.size(F.filter("spans", lambda o: (o["a"] < s["b"]) & (s["a"] < o["b"]))) - 1).alias("n")))
-    return orders.select("l_orderkey", F.explode(counted).alias("s")).select("l_orderkey", "s.a", "s.b", F.col("s.n").alias("overlaps"))
+    """Per line item: how many other spans of its order overlap its own, half open: those that start before its end, without those that end by its start.
+
+    One sweep over the sorted ends of an order's spans; no span meets another one."""
+    spans = table(spark, sf_dir, "lineitem").select("l_orderkey", F.col("l_linenumber").cast("double").alias("a"), (F.col("l_linenumber") + F.col("l_quantity")).cast("double").alias("b"))
+    # Equal spans have equal counts, so they go through the sweep once, with their number.
+    once = spans.groupBy("l_orderkey", "a", "b").agg(F.count(F.lit(1)).alias("m"))
+    # At one place: what asks for starts before it, ends, what asks for ends up to it, starts.
+    points = (("b", 0, "asks_b"), ("b", 1, "end"), ("a", 2, "asks_a"), ("a", 3, "start"))
+    marks = F.array(*[F.struct(F.col(at).alias("at"), F.lit(rank).alias("rank"), F.lit(kind).alias("kind")) for at, rank, kind in points])
+    swept = W.partitionBy("l_orderkey").orderBy("p.at", "p.rank").rowsBetween(W.unboundedPreceding, W.currentRow)
+    seen = lambda kind: F.sum(F.when(F.col("p.kind") == kind, F.col("m")).otherwise(0)).over(swept)
+    rows = once.select("*", F.explode(marks).alias("p")).withColumns({"starts": seen("start"), "ends": seen("end")})
+    counted = rows.groupBy("l_orderkey", "a", "b", "m").agg((F.max(F.when(F.col("p.kind") == "asks_b", F.col("starts"))) - F.max(F.when(F.col("p.kind") == "asks_a", F.col("ends"))) - 1).cast("int").alias("overlaps"))
+    return counted.select("l_orderkey", "a", "b", "overlaps", F.explode(F.sequence(F.lit(1).cast("long"), F.col("m"))).alias("_n")).drop("_n")
 
 
 def _records(spark: SparkSession, sf_dir: str) -> DataFrame:

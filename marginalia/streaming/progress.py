@@ -57,7 +57,9 @@ def fold_progress(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def first_deliveries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Purchases per day from a stream that delivers every event twice."""
+    """Purchases per day from a stream that delivers every event twice.
+
+    State is kept for 60 days of event time; an event that comes more than that after a later one counts as too late and is left out."""
     folder = new_folder(spark, "deliveries")
     columns = ["event_id", "ts", "event_type"]
     twice = _stream(spark, sf_dir).select(*columns).unionByName(_stream(spark, sf_dir).select(*columns)).where("event_type = 'purchase'")

@@ -126,7 +126,7 @@ def test_rendering(spark):
         row = {**base, "authors": None, **f}
         return spark.createDataFrame([tuple(row.values())], schema).select(render.full(bibliography).alias("x")).first().x
 
-    assert shown(type="case", name="Ash v Birch", year="2009", volume="174", report="FCR", starting_page="268") == "*Ash v Birch* (2009) 174 FCR 268"
+    assert shown(type="case", name="Ash v Birch", year="1987", volume="31", report="HLR", starting_page="59") == "*Ash v Birch* (1987) 31 HLR 59"
     assert shown(type="case", name="Ash v Birch", year="2012", court_id="HCA", judgment_number="7", pinpoint="[3]") == "*Ash v Birch* [2012] HCA 7, [3]"
     assert shown(type="case", name="A v B") == "*A v B* [MISSING: case citation (report or court details)]"
     assert shown(type="legislation", kind="act", title="Forest Act", year="1958", jurisdiction="Vic", pinpoint="s 3") == "*Forest Act 1958* (Vic) s 3"
