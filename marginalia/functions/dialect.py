@@ -47,6 +47,14 @@ class Spark:
     def holds(self, array: str, x: str) -> str:
         return f"array_contains({array}, {x})"
 
+    def minus(self, a: str, b: str) -> str:
+        """Of distinct elements those that b has not."""
+        return f"array_except({a}, {b})"
+
+    def common(self, a: str, b: str) -> str:
+        """How many elements of a, repeated or not, b has: 0 or more."""
+        return f"size(array_intersect({a}, {b}))"
+
     def once(self, array: str) -> str:
         """Distinct elements in order of first mention."""
         return f"array_distinct({array})"
@@ -121,6 +129,12 @@ class Duck(Spark):
     def holds(self, array: str, x: str) -> str:
         return f"list_contains({array}, {x})"
 
+    def minus(self, a: str, b: str) -> str:
+        return f"list_filter({a}, lambda m: NOT list_contains({b}, m))"
+
+    def common(self, a: str, b: str) -> str:
+        return f"len(list_intersect({a}, {b}))"
+
     def once(self, array: str) -> str:
         return self.let(array, lambda a: f"list_filter({a}, lambda o, i: list_position({a}, o) = i)", "all_of")
 

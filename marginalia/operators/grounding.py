@@ -62,9 +62,10 @@ def missing(d: Spark, original: str, made: str) -> str:
     """Meaningful words of the original that what was made of it lacks; the halves of a word that was written as one count as held."""
 
     def gone(of: str, held: str) -> str:
+        joined = d.each(d.neighbours(of), lambda p: f"{p}.a || {p}.b", "p")
         halves = d.flat(d.each(d.keep(d.neighbours(of), lambda p: d.holds(held, f"{p}.a || {p}.b"), "p"), lambda p: d.array([f"{p}.a", f"{p}.b"]), "p"))
-        lacks = lambda w, half: f"NOT {d.holds(held, w)} AND NOT {d.holds(half, w)} AND NOT ({is_number(d, w)} AND {d.holds(held, _bare(d, w))})"
-        return d.let(halves, lambda half: d.keep(meaningful(d, of), lambda w: lacks(w, half), "w"), "half")
+        lacked = d.keep(d.minus(meaningful(d, of), held), lambda w: f"NOT ({is_number(d, w)} AND {d.holds(held, _bare(d, w))})", "w")
+        return f"CASE WHEN {d.common(joined, held)} = 0 THEN {lacked} ELSE {d.minus(lacked, halves)} END"
 
     held = d.let(words(d, made), lambda m: captured(d, made, m), "of_made")
     return d.let(words(d, original), lambda of: d.let(held, lambda h: gone(of, h), "held"), "of_original")
