@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marginalia.llm import decontaminate, html_extract, mixing, ngram_join, pii, repetition, secret_scan, token_files, toxicity, url_templates
+from marginalia.llm import byte_bpe, decontaminate, html_extract, mixing, ngram_join, pii, repetition, secret_scan, token_alignment, token_files, toxicity, url_templates, whitening
 from marginalia.sources.tables import table
 
 #: Weights of the production mix: domains and languages by name, sources alike.
@@ -27,10 +27,20 @@ URL_RULES = (
 )
 
 
+def vocabulary_path(name: str) -> str:
+    import public_tokenizers
+
+    return str(public_tokenizers.path(name))
+
+
 def tokenizer_path() -> str:
+    return vocabulary_path("word_bpe_49k.json")
+
+
+def word_pattern() -> str:
     import public_tokenizers
 
-    return str(public_tokenizers.path("word_bpe_49k.json"))
+    return str(public_tokenizers.PATTERN)
 
 
 def op1_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -73,6 +83,18 @@ def op10_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repetition.repetition_quality(table(spark, sf_dir, "documents"))
 
 
+def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_alignment.alignment_digest(table(spark, sf_dir, "documents"), vocabulary_path("byte_bpe_50k.json"), vocabulary_path("piece_bpe_32k.model"))
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whitened_components(table(spark, sf_dir, "embeddings"))
+
+
+def op13_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return byte_bpe.bpe_digest(table(spark, sf_dir, "documents"), vocabulary_path("byte_bpe_multi_50k.tiktoken"), word_pattern())
+
+
 QUERIES = {
     "op1_token_files": op1_token_files,
     "op2_pii": op2_pii,
@@ -84,6 +106,9 @@ QUERIES = {
     "op8_toxicity": op8_toxicity,
     "op9_decontamination": op9_decontamination,
     "op10_repetition": op10_repetition,
+    "op11_token_alignment": op11_token_alignment,
+    "op12_whitening": op12_whitening,
+    "op13_byte_bpe": op13_byte_bpe,
 }
 
 
