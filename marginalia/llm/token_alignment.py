@@ -38,9 +38,9 @@ from pyspark.sql import functions as F
 from marginalia.llm import chunks as C
 from marginalia.workspace import written
 
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 4 << 20
 #: Documents of a container (places have 16 bits), and entries that a task holds before it closes one.
-CONTAINER, ENTRIES = 1 << 16, 4 << 20
+CONTAINER, ENTRIES = 1 << 16, 1 << 20
 MOST_BROADCAST = 1_000_000
 _DENSE = 0x80
 
@@ -186,7 +186,7 @@ class Aligner:
     def of_worker(left: str, right: str) -> Aligner:
         return Aligner(left, right)
 
-    def __init__(self, left: str, right: str, most_chunks: int = 600_000) -> None:
+    def __init__(self, left: str, right: str, most_chunks: int = 250_000) -> None:
         self.left, self.right = _tokenizers(left, right)
         self.a, self.b = _spellings(left, right)
         self.by_chunk = self.left.by_chunk and self.right.by_chunk
