@@ -17,13 +17,14 @@ those items that such windows alone could contaminate by; the others are brought
 their windows count. So what many items have in common does not pair every document with every item, and nothing is lost. Windows with fewer than `min_literals` literals
 (arithmetic, tables) say too little as templates; they are compared as they stand, numbers included, and count
 towards the coverage of all windows of the item, so that any verbatim copy is found. Items without tokens are never
-found; items shorter than a window count as one window, so an item of one token is found wherever that token stands. Null and empty texts are clean. Repeated items and repeated
+found; items shorter than a window count as one window. Items of fewer than `least_words` words and numbers say too little to be found: they contaminate nothing and `unsearchable_items` lists them. Null and empty texts are clean. Repeated items and repeated
 documents are judged each on its own. Texts of any length are read whole. Columns of other names do not matter. Empty
 tables give an empty result, and an empty benchmark contaminates nothing.
 """
 
 from __future__ import annotations
 
+from bisect import bisect_left, bisect_right
 from collections import Counter, defaultdict
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
@@ -57,6 +58,7 @@ _LOWER[65:91] += 32
 class TemplateRules:
     window: int = 8
     min_literals: int = 4
+    least_words: int = 4
     coverage: float = 0.4
     consistent: float = 0.8
     run: int = 13
@@ -146,7 +148,7 @@ class Indexed:
 def index_item(item_id: int, text: str | None, rules: TemplateRules) -> Indexed:
     t = canonical([text])
     n = min(rules.window, len(t.shape))
-    if not n:
+    if len(t.shape) < rules.least_words:
         none = np.zeros(0, np.int64)
         return Indexed(item_id, t.value, t.slot, none.astype(np.uint64), none, 0, 0, 0)
     h, at, kind = _specific_windows(t, n, min(n, rules.min_literals))
@@ -292,16 +294,21 @@ def _occurrences(hits: list[Hit]) -> list[list[Hit]]:
         else:
             near.append(list(by_place[d]))
         last = d
-    chains: list[list] = []  # last place in the item, hits
+    # Each group goes on with the chain that stopped last before it; `stops` is in order, chains stand beside it.
+    stops: list[int] = []
+    chains: list[list[Hit]] = []
     for group in sorted(near, key=min):
         first, stop = min(q for _, q, _, _ in group), max(q for _, q, _, _ in group)
-        open_ = [c for c in chains[-8:] if c[0] < first]
-        if open_:
-            best = max(open_, key=lambda c: c[0])
-            best[0], best[1] = stop, best[1] + group
-        else:
-            chains.append([stop, list(group)])
-    return [*by_place.values(), *near, *(c[1] for c in chains)]
+        at = bisect_left(stops, first) - 1
+        chain = []
+        if at >= 0:
+            del stops[at]
+            chain = chains.pop(at)
+        chain += group
+        at = bisect_right(stops, stop)
+        stops.insert(at, stop)
+        chains.insert(at, chain)
+    return [*by_place.values(), *near, *chains]
 
 
 def _runs(hits: list[Hit], words: int) -> list[list[Hit]]:
@@ -342,6 +349,19 @@ def benchmark_blocks(benchmark: DataFrame, id_col: str, text_col: str, rules: Te
         yield assemble([Indexed(r["id"], read(r["value"], np.uint64), read(r["slot"], np.int8), read(r["hashes"], np.uint64), read(r["places"], np.int64), r["length"], r["templates"], r["total"]) for r in got], rules)
 
 
+def unsearchable_items(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text", rules: TemplateRules = TemplateRules()) -> DataFrame:
+    """The items that are too short to be searched for: id and number of words."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part, texts in parts(batch, 1):
+                words = [len(canonical([text]).shape) for text in texts]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(words, pa.int64())], names=[id_col, "words"])
+
+    rows = benchmark.select(F.col(id_col).cast("long").alias(id_col), F.col(text_col).alias("_text"))
+    return rows.mapInArrow(count, f"`{id_col}` bigint, words bigint").where(F.col("words") < rules.least_words)
+
+
 def find_contamination(
     docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", rules: TemplateRules = TemplateRules()
 ) -> DataFrame:

@@ -11,8 +11,10 @@ the budget ends, and only that bucket (1/4096 of a leaf) is sorted, for one cut
 then a map over the rows with a broadcast table of leaves, whose size is checked.
 
 Tokens are words, runs of characters other than 0x20 and 0x09-0x0D. Null domain, language or source count
-as ''; a null text has no tokens. Rows of one id stand together in the order. Integer division loses less
-than one token a child. A node whose children all have weight 0 passes nothing on.
+as ''; a null text has no tokens, a text of any length is counted whole. Rows of one id stand together in the order, and
+rows of equal order and id by their tokens; equal needs among siblings are filled by name. Integer division loses less
+than one token a child. A node whose children all have weight 0 passes nothing on. An empty table gives an empty
+result. Other columns, whatever their names, go along untouched.
 """
 
 from __future__ import annotations
@@ -44,9 +46,11 @@ class Mix:
 
 
 def source_domain(source: Column) -> Column:
-    """The domain of a source, by its number: src0, src3, ... web; src1, src4, ... books; src2, src5, ... forums."""
+    """The domain of a source, by its number, however long: src0, src3, ... web; src1, src4, ... books; src2, src5, ... forums."""
     number = F.regexp_extract(F.coalesce(source, F.lit("")), "([0-9]+)$", 1)
-    return F.when(number == "", "other").otherwise(F.element_at(F.array(*map(F.lit, ("web", "books", "forums"))), (number.cast("int") % 3 + 1)))
+    # A number and the sum of its digits leave the same when divided by three.
+    digits = F.aggregate(F.split(number, ""), F.lit(0), lambda total, digit: (total + F.coalesce(digit.try_cast("int"), F.lit(0))) % 3)
+    return F.when(number == "", "other").otherwise(F.element_at(F.array(*map(F.lit, ("web", "books", "forums"))), digits + 1))
 
 
 def _leaf_columns(domain: Column, lang: str, source: str) -> list[Column]:
@@ -129,8 +133,7 @@ def _bounded_broadcast(leaves: DataFrame) -> DataFrame:
 
 def apply_mix(docs: DataFrame, plan: DataFrame, domain: Column, mix: Mix, id_col: str = "doc_id", lang_col: str = "lang", source_col: str = "source") -> DataFrame:
     """docs with the columns domain, language, source_name, epoch; a row for each epoch that takes it. A map over docs."""
-    columns = [F.col(f"d.{c}") for c in docs.columns]
-    marked = docs.alias("d").select(F.struct(*columns).alias("row"), *_leaf_columns(domain, lang_col, source_col), F.col(f"d.{id_col}").alias("_id"))
+    marked = docs.select(F.struct("*").alias("row"), *_leaf_columns(domain, lang_col, source_col), F.col(id_col).alias("_id"))
     leaf = ["domain", "language", "source_name"]
     joined = marked.join(_bounded_broadcast(plan.select(*leaf, "whole", "cut")), leaf)
     taken = F.when(F.col("cut").isNotNull() & (_order(F.col("_id"), F.col("whole"), mix.seed) <= F.col("cut")), 1).otherwise(0)

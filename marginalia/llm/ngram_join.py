@@ -438,7 +438,7 @@ def _neighbour_units(docs: DataFrame, sim: Similarity) -> DataFrame:
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sim: Similarity = Similarity()) -> DataFrame:
     """The rows of docs without those whose component has a lesser id, with all their columns. Rows of one id are one document and stay together."""
     found = ngram_components(docs, id_col, text_col, sim)
-    gone = written(found.where(F.col(id_col) > F.col("component_id")).select(id_col).distinct(), "copies")
+    gone = written(found.where(F.col(id_col) > F.col("component_id")).select(F.col(id_col).alias("gone_id")).distinct(), "copies")
     if gone.count() <= MAX_BROADCAST_IDS:
         gone = F.broadcast(gone)
-    return docs.join(gone, id_col, "left_anti").select(*docs.columns)
+    return docs.join(gone, docs[id_col] == gone["gone_id"], "left_anti")

@@ -1,6 +1,7 @@
 """Secret scans: fixed patterns, and a battery of randomness tests on every token that may be a key.
 
-A candidate token's encoding is the smallest alphabet that holds its characters (hex, letters of one case,
+Candidates are runs of key characters, cut at "=", whole and in their parts between "/" and other joins; of those found inside one
+another the strongest stays. A candidate's encoding is the smallest alphabet that holds its characters (hex, letters of one case,
 base32, base36 of one case, letters, base62, base64). Three tests ask whether its characters are uniform draws from that
 alphabet: chi-squared over cells of the alphabet, runs about the median, serial correlation. For a key their p-values are
 uniform; for ordinary text they crowd near 0, with density `crowding` * p ** (crowding - 1). A text model of
@@ -11,14 +12,16 @@ p-values go through a Benjamini-Hochberg step whose weights grow with the token'
 stronger evidence and a text with many candidates does not collect chance finds.
 
 Null and empty texts have no spans; a text of any length is read whole, in time that grows with its length (times its
-logarithm). Each row is judged on its own, repeated rows alike. Other columns of the table are not used.
+logarithm). Each row is judged on its own, repeated rows alike. Other columns of the table are not used; an empty table gives an
+empty result.
 """
 
 from __future__ import annotations
 
 import math
 import re
-from collections.abc import Sequence
+from bisect import bisect_left
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
@@ -31,6 +34,7 @@ _ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
 _HEX = re.compile(r"(?<![0-9a-f])[0-9a-f]{24,}")
 _KEYWORD = re.compile(r"(?ai)passw|secret|token|api_?key")
 _CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{16,}")
+_VALUE, _SEGMENT, _PART = re.compile(r"[^=]+"), re.compile(r"[^/=]+"), re.compile(r"[A-Za-z0-9]+")
 
 
 @dataclass(frozen=True)
@@ -132,18 +136,34 @@ def battery_ratio(tests: Sequence[float], crowding: float) -> float:
     return sum(math.log(crowding) + (crowding - 1) * math.log(max(p, 1e-12)) for p in tests)
 
 
+def candidates(text: str, least: int) -> Iterator[tuple[int, str]]:
+    """Where each token that may be a key starts, and the token: runs of key characters without padding, and their parts.
+
+    A run is cut at "=" (names and values of settings and URLs) and each piece is a candidate; so are the parts of a piece between "/",
+    and the parts of these between other joins, since a path, a prefix or a name may stand before a key.
+    """
+    for m in _CANDIDATE.finditer(text):
+        for piece in _VALUE.finditer(text, m.start(), m.end()):
+            seen = set()
+            for cut in (None, _SEGMENT, _PART):
+                for part in (piece,) if cut is None else cut.finditer(text, piece.start(), piece.end()):
+                    body = part.group().strip("-_/+")
+                    start = part.start() + part.group().index(body)
+                    if len(body) >= least and (start, len(body)) not in seen:
+                        seen.add((start, len(body)))
+                        yield start, body
+
+
 def random_tokens(text: str, rules: RandomnessRules) -> list[Span]:
     tried: list[tuple[float, float, Span]] = []
-    for m in _CANDIDATE.finditer(text):
-        body = m.group().rstrip("=").strip("-_/+")
-        if len(body) < rules.least_length or body.isdigit() or not (characters := _encoding(body)):
+    for start, body in candidates(text, rules.least_length):
+        if body.isdigit() or not (characters := _encoding(body)):
             continue
         size = len(characters)
         log_p = text_ratio(body, size)
         if log_p + 3 * math.log(rules.crowding) < 0:  # else even the best battery is not enough
             log_p += battery_ratio(uniformity(_values(body, characters), size), rules.crowding)
         p = math.exp(min(0.0, log_p))
-        start = m.start() + m.group().index(body)
         tried.append((p, len(body) / rules.even_length, ("random", start, start + len(body))))
     if not tried:
         return []
@@ -151,7 +171,13 @@ def random_tokens(text: str, rules: RandomnessRules) -> list[Span]:
     scale = max(1.0, mean)  # weights average at most 1: short tokens lose, long ones gain only at their cost
     ranked = sorted((p / (w / scale), s) for p, w, s in tried)
     last = max((i for i, (q, _) in enumerate(ranked, 1) if q <= rules.alpha * i / len(ranked)), default=0)
-    return [s for _, s in ranked[:last]]
+    # Of candidates inside one another the strongest stays.
+    kept: list[Span] = []
+    for _, span in ranked[:last]:
+        at = bisect_left(kept, span[1], key=lambda s: s[1])
+        if (at == 0 or kept[at - 1][2] <= span[1]) and (at == len(kept) or span[2] <= kept[at][1]):
+            kept.insert(at, span)
+    return kept
 
 
 def secrets_in(text: str, rules: RandomnessRules = RandomnessRules()) -> tuple[list[Span], list[Span]]:

@@ -211,32 +211,32 @@ def _contexts(rows: DataFrame) -> DataFrame:
     return rows.select("text").mapInArrow(places, "level tinyint, key bigint, place bigint").distinct().groupBy("level", "key").agg(F.count(F.lit(1)).alias("places"))
 
 
-def _log_odds(level: int, rate: float, rules: ToxicityRules) -> Column:
-    """Of columns t0, n0 (shortest beginning) to those of level."""
-    a, b = F.lit(rules.prior * rate), F.lit(rules.prior * (1 - rate))
-    for k in range(level + 1):
-        t, n = F.col(f"t{k}"), F.col(f"n{k}")
-        if k < level:  # texts of other words only
-            t, n = F.greatest(t - F.col(f"t{k + 1}"), F.lit(0)), F.greatest(n - F.col(f"n{k + 1}"), F.lit(0))
-        if k:
-            share = F.least(F.lit(rules.beginning_share), rules.beginning_weight / F.greatest(a + b, F.lit(1.0)))
-            a, b = share * a + rules.prior * rate, share * b + rules.prior * (1 - rate)
-        a, b = a + t, b + n
+def _log_odds(a: Column, b: Column, rate: float, rules: ToxicityRules) -> Column:
+    """Of texts with (a, prior included) and without the label to their log-odds, less what chance explains."""
     value = F.log(a / b) - math.log(rate / (1 - rate))
     return F.signum(value) * F.greatest(F.abs(value) - rules.errors * F.sqrt(1 / a + 1 / b), F.lit(0.0))
 
 
 def _scores(counts: DataFrame, rate: float, rules: ToxicityRules) -> DataFrame:
-    """level, key, score of each word and beginning whose score differs from that of the level above."""
-    out, chain = None, None
+    """level, key, score of each word and beginning whose score differs from that of the level above.
+
+    Each level is a written table (of no more rows than the drawn texts have words) with the prior (a, b) that the level above
+    hands down: what its other texts say, within a bounded weight.
+    """
+    prior = rules.prior * rate, rules.prior * (1 - rate)
+    out, above = None, None
     for level in range(WORD + 1):
-        own = counts.where(F.col("level") == level).select("key", "above", F.col("toxic").alias(f"t{level}"), F.col("clean").alias(f"n{level}"))
-        if chain is None:
-            chain, other = own.drop("above"), F.lit(0.0)
+        own = counts.where(F.col("level") == level).select("key", "above", F.col("toxic").alias("t"), F.col("clean").alias("n"))
+        if above is None:
+            own = own.select("key", "t", "n", F.lit(prior[0]).alias("a"), F.lit(prior[1]).alias("b"), F.lit(0.0).alias("other"))
         else:
-            chain = own.join(chain.withColumnRenamed("key", "above"), "above").drop("above")
-            other = _log_odds(level - 1, rate, rules)
-        scored = chain.select(F.lit(level).alias("level"), "key", _log_odds(level, rate, rules).alias("score"), other.alias("other")).where("abs(score - other) > 1e-9").drop("other")
+            theirs = above.select(F.col("key").alias("above"), F.col("t").alias("t_above"), F.col("n").alias("n_above"), F.col("a").alias("a_above"), F.col("b").alias("b_above"), F.col("score").alias("other"))
+            others = lambda c: F.col(f"{'a' if c == 't' else 'b'}_above") + F.greatest(F.col(f"{c}_above") - F.col(c), F.lit(0))
+            joined = own.join(theirs, "above").select("key", "t", "n", others("t").alias("a"), others("n").alias("b"), "other")
+            share = F.least(F.lit(rules.beginning_share), rules.beginning_weight / F.greatest(F.col("a") + F.col("b"), F.lit(1.0)))
+            own = joined.withColumn("share", share).select("key", "t", "n", (F.col("share") * F.col("a") + prior[0]).alias("a"), (F.col("share") * F.col("b") + prior[1]).alias("b"), "other")
+        above = written(own.withColumn("score", _log_odds(F.col("a") + F.col("t"), F.col("b") + F.col("n"), rate, rules)), "toxicity-level")
+        scored = above.select(F.lit(level).alias("level"), "key", "score", "other").where("abs(score - other) > 1e-9").drop("other")
         out = scored if out is None else out.unionByName(scored)
     return out
 

@@ -1,4 +1,5 @@
 import hashlib
+import re
 from collections import Counter, defaultdict
 
 from pyspark.sql import functions as F
@@ -77,3 +78,17 @@ def test_repeated_rows_and_empty_table(spark, docs):
     df = docs([(1, "a b c"), (1, "a b c"), (None, None)])
     assert {r.doc_id for r in mix_selection(df, source_domain(F.col("source")), Mix()).collect()} >= {1}
     assert mix_selection(df.limit(0), source_domain(F.col("source")), Mix()).count() == 0
+
+
+def test_odd_sources(spark):
+    names = ["src0", "src99999999999", "12345678901234567890123", "x٣", "", None, "src1x"]
+    df = spark.createDataFrame([(s,) for s in names], "source string")
+    got = [r[0] for r in df.select(source_domain(F.col("source"))).collect()]
+    assert got == [("web", "books", "forums")[int(m.group()) % 3] if (m := re.search("[0-9]+$", s or "")) else "other" for s in names]
+
+
+def test_other_columns_keep_their_names(spark):
+    rows = [(k, "some words here", "en", f"src{k % 3}", "x", "y", 1) for k in range(9)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, `a.b` string, `row` string, `d``e` int")
+    assert mix_documents(df, source_domain(F.col("source")), MIX).columns == df.columns
+    assert mix_documents(df.limit(0), source_domain(F.col("source")), MIX).count() == 0

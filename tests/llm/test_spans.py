@@ -1,12 +1,15 @@
 import hashlib
+import math
 import random
 import re
 import string
 import time
 
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+from marginalia.llm import secret_scan
 from marginalia.llm.pii import _AT_HINT, _DIGIT_WORDS, _SPELLED_HINT, Mapped, detect, identifier_digest, identifiers_in, luhn, spell_digits, write_signs
 from marginalia.llm.secret_scan import secret_digest, secrets_in
 
@@ -226,3 +229,56 @@ def test_tables(spark, docs):
     s = {r.doc_id: r for r in secret_digest(df).collect()}
     assert s[4].n_assign == 1 and s[4].spans == "assign:0:13" and s[1].spans == ""
     assert identifier_digest(df.limit(0)).count() == secret_digest(df.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("context", ["auth={} x", "https://h.example.com/cb?key={}&a=1", "https://h.example.com/api/v1/{}", '{{"value":"{}"}}', "Authorization: Bearer {}", "v={}==", "sk_live_{}"])
+@pytest.mark.parametrize("characters", ["0123456789abcdef", string.ascii_uppercase, string.ascii_lowercase, string.ascii_lowercase + string.digits, string.ascii_letters + string.digits])
+def test_recall_of_random_keys_in_context(context, characters):
+    draw = random.Random(6)
+    found = 0
+    for _ in range(200):
+        key = "".join(draw.choices(characters, k=24))
+        text = context.format(key)
+        at = text.index(key)
+        found += any(a <= at + 1 and b >= at + 23 for _, a, b in secrets_in(text)[1])
+    assert found >= 180
+
+
+def plain_random_tokens(text, rules):
+    """All substrings between joins, and the false-discovery step by trying every number of discoveries."""
+    pieces = set()
+    for m in re.finditer(r"[A-Za-z0-9+/_=-]+", text):
+        if len(m.group()) < 16:
+            continue
+        for value in re.finditer("[^=]+", m.group()):
+            for part in [value, *re.finditer("[^/]+", value.group()), *re.finditer("[A-Za-z0-9]+", value.group())]:
+                start = m.start() + value.start() + (part.start() if part is not value else 0)
+                body = part.group()
+                left = len(body) - len(body.lstrip("-_/+"))
+                body = body.strip("-_/+")
+                pieces.add((start + left, body))
+    tried = []
+    for start, body in pieces:
+        characters = secret_scan._encoding(body)
+        if len(body) >= rules.least_length and not body.isdigit() and characters:
+            log_p = secret_scan.text_ratio(body, len(characters)) + secret_scan.battery_ratio(secret_scan.uniformity(secret_scan._values(body, characters), len(characters)), rules.crowding)
+            tried.append((min(1.0, math.exp(min(0.0, log_p))), len(body) / rules.even_length, start, start + len(body)))
+    scale = max([1.0, sum(w for _, w, _, _ in tried) / len(tried)]) if tried else 1.0
+    discoveries = 0
+    for k in range(1, len(tried) + 1):
+        if sum(p * scale / w <= rules.alpha * k / len(tried) for p, w, _, _ in tried) >= k:
+            discoveries = k
+    chosen = sorted((p * scale / w, a, b) for p, w, a, b in tried)[:discoveries]
+    kept = []
+    for _, a, b in chosen:
+        if all(b <= c or a >= d for c, d in kept):
+            kept.append((a, b))
+    return sorted(kept)
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.one_of(st.sampled_from(["auth=", "a/b/", " word ", "==", "-", "/", "=", "thequickbrownfoxjumpsover", "sk_live_"]), st.text(alphabet=string.ascii_letters + string.digits + "+/", min_size=16, max_size=40)), max_size=10))
+def test_battery_and_false_discovery_step_equal_a_plain_version(parts):
+    rules = secret_scan.RandomnessRules()
+    text = "".join(parts)
+    assert [(a, b) for _, a, b in secret_scan.random_tokens(text, rules)] == plain_random_tokens(text, rules)
