@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from marginalia.jobs import citations, lifecycles, records, rendering, sources, texts
+from marginalia.jobs import citations, lifecycles, paragraphs, records, rendering, sources, texts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
-for _module in (citations, texts, records, rendering, sources, lifecycles):
+for _module in (citations, texts, records, rendering, sources, paragraphs, lifecycles):
     QUERIES |= _module.QUERIES
     ORACLE_SQL |= _module.ORACLE_SQL

@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from marginalia.functions.text import norm_key
-from marginalia.operators import plan, sequences, unify, verify
+from marginalia.operators import plan, pointers, sequences, unify, verify
 from marginalia.sources.tables import table
 
 
@@ -61,19 +61,11 @@ def wildcard_unify(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def style_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The nearest explicit flag up a chain of parents (part key div 7), by joins on ever farther ancestors."""
+    """The nearest explicit flag up a chain of parents (part key div 7), by doubling."""
     nodes = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.when(F.col("p_partkey") >= 7, F.floor(F.col("p_partkey") / 7).cast("long")).alias("parent"), F.when(F.col("p_size") % 5 == 0, F.col("p_size") % 2 == 0).alias("flag"))
-    found = nodes.select("id", F.col("parent").alias("up"), "flag", F.when(F.col("flag").isNotNull(), 0).alias("depth"))
-    # Parents are a seventh of their child, so 2**63 ends after 23 steps; the number of keys bounds them here.
-    steps = 1
-    largest = nodes.agg(F.max("id").alias("m")).first()["m"] or 0
-    while largest >= 7**steps:
-        steps += 1
-    for depth in range(1, steps + 1):
-        above = nodes.select(F.col("id").alias("up"), F.col("parent").alias("_next"), F.col("flag").alias("_flag"))
-        joined = found.join(above, "up", "left")
-        found = joined.select("id", F.col("_next").alias("up"), F.coalesce("flag", "_flag").alias("flag"), F.coalesce("depth", F.when(F.col("_flag").isNotNull(), depth)).alias("depth"))
-    return found.select("id", "flag", "depth")
+    found = pointers.ends(nodes.withColumn("flagged", F.col("flag").isNotNull()), ["id"], ["parent"], "flagged")
+    flags = nodes.select(F.col("id").alias("end_id"), "flag")
+    return found.join(flags, "end_id", "left").select("id", "flag", F.col("steps").cast("int").alias("depth"))
 
 
 def canonical_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
