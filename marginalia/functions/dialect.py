@@ -55,6 +55,10 @@ class Spark:
         """How many elements of a, repeated or not, b has: 0 or more."""
         return f"size(array_intersect({a}, {b}))"
 
+    def both(self, a: str, b: str) -> str:
+        """Distinct elements of a that b has."""
+        return f"array_intersect({a}, {b})"
+
     def once(self, array: str) -> str:
         """Distinct elements in order of first mention."""
         return f"array_distinct({array})"
@@ -135,6 +139,9 @@ class Duck(Spark):
     def common(self, a: str, b: str) -> str:
         return f"len(list_intersect({a}, {b}))"
 
+    def both(self, a: str, b: str) -> str:
+        return f"list_intersect({a}, {b})"
+
     def once(self, array: str) -> str:
         return self.let(array, lambda a: f"list_filter({a}, lambda o, i: list_position({a}, o) = i)", "all_of")
 

@@ -104,23 +104,32 @@ def ordinal(x: str, after: str) -> str:
 # ---- pinpoints
 
 
+#: Numbers of more digits stay whole in spans.
+_SPAN_DIGITS = 12
+
+
 def _short_end(a: str, b: str) -> str:
     """The digits of b that differ from a, of the same length; two digits for a teen."""
     teen = f"substr({b}, length({b}) - 1, 1) = '1'"
-    tails = " ".join(f"WHEN substr({a}, 1, {k}) = substr({b}, 1, {k}) THEN CASE WHEN length({b}) = {k + 1} AND {teen} THEN substr({b}, {k}) ELSE substr({b}, {k + 1}) END" for k in range(5, 0, -1))
+    tails = " ".join(f"WHEN substr({a}, 1, {k}) = substr({b}, 1, {k}) THEN CASE WHEN length({b}) = {k + 1} AND {teen} THEN substr({b}, {k}) ELSE substr({b}, {k + 1}) END" for k in range(_SPAN_DIGITS - 1, 0, -1))
     return f"CASE {tails} ELSE {b} END"
 
 
 def pinpoints(d: Spark, pins: str = "pinpoints") -> str:
     """All pinpoints: a comma between those of one kind and after a volume or book, else a space. Made in steps, each of which looks at what the one before made."""
-    span = r"^([0-9]{1,6})–([0-9]{1,6})$"
+    span = rf"^([0-9]{{1,{_SPAN_DIGITS}}})–([0-9]{{1,{_SPAN_DIGITS}}})$"
+
+    def shortened(t: str) -> str:
+        """Of each span in a list the second number without the digits that it shares."""
+        a, b = d.group(t, span, 1), d.group(t, span, 2)
+        return f"CASE WHEN {a} <> '' AND length({a}) = length({b}) AND {a} < {b} THEN {d.let(d.array([a, b]), lambda of: f'{d.at(of, 1)} || {chr(39)}–{chr(39)} || {_short_end(d.at(of, 1), d.at(of, 2))}', 'of_span')} ELSE {t} END"
+
     bare = d.sub("x.v", r"^\[+|\]+$")
     keep = {"kind": "x.kind", "many": "x.many", "v": "x.v", "dashed": "x.dashed"}
     steps: list[dict[str, str]] = [
         {"kind": "x.kind", "many": "coalesce(x.plural, false)", "v": trimmed(d, "x.value")},
         {"kind": "x.kind", "many": "x.many", "v": "x.v", "dashed": d.sub(f"CASE WHEN x.kind = 'paragraph' THEN {bare} ELSE x.v END", "--?", "–")},
-        keep | {"a": d.group("x.dashed", span, 1), "b": d.group("x.dashed", span, 2)},
-        keep | {"span": f"CASE WHEN x.a <> '' AND length(x.a) = length(x.b) AND x.a < x.b THEN x.a || '–' || {_short_end('x.a', 'x.b')} ELSE x.dashed END"},
+        keep | {"span": d.join(d.each(d.all("x.dashed", r"[0-9.]+(?:–[0-9.]+)?|[^0-9.]+"), lambda t: shortened(t), "t"), "")},
     ]
     out = f"CASE x.kind WHEN 'page' THEN x.span WHEN 'footnote' THEN CASE WHEN x.v LIKE '% n %' THEN x.v ELSE 'n ' || x.v END"
     out += " WHEN 'paragraph' THEN '[' || CASE WHEN x.dashed LIKE '%]%' THEN x.dashed ELSE replace(x.dashed, '–', ']–[') END || ']'"

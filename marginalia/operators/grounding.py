@@ -63,7 +63,8 @@ def missing(d: Spark, original: str, made: str) -> str:
 
     def gone(of: str, held: str) -> str:
         joined = d.each(d.neighbours(of), lambda p: f"{p}.a || {p}.b", "p")
-        halves = d.flat(d.each(d.keep(d.neighbours(of), lambda p: d.holds(held, f"{p}.a || {p}.b"), "p"), lambda p: d.array([f"{p}.a", f"{p}.b"]), "p"))
+        # Few words are written as one, so looking through these for each pair of neighbours costs little.
+        halves = d.let(d.both(joined, held), lambda j: d.flat(d.each(d.keep(d.neighbours(of), lambda p: d.holds(j, f"{p}.a || {p}.b"), "p"), lambda p: d.array([f"{p}.a", f"{p}.b"]), "p")), "joined_words")
         lacked = d.keep(d.minus(meaningful(d, of), held), lambda w: f"NOT ({is_number(d, w)} AND {d.holds(held, _bare(d, w))})", "w")
         return f"CASE WHEN {d.common(joined, held)} = 0 THEN {lacked} ELSE {d.minus(lacked, halves)} END"
 

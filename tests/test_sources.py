@@ -183,3 +183,45 @@ def test_sources_and_pinpoints(spark):
     assert fixed("committee_evidence", "speaker", pins=[("page", "SL&C 12", False)], speaker="Ada Berg", judges="x") == ([("page", "12")], "Ada Berg")
     assert fixed("dictionary", "definition", pins=[("other", "(def 4)", False), ("page", "3", False)], title="D") == ([("page", "3")], "4")
     assert fixed("legal_encyclopedia", "volume", pins=[("volume", "12", False), ("page", "5", False)], title="L") == ([("paragraph", "5")], "12")
+
+
+@pytest.mark.parametrize(
+    ("written", "name"),
+    [
+        ("Regina v Smith", "R v Smith"),
+        ("Rex v. Doe", "R v Doe"),
+        ("Smith v Regina", "Smith v The Queen"),
+        ("Smith V The king", "Smith v The King"),
+        ("King v King", "King v King"),
+        ("Regina", "Regina"),
+        ("Smith v Jones No 2", "Smith v Jones [No 2]"),
+        ("Smith v Jones (No. 2)", "Smith v Jones [No 2]"),
+        ("Smith v Jones [no 3 and 4]", "Smith v Jones [No 3 and 4]"),
+        ("Reed VS Calder pty. ltd.", "Reed v Calder pty ltd"),
+        ("*‘Re  Wakim’*", "Re Wakim"),
+        ("Casino 2 v Reed", "Casino 2 v Reed"),
+        ("St. Ives v Reed", "St. Ives v Reed"),
+    ],
+)
+def test_names_of_cases(spark, written, name):
+    df = spark.createDataFrame([(written,)], "name string")
+    for step in normalise.case_name_steps(SPARK):
+        df = df.withColumns({k: F.expr(v) for k, v in step.items()})
+    assert df.first().name == name
+
+
+@pytest.mark.parametrize(
+    ("value", "text"),
+    [("20, 30-35", "20, 30–5"), ("5, 121-127", "5, 121–7"), ("312-313", "312–13"), ("215-219, 436-462", "215–19, 436–62"), ("1234567-1234589", "1234567–89"), ("99-101", "99–101"), ("35-30", "35–30"), ("1.5-1.9", "1.5–1.9"), ("10-20 and 30-31", "10–20 and 30–1")],
+)
+def test_lists_of_spans(spark, value, text):
+    df = source(spark, "book", [("page", value, False)]).withColumn("pinpoints", F.expr(formats.clean_pinpoints(SPARK)))
+    assert df.select(F.expr(formats.pinpoints(SPARK))).first()[0] == text
+
+
+@pytest.mark.parametrize(
+    ("written", "name"),
+    [("Ms Ada Berg, LLB, PhD", "Ada Berg"), ("Ada Berg O.A.M.", "Ada Berg"), ("Hon Ada Berg", "Hon Ada Berg"), ("Hon. Ada Berg", "Ada Berg"), ("The Hon Ada Berg AC QC", "Ada Berg"), ("Prof Berg", "Prof Berg"), ("Ada BA", "Ada BA"), ("Justice KM Hayne", "Justice KM Hayne"), ("Ada Berg Ph.D.", "Ada Berg")],
+)
+def test_persons(spark, written, name):
+    assert made(spark, "book", "authors", authors=[written]) == [name]
