@@ -10,6 +10,8 @@ a row is a note or a paragraph. Null texts have no spans; a null piece is not fo
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -20,6 +22,11 @@ SPACE = r"[\x{9}-\x{D}\x{1C}-\x{20}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}
 SPAN = "struct<start:int,end:int>"
 
 
+def _once(value: Column, rule: Callable[[Column], Column]) -> Column:
+    """A rule of a value that is made once."""
+    return F.element_at(F.transform(F.array(value), rule), 1)
+
+
 def _pattern(piece: Column) -> Column:
     """A regular expression for a piece without regard to the kind and number of spaces and the shape of quotes."""
     first = F.when(piece.rlike(f"^{SPACE}"), f"{SPACE}+").otherwise("")
@@ -35,22 +42,21 @@ def _pattern(piece: Column) -> Column:
 def forward_spans(text: Column, pieces: Column) -> Column:
     """For each piece its span (code points, end exclusive) or null."""
 
+    def found(state: Column, rest: Column, seen: Column, parts: Column) -> Column:
+        # Lengths of what stands before and behind the piece: in code points, as offsets of a match wouldn't be.
+        start = (state["cursor"] + F.length(rest) - F.length(seen) + F.length(parts[0])).cast("int")
+        end = (state["cursor"] + F.length(rest) - F.length(F.try_element_at(parts, F.lit(2)))).cast("int")
+        hit = F.coalesce(F.size(parts) == 2, F.lit(False))
+        span = F.struct(start.alias("start"), end.alias("end"))
+        return F.struct(F.when(hit, end).otherwise(state["cursor"]).alias("cursor"), F.concat(state["spans"], F.array(F.when(hit, span))).alias("spans"))
+
     def step(state: Column, piece: Column) -> Column:
         cursor = state["cursor"]
         plain = F.when(F.contains(text, F.lit("*")), piece).otherwise(F.replace(piece, F.lit("*"), F.lit("")))
-        rest = F.substr(text, cursor + 1)
         # Of a run of spaces only the first one can be taken, so what the last piece left of it is passed over.
         inside = (cursor > 0) & F.substr(text, F.greatest(cursor, F.lit(1)), F.lit(1)).rlike(SPACE)
-        passed = F.when(inside, F.length(rest) - F.length(F.regexp_replace(rest, f"^{SPACE}+", ""))).otherwise(0)
-        seen = F.substr(rest, passed + 1)
-        pattern = _pattern(plain)
-        # Lengths of what stands before and behind the piece: in code points, as offsets of a match wouldn't be.
-        parts = F.split(seen, pattern, 2)
-        found = F.coalesce(F.size(parts) == 2, F.lit(False))
-        start = (cursor + passed + F.length(parts[0])).cast("int")
-        end = (cursor + F.length(rest) - F.length(F.try_element_at(parts, F.lit(2)))).cast("int")
-        span = F.struct(start.alias("start"), end.alias("end"))
-        return F.struct(F.when(found, end).otherwise(cursor).alias("cursor"), F.concat(state["spans"], F.array(F.when(found, span))).alias("spans"))
+        behind = lambda rest: F.when(inside, F.regexp_replace(rest, f"^{SPACE}+", "")).otherwise(rest)
+        return _once(F.substr(text, cursor + 1), lambda rest: _once(behind(rest), lambda seen: _once(F.split(seen, _pattern(plain), 2), lambda parts: found(state, rest, seen, parts))))
 
     none = F.struct(F.lit(0).alias("cursor"), F.array().cast(f"array<{SPAN}>").alias("spans"))
     return F.when(text.isNotNull(), F.aggregate(pieces, none, step, lambda s: s["spans"]))
