@@ -178,3 +178,14 @@ class Duck(Spark):
 
 
 SPARK, DUCK = Spark(), Duck()
+
+
+def with_steps(name: str, query: str, steps: Sequence[dict[str, str]]) -> str:
+    """A chain of WITH parts for DuckDB: the query, then the columns of each step; the last part has the name."""
+    parts, known = [f"{name}0 AS ({query})"], set()
+    for i, step in enumerate(steps):
+        again = ", ".join(f"({x}) AS {c}" for c, x in step.items() if c in known)
+        more = "".join(f", {x} AS {c}" for c, x in step.items() if c not in known)
+        parts.append(f"{name if i == len(steps) - 1 else f'{name}{i + 1}'} AS (SELECT *{f' REPLACE ({again})' if again else ''}{more} FROM {name}{i})")
+        known |= set(step)
+    return ",\n".join(parts)

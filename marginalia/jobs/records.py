@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from marginalia.functions.dialect import DUCK, with_steps
 from marginalia.functions.text import norm_key
-from marginalia.operators import plan, pointers, sequences, unify, verify
+from marginalia.operators import names, plan, pointers, sequences, unify, verify
 from marginalia.sources.tables import table
 
 
@@ -123,11 +124,17 @@ def mnc_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     return verify.check_claims(claims, index, 1998).groupBy("court", "year", "outcome").agg(F.count(F.lit(1)).alias("n"))
 
 
+_PARTIES = "CASE p_partkey % 5 WHEN 0 THEN p_name || ' v ' || p_type WHEN 1 THEN 'Australian Competition & Consumer Commission v ' || p_name || ' Pty Ltd [No 3]' WHEN 2 THEN 'Re ' || p_name || '; Ex parte ' || p_brand WHEN 3 THEN 'AGS v ' || p_name ELSE p_name END"
+_CITED = "CASE p_partkey % 6 WHEN 0 THEN p_name || ' v The Queen' WHEN 1 THEN 'ACCC v ' || p_name WHEN 2 THEN p_name || ' v ' || p_type WHEN 3 THEN 'R v R' WHEN 4 THEN 'Alpine Glacier Society v ' || p_name ELSE 'Ex parte ' || p_brand || ' (No 2)' END"
+_DECIDED = {"court": "l_suppkey", "year": "CASE WHEN l_quantity <> 7 THEN CAST(year(l_shipdate) AS INT) END", "number": "CASE WHEN l_linenumber <> 5 THEN CAST(l_quantity AS INT) END", "title": _PARTIES}
+_ASKED = {"claim": "p_partkey", "court": "p_partkey % 100 + 1", "year": "CASE WHEN p_partkey % 50 <> 0 THEN CAST(1992 + p_size % 7 AS INT) END", "name": _CITED}
+
+
 def reported_band_match(spark: SparkSession, sf_dir: str) -> DataFrame:
-    records = _records(spark, sf_dir)
-    parts = table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_size")
-    claims = parts.select(F.col("p_partkey").alias("claim"), (F.col("p_partkey") % 100 + 1).alias("court"), (F.lit(1992) + F.col("p_size") % 7).cast("int").alias("year"), F.col("p_name").alias("name"))
-    return verify.banded_match(claims, records.select("court", "year", "number", "title"), "claim")
+    """Cases known by report only, found by their parties; some decisions have no year or number."""
+    lines, parts = table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "part")
+    records = lines.join(parts, F.col("l_partkey") == F.col("p_partkey")).selectExpr(*[f"{x} AS {c}" for c, x in _DECIDED.items()])
+    return names.party_match(parts.selectExpr(*[f"{x} AS {c}" for c, x in _ASKED.items()]), records, "claim")
 
 
 def year_mismatch(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -218,7 +225,12 @@ def _index(source: str) -> str:
 
 
 _COVER = "cv AS (SELECT court, year, count(*) AS n, max(number) AS last, count(*) >= 10 AND year < 1998 AND count(*) >= 0.85::DOUBLE * max(number) AS covered FROM ix GROUP BY court, year)"
-_WORDS = "list_distinct(regexp_extract_all(lower({x}), '[a-z]+'))"
+
+
+def _columns(of: dict[str, str]) -> str:
+    return ", ".join(f"{x} AS {c}" for c, x in of.items())
+
+
 ORACLE_SQL = {
     "citation_plan_events": f"WITH e AS ({_NUM}) SELECT user_id AS doc, number AS note, event_type AS key, CASE WHEN row_number() OVER (PARTITION BY user_id, event_type ORDER BY number) = 1 THEN 'full' WHEN lag(event_type) OVER (PARTITION BY user_id ORDER BY number) = event_type THEN 'ibid' ELSE 'subsequent' END AS plan FROM e",
     "share_first_nonnull": "WITH e AS (SELECT user_id, event_id, event_type, CASE WHEN event_id % 3 = 0 THEN event_id END AS title FROM events) SELECT user_id, event_id, event_type, coalesce(title, min(title) OVER (PARTITION BY user_id, event_type)) AS title FROM e",
@@ -232,12 +244,14 @@ ORACLE_SQL = {
     "index_coverage": f"WITH {_index(_REC)}, {_COVER} SELECT court, year, n, last, covered FROM cv",
     "mnc_check": f"""WITH r AS ({_REC}), {_index("SELECT * FROM r WHERE l_linenumber <= 3")}, {_COVER},
 c AS (SELECT court, year, (number + (l_orderkey % 7) * 3)::INT AS number, title AS name FROM r WHERE l_linenumber > 3),
-o AS (SELECT court, year, CASE WHEN titles IS NOT NULL THEN CASE WHEN len(list_filter(titles, lambda t: list_has_any({_WORDS.format(x='name')}, {_WORDS.format(x='t')}))) > 0 THEN 'found' ELSE 'name mismatch' END
-  WHEN covered AND number > last + greatest(3, last // 20) THEN 'not found' ELSE 'unchecked' END AS outcome FROM c LEFT JOIN ix USING (court, year, number) LEFT JOIN cv USING (court, year))
+{with_steps("j", "SELECT * FROM c LEFT JOIN ix USING (court, year, number) LEFT JOIN cv USING (court, year)", verify.name_steps(DUCK))},
+o AS (SELECT court, year, CASE WHEN titles IS NOT NULL THEN CASE WHEN named THEN 'found' ELSE 'name mismatch' END
+  WHEN covered AND number > last + greatest(3, last // 20) THEN 'not found' ELSE 'unchecked' END AS outcome FROM j)
 SELECT court, year, outcome, count(*) AS n FROM o GROUP BY ALL""",
-    "reported_band_match": f"""WITH r AS (SELECT DISTINCT court, year, number, title FROM ({_REC})), c AS (SELECT p_partkey AS claim, p_partkey % 100 + 1 AS court, 1992 + p_size % 7 AS year, p_name AS name FROM part)
-SELECT claim, r.year AS match_year, number AS match_number, title AS match_title FROM c JOIN r ON c.court = r.court AND r.year BETWEEN c.year - 1 AND c.year AND list_has_any({_WORDS.format(x='name')}, {_WORDS.format(x='title')})
-QUALIFY row_number() OVER (PARTITION BY claim ORDER BY r.year, number, title) = 1""",
+    "reported_band_match": f"""WITH {with_steps("r", f"SELECT DISTINCT {_columns(_DECIDED)} FROM lineitem JOIN part ON l_partkey = p_partkey", names.reading(DUCK, "title", "t"))},
+{with_steps("c", f"SELECT {_columns(_ASKED)} FROM part", names.reading(DUCK, "name", "c"))}
+SELECT claim, r.year AS match_year, number AS match_number, title AS match_title FROM c JOIN r ON c.court = r.court AND coalesce(r.year BETWEEN c.year - 1 AND c.year, c.year IS NOT NULL) AND {DUCK.size("c_sides")} > 0 AND {names.names_each_side(DUCK, "c", "t")}
+QUALIFY row_number() OVER (PARTITION BY claim ORDER BY r.year NULLS LAST, number NULLS LAST, title) = 1""",
     "year_mismatch": "WITH k AS (SELECT p_name, p_type, list_sort(list_distinct(list(p_size))) AS sizes FROM part WHERE p_partkey % 2 = 0 GROUP BY ALL) SELECT p_partkey, p_size, array_to_string(sizes, ',') AS sizes FROM part JOIN k USING (p_name, p_type) WHERE p_partkey % 2 = 1 AND NOT list_contains(sizes, p_size)",
     "batch_failures": f"WITH e AS ({_NUM}), b AS (SELECT user_id, (number - 1) // 3 AS batch, count(*) AS n, count(*) FILTER (event_type IN ('error', 'view')) AS f FROM e GROUP BY ALL), p AS (SELECT user_id, sum(n)::BIGINT AS n, sum(f)::BIGINT AS n_failed, bool_or(n = f) AS whole_batch_failed FROM b GROUP BY user_id) SELECT *, n_failed = 0 OR (NOT whole_batch_failed AND 5 * n_failed <= n) AS payable FROM p",
     "preview_redaction": f"WITH e AS ({_NUM}), s AS (SELECT *, least(3, greatest(1, ceil(round(count(*) OVER (PARTITION BY user_id) * 0.1, 9)))) AS k, sum((event_type = 'error')::INT) OVER (PARTITION BY user_id ORDER BY number) AS c FROM e), t AS (SELECT *, event_type <> 'error' OR c <= k AS shown FROM s) SELECT user_id, number, shown, CASE WHEN shown THEN event_type END AS event_type FROM t",

@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from marginalia.functions import text as t
-from marginalia.functions.dialect import DUCK, SPARK
+from marginalia.functions.dialect import DUCK, SPARK, Spark, with_steps
 from marginalia.operators import fingerprints as fp
 from marginalia.operators import grounding, names
 from marginalia.sources.tables import table
@@ -54,10 +54,17 @@ _CITED = "CASE p_partkey % 5 WHEN 0 THEN p_name || ' v The Queen' WHEN 1 THEN up
 _TITLED = "CASE p_partkey % 4 WHEN 0 THEN p_name || ' v ' || p_type WHEN 1 THEN 'Australian Competition & Consumer Commission v ' || p_name || ' Pty Ltd [No 3]' WHEN 2 THEN p_type || ' and Australia Brothers' ELSE 'State of ' || p_brand END"
 
 
+def _alike(d: Spark) -> list[dict[str, str]]:
+    (cited, cited_more), (title, title_more) = names.reading(d, "cited", "c"), names.reading(d, "title", "t")
+    return [cited | title | {"mine": names.telling(d, "cited"), "theirs": names.telling(d, "title")}, cited_more | title_more, {"same_case": names.shares_word(d, "mine", "theirs"), "plausible": names.names_each_side(d, "c", "t")}]
+
+
 def case_names_alike(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cited names of cases against titles: could they be one case, and is every party named."""
     rows = table(spark, sf_dir, "part").select("p_partkey", F.expr(_CITED).alias("cited"), F.expr(_TITLED).alias("title"))
-    return rows.select("p_partkey", F.expr(names.same_case(SPARK, "cited", "title")).alias("same_case"), F.expr(names.plausible(SPARK, "cited", "title")).alias("plausible"))
+    for step in _alike(SPARK):
+        rows = rows.withColumns({c: F.expr(x) for c, x in step.items()})
+    return rows.select("p_partkey", "same_case", "plausible")
 
 
 def span_shorten(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -214,7 +221,7 @@ ORACLE_SQL = {
     "meaningful_tokens": _SQL_MEANINGFUL_TOKENS,
     "token_coverage_gap": _SQL_TOKEN_COVERAGE_GAP,
     "number_grounding": _SQL_NUMBER_GROUNDING,
-    "case_names_alike": f"SELECT p_partkey, {names.same_case(DUCK, 'cited', 'title')} AS same_case, {names.plausible(DUCK, 'cited', 'title')} AS plausible FROM (SELECT p_partkey, {_CITED} AS cited, {_TITLED} AS title FROM part)",
+    "case_names_alike": f"WITH {with_steps('a', f'SELECT p_partkey, {_CITED} AS cited, {_TITLED} AS title FROM part', _alike(DUCK))} SELECT p_partkey, same_case, plausible FROM a",
     "span_shorten": f"{_SPANS} SELECT a, b, span FROM s",
     "span_expand": f"{_SPANS} SELECT DISTINCT span, a AS first, CASE WHEN length(split_part(span, '–', 2)) < length(a) THEN substr(a, 1, length(a) - length(split_part(span, '–', 2))) ELSE '' END || split_part(span, '–', 2) AS last FROM s",
     "html_to_plain": "WITH p AS (SELECT page_id, replace(replace(replace(replace(replace(regexp_replace(html, '<[^>]+>', '', 'g'), '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&#39;', ''''), '&amp;', '&') AS plain FROM pages) SELECT page_id, length(plain)::INT AS n_chars, sha256(plain) AS plain_sha256 FROM p",

@@ -6,9 +6,12 @@ where the index covers that court and year well enough, and far enough below its
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from marginalia.functions.dialect import SPARK, Spark
+from marginalia.operators import names
+
 MIN_NUMBERS, MIN_SHARE, MIN_RECORDS = 10, 0.85, 50
 
 
@@ -26,13 +29,10 @@ def coverage(index: DataFrame, last_year: int) -> DataFrame:
     return per.withColumn("covered", good)
 
 
-def name_words(title: Column) -> Column:
-    return F.array_distinct(F.regexp_extract_all(F.lower(title), F.lit("[a-z]+"), F.lit(0)))
-
-
-def plausible(claimed: Column, title: Column) -> Column:
-    """Do two names share a word?"""
-    return F.arrays_overlap(name_words(claimed), name_words(title))
+def name_steps(d: Spark) -> list[dict[str, str]]:
+    """Of `name` and `titles`: does one of the titles share a telling word with the name, each read once?"""
+    one = lambda t: names.shares_word(d, "mine", t)
+    return [{"mine": names.telling(d, "name"), "theirs": d.each("titles", lambda t: names.telling(d, t), "t")}, {"named": f"{d.size(d.keep('theirs', one, 't'))} > 0"}]
 
 
 def check_claims(claims: DataFrame, index: DataFrame, last_year: int) -> DataFrame:
@@ -41,19 +41,9 @@ def check_claims(claims: DataFrame, index: DataFrame, last_year: int) -> DataFra
     years = coverage(index, last_year).select("court", "year", "last", "covered")
     joined = claims.join(known, ["court", "year", "number"], "left").join(years, ["court", "year"], "left")
     margin = F.col("last") + F.greatest(F.lit(3), F.floor(F.col("last") / 20))
-    named = F.exists("titles", lambda t: plausible(F.col("name"), t))
-    outcome = F.when(F.col("titles").isNotNull(), F.when(named, "found").otherwise("name mismatch"))
+    for step in name_steps(SPARK):
+        joined = joined.withColumns({c: F.expr(x) for c, x in step.items()})
+    outcome = F.when(F.col("titles").isNotNull(), F.when(F.col("named"), "found").otherwise("name mismatch"))
     outcome = outcome.when(F.col("covered") & (F.col("number") > margin), "not found").otherwise("unchecked")
-    return joined.withColumn("outcome", outcome).drop("titles", "last", "covered")
-
-
-def banded_match(claims: DataFrame, records: DataFrame, id_col: str) -> DataFrame:
-    """For each claim (id, court, year, name) the first record of that or the year before with a name that shares a word: an equality
-    join on the exploded band and on the word, so that no claim meets a whole year. First by year, number, title."""
-    wide = claims.select(id_col, "court", F.explode(F.array(F.col("year") - 1, F.col("year"))).alias("year"), F.explode(name_words(F.col("name"))).alias("word"))
-    words = records.select("court", "year", "number", "title", F.explode(name_words(F.col("title"))).alias("word"))
-    # Of each word only its first record of a year can be a first match.
-    first = words.groupBy("court", "year", "word").agg(F.min(F.struct("number", "title")).alias("m"))
-    found = wide.join(first, ["court", "year", "word"]).select(id_col, F.struct("year", F.col("m.number").alias("number"), F.col("m.title").alias("title")).alias("m"))
-    best = found.groupBy(id_col).agg(F.min("m").alias("m"))
-    return best.select(id_col, F.col("m.year").alias("match_year"), F.col("m.number").alias("match_number"), F.col("m.title").alias("match_title"))
+    return joined.withColumn("outcome", outcome).drop("titles", "last", "covered", "mine", "theirs", "named")
+

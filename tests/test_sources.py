@@ -1,6 +1,7 @@
 """Rules for sources by type, on cases of our own after the shapes of the style guide's examples."""
 
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -117,14 +118,39 @@ def test_repeated_references(spark):
 
 def test_names_of_cases(spark):
     def both(cited_, title):
-        row = spark.createDataFrame([(cited_, title)], "c string, t string").select(F.expr(names.same_case(SPARK, "c", "t")), F.expr(names.plausible(SPARK, "c", "t"))).first()
-        return tuple(row)
+        row = names.read(names.read(spark.createDataFrame([(cited_, title)], "cited string, title string"), "cited", "c"), "title", "t")
+        row = row.withColumns({"mine": F.expr(names.telling(SPARK, "cited")), "theirs": F.expr(names.telling(SPARK, "title"))})
+        return tuple(row.select(F.expr(names.shares_word(SPARK, "mine", "theirs")), F.expr(names.names_each_side(SPARK, "c", "t"))).first())
 
     full = "Australian Competition & Consumer Commission v George Weston Foods Limited & Anor"
     assert both("ACCC v George Weston Foods Ltd", full) == (True, True)
     assert both("ACCC v Harbour Foods Pty Ltd", full)[1] is True and both("ACCC v Harbour Pty Ltd", full) == (False, False)
     assert both("R v R", "Re an Application")[0] is True
     assert both("Re Colina; Ex parte Torney", "Re Colina and another; ex parte Torney") == (True, True)
+    assert both("Kvelde v State of New South Wales", "Kvelde v New South Wales")[1] and not both("Kvelde v Victoria", "Kvelde v New South Wales")[1]
+    assert both("Johnson v Reed", "John Holland v Reed") == (True, False)  # sides are matched by whole words
+    assert both("Smith v NSW", "Smith v State of New South Wales")[1] and both("New South Wales v Smith", "NSW v Smith")[1]
+    assert both("Berg v Aust Bros", "Berg v Australian Brothers Pty Ltd")[1] and both(None, "A v B") == (True, True) and both("Reed v Berg", None)[1] is False
+
+
+def test_party_match_equals_a_scan(spark):
+    """Against every record of the band compared with every claim, on names that share words, letters, both or none."""
+    rng = random.Random(7)
+    sides = ["Reed", "Calder Pty Ltd", "ACCC", "Australian Competition and Consumer Commission", "Aust Bros", "Australia Brothers", "the Queen", "R", "NSW", "State of New South Wales", "Minister for Rivers", "Minister", "Rivers Harbour Trust", "RHT", "No 7"]
+    name = lambda: rng.choice([f"{rng.choice(sides)} v {rng.choice(sides)}", f"Re {rng.choice(sides)}; Ex parte {rng.choice(sides)}", rng.choice(sides)])
+    records = [(rng.choice(["HC", "FC"]), rng.choice([2001, 2002, 2003, None]), rng.choice([1, 2, 3, None]), name()) for _ in range(150)] + [(None, 2002, 1, "Reed v Berg"), ("HC", 2002, 1, None)]
+    claims = [(i, rng.choice(["HC", "FC"]), rng.choice([2002, 2003, 2004]), name()) for i in range(120)] + [(900, "HC", None, "Reed"), (901, None, 2002, "Reed"), (902, "HC", 2002, None), (903, "HC", 2002, "R v R"), (904, "HC", 2002, "")]
+    left = spark.createDataFrame(claims, "claim int, court string, year int, name string")
+    right = spark.createDataFrame(records, "court string, year int, number int, title string")
+    got = {r[0]: tuple(r[1:]) for r in names.party_match(left, right, "claim").collect()}
+    compared = names.read(left.withColumnRenamed("court", "c"), "name", "c").crossJoin(names.read(right.withColumnsRenamed({"year": "y"}), "title", "t"))
+    pairs = compared.where("c = court AND coalesce(y BETWEEN year - 1 AND year, year IS NOT NULL) AND size(c_sides) > 0").where(names.names_each_side(SPARK, "c", "t"))
+    last = lambda m: (m[0] is None, m[0] or 0, m[1] is None, m[1] or 0, m[2])
+    want = {}
+    for r in pairs.select("claim", "y", "number", "title").collect():
+        want[r[0]] = min(want.get(r[0], tuple(r[1:])), tuple(r[1:]), key=last)
+    assert got == want and 30 < len(want) < 125
+    assert names.party_match(left, right.limit(0), "claim").count() == 0 and names.party_match(left.limit(0), right, "claim").count() == 0
 
 
 def test_grounding(spark):
