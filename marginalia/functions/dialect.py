@@ -70,6 +70,10 @@ class Spark:
         """Structs a, b of each element and the next one."""
         return f"zip_with({self.first(array, f'greatest(size({array}) - 1, 0)')}, {self.rest(array)}, (x, y) -> named_struct('a', x, 'b', y))"
 
+    def cuts(self, x: str) -> str:
+        """Every way to cut a text of two characters and more in two, with a space between."""
+        return f"transform(sequence(1, greatest(length({x}) - 1, 1)), cut -> substr({x}, 1, cut) || ' ' || substr({x}, cut + 1))"
+
     def flat(self, arrays: str) -> str:
         return f"flatten({arrays})"
 
@@ -151,6 +155,9 @@ class Duck(Spark):
     def neighbours(self, array: str) -> str:
         return f"list_transform(list_zip(({array})[1:len({array}) - 1], ({array})[2:]), lambda z: struct_pack(a := z[1], b := z[2]))"
 
+    def cuts(self, x: str) -> str:
+        return f"list_transform(range(1, greatest(length({x}), 2)), lambda cut: substr({x}, 1, cut) || ' ' || substr({x}, cut + 1))"
+
     def array(self, items: Sequence[str]) -> str:
         return f"[{', '.join(items)}]"
 

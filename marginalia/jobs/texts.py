@@ -186,7 +186,19 @@ def _selected(start: str, steps: list[dict[str, str]], columns: str) -> str:
 
 _g = grounding
 _SQL_MEANINGFUL_TOKENS = _selected("SELECT doc_id, text FROM documents", [{"m": DUCK.let(_g.words(DUCK, "text"), lambda w: _g.meaningful(DUCK, w), "of_text")}], "doc_id, len(m)::INT AS n, array_to_string(m, ' ') AS words")
-_SQL_TOKEN_COVERAGE_GAP = _selected("SELECT doc_id, text, array_to_string(string_split(text, chr(10))[1:2], chr(10)) AS kept FROM documents", [{"missing": _g.missing(DUCK, "text", "kept"), "invented": _g.invented(DUCK, "text", "kept")}], "doc_id, len(missing)::INT AS n_missing, array_to_string(missing, ' ') AS missing, len(invented)::INT AS n_invented")
+# By rows of words, since lists that a lambda holds are copied for each element here.
+_SQL_TOKEN_COVERAGE_GAP = f"""WITH x AS (SELECT doc_id, text, array_to_string(string_split(text, chr(10))[1:2], chr(10)) AS kept FROM documents),
+l AS (SELECT doc_id, text, kept, {_g.words(DUCK, 'text')} AS ws, {_g.words(DUCK, 'kept')} AS ms FROM x),
+o AS (SELECT doc_id, unnest(ws) AS w, unnest(range(len(ws))) AS pos FROM l), m AS (SELECT doc_id, unnest(ms) AS w, unnest(range(len(ms))) AS pos FROM l),
+oo AS (SELECT *, lead(w) OVER (PARTITION BY doc_id ORDER BY pos) AS b FROM o), mm AS (SELECT *, lead(w) OVER (PARTITION BY doc_id ORDER BY pos) AS b FROM m),
+n AS (SELECT doc_id, {_g.bare(DUCK, 'w')} AS h FROM m WHERE {_g.is_number(DUCK, 'w')} UNION SELECT doc_id, unnest({_g.span_ends(DUCK, 'kept')}) FROM l),
+own AS (SELECT doc_id, {_g.bare(DUCK, 'w')} AS h FROM o WHERE {_g.is_number(DUCK, 'w')} UNION SELECT doc_id, unnest({_g.span_ends(DUCK, 'text')}) FROM l),
+held AS (SELECT doc_id, w AS h FROM m WHERE {_g.tells(DUCK, 'w')} UNION SELECT * FROM n UNION SELECT doc_id, w || b FROM mm WHERE b IS NOT NULL),
+as_one AS (SELECT oo.doc_id, w, b FROM oo JOIN held ON oo.doc_id = held.doc_id AND oo.w || oo.b = held.h), halves AS (SELECT doc_id, w FROM as_one UNION SELECT doc_id, b FROM as_one),
+asked AS (SELECT doc_id, w, min(pos) AS pos, CASE WHEN {_g.is_number(DUCK, 'w')} THEN {_g.bare(DUCK, 'w')} ELSE w END AS plain FROM o WHERE {_g.tells(DUCK, 'w')} GROUP BY doc_id, w),
+gone AS (SELECT * FROM asked a WHERE NOT EXISTS (SELECT 1 FROM held h WHERE h.doc_id = a.doc_id AND h.h = a.w) AND NOT EXISTS (SELECT 1 FROM held h WHERE h.doc_id = a.doc_id AND h.h = a.plain) AND NOT EXISTS (SELECT 1 FROM halves h WHERE h.doc_id = a.doc_id AND h.w = a.w)),
+g AS (SELECT doc_id, count(*)::INT AS n, string_agg(w, ' ' ORDER BY pos) AS ws FROM gone GROUP BY doc_id), i AS (SELECT doc_id, count(*)::INT AS n FROM (SELECT * FROM n EXCEPT SELECT * FROM own) GROUP BY doc_id)
+SELECT x.doc_id, coalesce(g.n, 0) AS n_missing, coalesce(g.ws, '') AS missing, coalesce(i.n, 0) AS n_invented FROM x LEFT JOIN g USING (doc_id) LEFT JOIN i USING (doc_id)"""
 _SQL_NUMBER_GROUNDING = _selected("SELECT page_id, url, html FROM pages", [{"x": _g.invented(DUCK, "html", "url")}], "page_id, array_to_string(x, ',') AS ungrounded")
 _SHORT = """CASE WHEN length(a) = length(b) AND a < b THEN substr(b, CASE WHEN length(b) >= 2 AND substr(b, length(b) - 1, 1) = '1' THEN least(d, length(b) - 1) ELSE d END) ELSE b END"""
 _SPANS = f"""WITH p AS (SELECT DISTINCT least(l_orderkey, l_partkey)::VARCHAR AS a, greatest(l_orderkey, l_partkey)::VARCHAR AS b FROM lineitem),

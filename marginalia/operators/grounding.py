@@ -33,24 +33,33 @@ def is_number(d: Spark, w: str) -> str:
     return d.has(w, "^[0-9]+$")
 
 
-def _bare(d: Spark, w: str) -> str:
+def bare(d: Spark, w: str) -> str:
     """Without leading zeros."""
     return d.sub(w, r"^0+([0-9])", r"\1")
 
 
+def tells(d: Spark, w: str) -> str:
+    """Is a word more than noise or a single letter?"""
+    noise = ", ".join(f"'{w}'" for w in NOISE)
+    return f"({w} NOT IN ({noise}) AND (length({w}) > 1 OR {is_number(d, w)}))"
+
+
 def meaningful(d: Spark, of: str) -> str:
     """Of words: distinct ones in order, without noise and single letters."""
-    noise = ", ".join(f"'{w}'" for w in NOISE)
-    return d.once(d.keep(of, lambda w: f"{w} NOT IN ({noise}) AND (length({w}) > 1 OR {is_number(d, w)})"))
+    return d.once(d.keep(of, lambda w: tells(d, w)))
 
 
-def numbers(d: Spark, x: str, of: str) -> str:
-    """Distinct numbers of a text and its words without leading zeros; of a shortened span 150–5 the second one in full too."""
+def span_ends(d: Spark, x: str) -> str:
+    """Of each shortened span 150–5 of a text the second number in full."""
     span = r"([0-9]+)\s*[–—-]\s*([0-9]+)"
-    plain = d.each(d.keep(of, lambda w: is_number(d, w)), lambda w: _bare(d, w))
     a, b = (lambda s: d.group(s, span, 1)), (lambda s: d.group(s, span, 2))
-    full = d.each(d.keep(d.all(f"coalesce({x}, '')", span), lambda s: f"length({b(s)}) < length({a(s)})"), lambda s: _bare(d, f"substr({a(s)}, 1, length({a(s)}) - length({b(s)})) || {b(s)}"))
-    return d.once(d.chain(plain, full))
+    short = d.keep(d.all(f"coalesce({x}, '')", span), lambda s: f"length({b(s)}) < length({a(s)})")
+    return d.each(short, lambda s: bare(d, f"substr({a(s)}, 1, length({a(s)}) - length({b(s)})) || {b(s)}"))
+
+
+def numbers(d: Spark, x: str, of: str) -> str:
+    """Distinct numbers of a text and its words without leading zeros; of a shortened span the second one in full too."""
+    return d.once(d.chain(d.each(d.keep(of, lambda w: is_number(d, w)), lambda w: bare(d, w)), span_ends(d, x)))
 
 
 def captured(d: Spark, x: str, of: str) -> str:
@@ -63,9 +72,11 @@ def missing(d: Spark, original: str, made: str) -> str:
 
     def gone(of: str, held: str) -> str:
         joined = d.each(d.neighbours(of), lambda p: f"{p}.a || {p}.b", "p")
-        # Few words are written as one, so looking through these for each pair of neighbours costs little.
-        halves = d.let(d.both(joined, held), lambda j: d.flat(d.each(d.keep(d.neighbours(of), lambda p: d.holds(j, f"{p}.a || {p}.b"), "p"), lambda p: d.array([f"{p}.a", f"{p}.b"]), "p")), "joined_words")
-        lacked = d.keep(d.minus(meaningful(d, of), held), lambda w: f"NOT ({is_number(d, w)} AND {d.holds(held, _bare(d, w))})", "w")
+        # Sets only: the pairs of neighbours that are also a cut of a held word, so that long texts cost what they are long.
+        pairs = d.both(d.each(d.neighbours(of), lambda p: f"{p}.a || ' ' || {p}.b", "p"), d.flat(d.each(d.both(joined, held), lambda h: d.cuts(h), "h")))
+        halves = d.flat(d.each(pairs, lambda p: d.split(p, " "), "p"))
+        # A number without leading zeros was looked for as it stands.
+        lacked = d.keep(d.minus(meaningful(d, of), held), lambda w: f"NOT ({d.has(w, '^0+[0-9]+$')} AND {d.holds(held, bare(d, w))})", "w")
         return f"CASE WHEN {d.common(joined, held)} = 0 THEN {lacked} ELSE {d.minus(lacked, halves)} END"
 
     held = d.let(words(d, made), lambda m: captured(d, made, m), "of_made")
@@ -75,4 +86,4 @@ def missing(d: Spark, original: str, made: str) -> str:
 def invented(d: Spark, original: str, made: str) -> str:
     """Numbers of what was made that the original hasn't."""
     own = d.let(words(d, original), lambda of: numbers(d, original, of), "of_original")
-    return d.let(own, lambda known: d.let(words(d, made), lambda m: d.keep(numbers(d, made, m), lambda w: f"NOT {d.holds(known, w)}", "w"), "of_made"), "known")
+    return d.let(own, lambda known: d.let(words(d, made), lambda m: d.minus(numbers(d, made, m), known), "of_made"), "known")
