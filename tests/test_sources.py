@@ -162,6 +162,9 @@ def test_grounding(spark):
     assert of("Web Page of the Rivers", "webpage rivers") == ([], []) and of("webpage", "Web Page") == ([], [])
     assert of("(1993) 12 HLR 5", "HLR 5, 1994") == (["1993", "12"], ["1994"])
     assert of(None, None) == ([], [])
+    assert of("net work net", "network") == ([], []) and of("net work a net", "worknet") == (["net", "work"], []) and of("007 08", "7") == (["08"], [])
+    long = " ".join(f"w{'abcdefghij'[i % 10]}{'klmnopqrst'[i // 10 % 10]}{'uvwxyzabcd'[i // 100 % 10]}{'efghijklmn'[i // 1000]}" for i in range(10000))
+    assert of(long, long) == ([], []) and of(long, "")[0] == long.split()  # long texts, all or nothing kept
 
 
 def test_kinds_of_changes(spark):
