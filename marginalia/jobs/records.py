@@ -10,6 +10,7 @@ from marginalia.functions.dialect import DUCK, with_steps
 from marginalia.functions.text import norm_key
 from marginalia.operators import names, plan, pointers, sequences, unify, verify
 from marginalia.sources.tables import table
+from marginalia.workspace import by_merge
 
 
 def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -102,7 +103,7 @@ def interval_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _records(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = table(spark, sf_dir, "lineitem").select("l_suppkey", "l_partkey", "l_quantity", "l_shipdate", "l_linenumber", "l_orderkey")
     parts = table(spark, sf_dir, "part").select("p_partkey", "p_name")
-    joined = lines.join(parts, F.col("l_partkey") == F.col("p_partkey"))
+    joined = lines.join(by_merge(parts), F.col("l_partkey") == F.col("p_partkey"))
     return joined.select(F.col("l_suppkey").alias("court"), F.year("l_shipdate").alias("year"), F.col("l_quantity").cast("int").alias("number"), F.col("p_name").alias("title"), "l_linenumber", "l_orderkey")
 
 
@@ -133,7 +134,7 @@ _ASKED = {"claim": "p_partkey", "court": "p_partkey % 100 + 1", "year": "CASE WH
 def reported_band_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cases known by report only, found by their parties; some decisions have no year or number."""
     lines, parts = table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "part")
-    records = lines.join(parts, F.col("l_partkey") == F.col("p_partkey")).selectExpr(*[f"{x} AS {c}" for c, x in _DECIDED.items()])
+    records = lines.join(by_merge(parts), F.col("l_partkey") == F.col("p_partkey")).selectExpr(*[f"{x} AS {c}" for c, x in _DECIDED.items()])
     return names.party_match(parts.selectExpr(*[f"{x} AS {c}" for c, x in _ASKED.items()]), records, "claim")
 
 
