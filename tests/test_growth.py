@@ -17,3 +17,8 @@ def plan(df):
 def test_party_match_broadcasts_nothing_that_grows(spark):
     """Names repeat, so files of a million of them are under the threshold of a broadcast."""
     assert "BroadcastHashJoin" not in plan(catalogue.QUERIES["reported_band_match"](spark, FOLDER))
+
+
+def test_bibliography_needs_no_join(spark):
+    """Most fields of a source are null, so a table of all of them looks small after columns are dropped, and was broadcast."""
+    assert "Join" not in plan(catalogue.QUERIES["bibliography"](spark, FOLDER))
