@@ -4,7 +4,7 @@ import os
 
 import pytest
 
-from marginalia.jobs import catalogue
+from marginalia.jobs import catalogue, sources
 
 FOLDER = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 pytestmark = pytest.mark.skipif(not os.path.isdir(FOLDER), reason="no tables")
@@ -22,3 +22,12 @@ def test_party_match_broadcasts_nothing_that_grows(spark):
 def test_bibliography_needs_no_join(spark):
     """Most fields of a source are null, so a table of all of them looks small after columns are dropped, and was broadcast."""
     assert "Join" not in plan(catalogue.QUERIES["bibliography"](spark, FOLDER))
+
+
+@pytest.mark.parametrize("name", ["subsequent_references"])
+def test_pinpoints_of_all_types_are_made_once(spark, monkeypatch, name):
+    """Only they are written; of the fields of a source nothing is made that the result doesn't show."""
+    tables = []
+    monkeypatch.setattr(sources, "written", lambda df, of: tables.append(df.columns) or df)
+    catalogue.QUERIES[name](spark, FOLDER)
+    assert [len(columns) for columns in tables] == [3]
