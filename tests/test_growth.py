@@ -24,7 +24,7 @@ def test_bibliography_needs_no_join(spark):
     assert "Join" not in plan(catalogue.QUERIES["bibliography"](spark, FOLDER))
 
 
-@pytest.mark.parametrize("name", ["subsequent_references"])
+@pytest.mark.parametrize("name", ["subsequent_references", "citation_fixes"])
 def test_pinpoints_of_all_types_are_made_once(spark, monkeypatch, name):
     """Only they are written; of the fields of a source nothing is made that the result doesn't show."""
     tables = []
