@@ -2,9 +2,11 @@
 
 import os
 
+import pandas as pd
 import pytest
 
 from marginalia.jobs import catalogue, sources
+from marginalia.streaming import lifecycle
 
 FOLDER = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 pytestmark = pytest.mark.skipif(not os.path.isdir(FOLDER), reason="no tables")
@@ -31,3 +33,30 @@ def test_pinpoints_of_all_types_are_made_once(spark, monkeypatch, name):
     monkeypatch.setattr(sources, "written", lambda df, of: tables.append(df.columns) or df)
     catalogue.QUERIES[name](spark, FOLDER)
     assert [len(columns) for columns in tables] == [3]
+
+
+def test_an_order_adds_its_events_to_the_state_together():
+    """A message for each event was most of the time."""
+
+    class State(list):
+        asked = 0
+
+        def exists(self):
+            self.asked += 1
+            return bool(self)
+
+        def get(self):
+            self.asked += 1
+            return iter(self)
+
+        def appendList(self, rows):  # noqa: N802
+            self.asked += 1
+            self.extend(rows)
+
+    orders, state = lifecycle._Orders("pending"), State()
+    orders.init(type("Handle", (), {"getListState": lambda self, name, schema: state})())
+    rows = [pd.DataFrame({"us": [k, k], "id": [k, k], "expected": ["pending", "pending"], "following": ["pending", "pending"]}) for k in range(50)]
+    for batch in (rows[:30], rows):
+        (out,) = list(orders.handleInputRows((7,), iter(batch), None))
+    assert out[["applied", "conflicts", "last_event"]].values.tolist() == [[50, 0, 49]] and list(orders.handleInputRows((7,), iter(rows), None)) == []
+    assert len(state) == 50 and state.asked <= 8
