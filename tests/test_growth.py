@@ -1,11 +1,15 @@
 """Plans and memory that have to stay as they are when the tables grow."""
 
 import os
+import random
+import time
+from difflib import SequenceMatcher
 
 import pandas as pd
 import pytest
 
 from marginalia.jobs import catalogue, sources
+from marginalia.operators import diff
 from marginalia.streaming import lifecycle
 
 FOLDER = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
@@ -60,3 +64,17 @@ def test_an_order_adds_its_events_to_the_state_together():
         (out,) = list(orders.handleInputRows((7,), iter(batch), None))
     assert out[["applied", "conflicts", "last_event"]].values.tolist() == [[50, 0, 49]] and list(orders.handleInputRows((7,), iter(rows), None)) == []
     assert len(state) == 50 and state.asked <= 8
+
+
+def test_blocks_of_long_remainders():
+    """The blocks of difflib, which takes a hundred times as long where half of the words are gaps."""
+    draw = random.Random(5)
+    for size in (3, 20, 60):
+        a, b = ([draw.choice([0, 0, 1, 2, 3, 1 << 21]) for _ in range(size)] for _ in "ab")
+        want = [tuple(x) for x in SequenceMatcher(None, a, b, autojunk=False).get_matching_blocks() if x.size]
+        got = [(i + k, j + k) for i, j, n in diff.blocks(a, b) for k in range(n)]
+        assert got == [(i + k, j + k) for i, j, n in want for k in range(n)]
+    a, b = ([k for j in range(300) for k in (0, j * step)] for step in (1, -1))
+    b = [abs(k) + 5000 if k else 0 for k in b]
+    start = time.perf_counter()
+    assert sum(n for _, _, n in diff.blocks(a, b)) == 301 and time.perf_counter() - start < 2
