@@ -2,13 +2,14 @@
 
 import os
 import random
+import re
 import time
 from difflib import SequenceMatcher
 
 import pandas as pd
 import pytest
 
-from marginalia.jobs import catalogue, sources
+from marginalia.jobs import catalogue, sources, texts
 from marginalia.operators import diff
 from marginalia.streaming import lifecycle
 
@@ -78,3 +79,11 @@ def test_blocks_of_long_remainders():
     b = [abs(k) + 5000 if k else 0 for k in b]
     start = time.perf_counter()
     assert sum(n for _, _, n in diff.blocks(a, b)) == 301 and time.perf_counter() - start < 2
+
+
+@pytest.mark.parametrize("name", ["span_expand", "span_shorten"])
+def test_pairs_of_numbers_are_dealt_by_their_number(spark, monkeypatch, name):
+    """Once and as numbers; twice the rows make twice the tasks."""
+    monkeypatch.setattr(texts, "_PAIRS_OF_A_TASK", 1000)
+    dealt = re.findall(r"Exchange hashpartitioning\(a#\d+L, b#\d+L, (\d+)\)", plan(catalogue.QUERIES[name](spark, FOLDER)))
+    assert dealt == [str(spark.read.parquet(f"{FOLDER}/lineitem.parquet").count() // 1000 + 1)]
