@@ -77,8 +77,8 @@ def rendered_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
     notes = _notes(spark, sf_dir)
     planned = plan.citation_plan(notes, _mentions(spark, sf_dir, notes), order=_ORDER)
     signal = F.when((F.col("note") % 4 == 0) & (F.col("pos") == 1), "See").otherwise("")
-    sources = planned.select("doc", "key").distinct().select("doc", "key", F.concat(F.lit("*Source "), F.col("key"), F.lit("*")).alias("cited"), F.concat(F.lit("S"), F.col("key")).alias("short"))
-    return plan.rendered_notes(planned.withColumn("signal", signal), sources)
+    written = {"signal": signal, "cited": F.concat(F.lit("*Source "), F.col("key"), F.lit("*")), "short": F.concat(F.lit("S"), F.col("key"))}
+    return plan.rendered_notes(planned.withColumns(written))
 
 
 def richtext_markup(spark: SparkSession, sf_dir: str) -> DataFrame:

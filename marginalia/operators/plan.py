@@ -1,8 +1,8 @@
 """How each mention of a source is written: in full, as a repeat of the mention just before, or as a later mention.
 
 Rows are mentions (doc, note, position, key, pinpoint). The frame of notes must hold the notes without
-mentions too: they break a chain of repeats. Everything is window functions over (doc, note): two
-shuffles on doc at most, which share their partitioning.
+mentions too: they break a chain of repeats. Everything is window functions over a document and its parts: mentions
+are dealt once, by doc.
 """
 
 from __future__ import annotations
@@ -12,34 +12,20 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
-def note_frame(notes: DataFrame, mentions: DataFrame, doc: str = "doc", note: str = "note") -> DataFrame:
-    """Per note: how many mentions it has, and key and pinpoint where it has one; and the same of the note before."""
-    per = mentions.groupBy(doc, note).agg(
-        F.count(F.lit(1)).alias("n"),
-        F.min("key").alias("sole_key"),
-        F.min("pinpoint").alias("sole_pin"),
-    )
-    w = W.partitionBy(doc).orderBy(note)
-    frame = notes.select(doc, note).join(per, [doc, note], "left")
-    return frame.select(
-        doc,
-        note,
-        F.lag(F.coalesce("n", F.lit(0))).over(w).alias("prev_n"),
-        F.lag("sole_key").over(w).alias("prev_key"),
-        F.lag("sole_pin").over(w).alias("prev_pin"),
-    )
-
-
 def citation_plan(notes: DataFrame, mentions: DataFrame, doc: str = "doc", note: str = "note", order: list[str | Column] | None = None) -> DataFrame:
     """Adds `plan` (full, ibid, subsequent), `pos` in the note, `occurrence` of the key in the doc, and `suffix` for a repeat.
 
     mentions: doc, note, key, pinpoint ('' for none) and the columns of `order`, which must order the mentions of a note fully.
     """
     order = order or ["seg"]
-    prev = note_frame(notes, mentions, doc, note)
+    # Notes stand among the mentions as rows of their own, so that a note's place and what the note before has are windows over the document.
+    rows = mentions.withColumn("_said", F.lit(True)).unionByName(notes.select(doc, note, F.lit(False).alias("_said")), allowMissingColumns=True)
+    before = W.partitionBy(doc).orderBy("_nth").rangeBetween(-1, -1)
+    rows = rows.withColumn("_nth", F.dense_rank().over(W.partitionBy(doc).orderBy(note)))
+    rows = rows.withColumns({"prev_n": F.count_if("_said").over(before), "prev_key": F.min("key").over(before), "prev_pin": F.min("pinpoint").over(before)}).where("_said")
     in_note = W.partitionBy(doc, note).orderBy(*order)
     of_key = W.partitionBy(doc, "key").orderBy(note, *order)
-    placed = mentions.withColumn("pos", F.row_number().over(in_note)).withColumn("occurrence", F.row_number().over(of_key))
+    placed = rows.withColumn("pos", F.row_number().over(in_note)).withColumn("occurrence", F.row_number().over(of_key))
     repeat = (
         (F.col("pos") == 1)
         & (F.col("prev_n") == 1)
@@ -47,9 +33,9 @@ def citation_plan(notes: DataFrame, mentions: DataFrame, doc: str = "doc", note:
         & ~((F.col("pinpoint") == "") & (F.col("prev_pin") != ""))
     )
     plan = F.when(F.col("occurrence") == 1, "full").when(repeat, "ibid").otherwise("subsequent")
-    planned = placed.join(prev, [doc, note], "left").withColumn("plan", plan)
+    planned = placed.withColumn("plan", plan)
     suffix = F.when((F.col("plan") == "ibid") & (F.col("pinpoint") != F.col("prev_pin")), F.col("pinpoint")).otherwise("")
-    return planned.withColumn("suffix", suffix).drop("prev_n", "prev_key", "prev_pin")
+    return planned.withColumn("suffix", suffix).drop("prev_n", "prev_key", "prev_pin", "_said", "_nth")
 
 
 def first_per_key(mentions: DataFrame, doc: str, order: list[str]) -> DataFrame:
@@ -58,14 +44,18 @@ def first_per_key(mentions: DataFrame, doc: str, order: list[str]) -> DataFrame:
     return mentions.groupBy(doc, "key").agg(F.min_by(F.struct(*others), F.struct(*order)).alias("first")).select(doc, "key", "first.*")
 
 
-def rendered_notes(planned: DataFrame, sources: DataFrame, doc: str = "doc", note: str = "note") -> DataFrame:
+def rendered_notes(planned: DataFrame, sources: DataFrame | None = None, doc: str = "doc", note: str = "note") -> DataFrame:
     """doc, note, text: the notes of documents as they are printed.
 
-    planned: of citation_plan, and `signal` ('' for none). sources: doc, key, cited (in full, without a pinpoint), short.
+    planned: of citation_plan, and `signal` ('' for none). sources: doc, key, cited (in full, without a pinpoint), short; without it, planned has these columns.
     A source that is referred back to defines its short title where it is cited in full; repeats are Ibid at the start of a
     note and after a signal ibid; citations are parted by semicolons, and a note ends with one full stop before its trailing white space."""
-    first = planned.groupBy(doc, "key").agg(F.min(F.when(F.col("plan") == "full", F.col(note))).alias("first_note"), F.bool_or(F.col("plan") == "subsequent").alias("defines"))
-    rows = planned.join(first, [doc, "key"]).join(sources, [doc, "key"])
+    # Of a window and not of a join, so that the plan of all mentions is made once.
+    of_key = W.partitionBy(doc, "key")
+    first = {"first_note": F.min(F.when(F.col("plan") == "full", F.col(note))).over(of_key), "defines": F.bool_or(F.col("plan") == "subsequent").over(of_key)}
+    rows = planned.where(F.col(doc).isNotNull() & F.col("key").isNotNull()).withColumns(first)
+    if sources is not None:
+        rows = rows.join(sources, [doc, "key"])
     pin = F.when(F.col("pinpoint") == "", "").otherwise(F.concat(F.lit(", "), F.col("pinpoint")))
     spaced = lambda c: F.when(F.col(c) == "", "").otherwise(F.concat(F.lit(" "), F.col(c)))
     lead = F.when(F.col("signal") == "", "").otherwise(F.concat(F.col("signal"), F.lit(" ")))

@@ -87,3 +87,9 @@ def test_pairs_of_numbers_are_dealt_by_their_number(spark, monkeypatch, name):
     monkeypatch.setattr(texts, "_PAIRS_OF_A_TASK", 1000)
     dealt = re.findall(r"Exchange hashpartitioning\(a#\d+L, b#\d+L, (\d+)\)", plan(catalogue.QUERIES[name](spark, FOLDER)))
     assert dealt == [str(spark.read.parquet(f"{FOLDER}/lineitem.parquet").count() // 1000 + 1)]
+
+
+def test_mentions_are_dealt_once(spark):
+    """The orders by customer for the numbers of notes, twice, and mentions with notes by document; no plan is joined with itself."""
+    text = plan(catalogue.QUERIES["rendered_notes"](spark, FOLDER))
+    assert text.count("Exchange hashpartitioning") == 3 and text.count("FileScan parquet [l_orderkey") == 1
