@@ -8,9 +8,11 @@ from difflib import SequenceMatcher
 
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
+from marginalia.functions.dialect import SPARK
 from marginalia.jobs import catalogue, sources, texts
-from marginalia.operators import diff
+from marginalia.operators import diff, grounding
 from marginalia.streaming import lifecycle
 
 FOLDER = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
@@ -93,3 +95,53 @@ def test_mentions_are_dealt_once(spark):
     """The orders by customer for the numbers of notes, twice, and mentions with notes by document; no plan is joined with itself."""
     text = plan(catalogue.QUERIES["rendered_notes"](spark, FOLDER))
     assert text.count("Exchange hashpartitioning") == 3 and text.count("FileScan parquet [l_orderkey") == 1
+
+
+def test_texts_are_dealt_before_their_words_are_compared(spark):
+    """A file of one row group was compared by one task."""
+    assert "REBALANCE_PARTITIONS" in plan(catalogue.QUERIES["token_coverage_gap"](spark, FOLDER))
+
+
+def test_words_are_those_of_each_match_in_lower_case(spark):
+    """For every character, alone and next to others: the text is put in lower case as a whole, and stops are looked for first."""
+    sign = F.expr("decode(unhex(lpad(hex(id), 8, '0')), 'UTF-32')").alias("c")
+    signs = spark.range(0x110000, numPartitions=8).where("id NOT BETWEEN 55296 AND 57343").select(sign)
+    rows = signs.selectExpr("concat(c, ' a', c, 'B ', c, '.A.', c, '.b ', c, c, '. A', c, '’', c, ' 1', c, '2.C.', c) AS x")
+    one_by_one = F.expr(r"transform(regexp_extract_all(replace(regexp_replace(x, r'\b([A-Za-z])\.', '$1'), '’', chr(39)), r'[0-9]+|\p{L}+(?:\x27\p{L}+)?', 0), w -> lower(w))")
+    assert rows.where(F.expr(grounding.words(SPARK, "x")) != one_by_one).count() == 0 and rows.count() > 1_100_000
+
+
+def lacked(original, made):
+    """The rule of grounding.missing, word by word, for lower-case letters and digits."""
+    of, m = (re.findall(r"[0-9]+|[a-z]+", x) for x in (original, made))
+    tells = lambda w: w not in grounding.NOISE and (len(w) > 1 or w.isdigit())
+    bare = lambda w: w.lstrip("0") or "0" if w.isdigit() else w
+    held = {w for w in m if tells(w)} | {bare(w) for w in m if w.isdigit()} | {a + b for a, b in zip(m, m[1:])}
+    halves = {w for a, b in zip(of, of[1:]) if a + b in held for w in (a, b)}
+    return [w for w in dict.fromkeys(of) if tells(w) and w not in held and bare(w) not in held and w not in halves]
+
+
+def test_missing_words_equal_those_found_word_by_word(spark):
+    draw = random.Random(11)
+    word = lambda: draw.choice(["to", "in", "net", "ne", "work", "twork", "a", "ab", "b", "cab", "7", "07", "007", "70", "0", "00", "into", "netw", "ork", "x" * 70, "y" * 3, "x" * 70 + "y" * 3, "x" * 69, "xyyy"])
+    text = lambda n: " ".join(word() for _ in range(draw.randint(0, n)))
+    rows = []
+    for k in range(1500):
+        made = text(7)
+        rows.append((k, " ".join(filter(None, [made, text(9)])) if k % 2 else text(12), made))
+    got = spark.createDataFrame(rows, "k int, o string, m string").select("k", F.expr(grounding.missing(SPARK, "o", "m"))).collect()
+    want = {k: lacked(o, m) for k, o, m in rows}
+    assert dict(map(tuple, got)) == want and len({tuple(w) for w in want.values()}) > 300
+
+
+@pytest.mark.parametrize("kind", ["numbers", "words"])
+def test_long_texts_cost_what_they_are_long(spark, kind):
+    """Numbers with leading zeros were looked for one by one, words of many letters cut at each of them."""
+    if kind == "numbers":
+        original, made, want = " ".join(f"00{k}" for k in range(1, 60000)), " ".join(str(k) for k in range(2, 120000, 2)), [f"00{k}" for k in range(1, 60000, 2)]
+    else:
+        long = "".join(random.Random(3).choices("abcdefgh", k=40000))
+        original, made, want = f"zz {long[:30000]} {long[30000:]} yy", long, ["zz", "yy"]
+    start = time.perf_counter()
+    (got,) = spark.createDataFrame([(original, made)], "o string, m string").select(F.expr(grounding.missing(SPARK, "o", "m"))).first()
+    assert got == want and time.perf_counter() - start < 8
